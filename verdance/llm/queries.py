@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, packing, simhash
+from . import bytebpe, packing, secrets, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -34,3 +34,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
