@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
 
@@ -49,6 +49,18 @@ def drop_written(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def least_hash(ids: DataFrame, column: str, rows: int) -> DataFrame:
+    """The ``rows`` rows of least hash of ``column``: a sample that partitioning doesn't change.
+
+    Rows far beyond the expected cut are dropped before the sort, so that each
+    task passes on few.
+    """
+    total = ids.count()
+    if total > 4 * rows:
+        ids = ids.where(F.xxhash64(column) <= F.lit(int(-(2**63) + 2**64 * 2 * rows / total)))
+    return ids.orderBy(F.xxhash64(column), column).limit(rows)
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty, lone surrogates are replaced."""
     return (text or "").encode("utf-8", "replace")
@@ -70,7 +82,3 @@ def link_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> None
                 break
             labels[:] = up
 
-
-def chunks(rows: list, size: int) -> Iterator[list]:
-    for i in range(0, len(rows), size):
-        yield rows[i : i + size]
