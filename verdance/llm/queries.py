@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, langid, packing, quality, secrets, simhash
+from . import bytebpe, chat, langid, packing, quality, secrets, simhash, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,9 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = talks.unionByName(probe.select(*(F.col(c).cast(talks.schema[c].dataType).alias(c) for c in columns)))
     tree = chat.thread_nodes(talks).withColumn("score", F.lit(0.0))
     return chat.read_back(chat.format_trees(tree)).withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    return topk.search(table(spark, sf_dir, "embeddings"))
