@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, langid, packing, quality, secrets, simhash, topk
+from . import bytebpe, chat, langid, licenses, packing, quality, secrets, simhash, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,9 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all others."""
     return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
