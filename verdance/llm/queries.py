@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, langid, licenses, packing, quality, secrets, simhash, topk
+from . import audio, bytebpe, chat, langid, licenses, packing, quality, secrets, simhash, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,9 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all recordings (vectors played as tunes) and what every fiftieth one aligns with."""
+    return audio.search(audio.tunes(table(spark, sf_dir, "embeddings")), "id", "audio")
