@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
@@ -82,3 +82,7 @@ def link_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> None
                 break
             labels[:] = up
 
+
+def text_column(names: list[str], text_col: str) -> tuple[list[Column], int]:
+    """The text as a further column, unless ``names`` hold it already, and its place."""
+    return ([], names.index(text_col)) if text_col in names else ([F.col(text_col).alias("__text")], len(names))

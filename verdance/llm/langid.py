@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, least_hash
+from .common import cut, least_hash, text_column
 
 UNDETERMINED = "und"
 #: Labelled rows that training uses at most, those of least id hash.
@@ -86,9 +86,8 @@ class Filters:
             out.append(mask)
         return out
 
-    def shares(self, text: str | None) -> np.ndarray:
-        """Each language's share of a text's n-grams, less what false positives would give."""
-        codes = grams(text)
+    def shares(self, codes: np.ndarray) -> np.ndarray:
+        """Each language's share of the n-grams, less what false positives would give."""
         hits = []
         for masks, lo in zip(self.lookup(codes), range(0, len(self.langs), 64)):
             width = min(64, len(self.langs) - lo)
@@ -100,16 +99,15 @@ class Filters:
         seen = np.array(hits, float) / max(1, codes.size)
         return np.clip((seen - self.false_rate) / np.maximum(1e-9, 1 - self.false_rate), 0, 1)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its part of all corrected shares."""
+    def predict(self, text: str | None) -> tuple[str, float, float, int]:
+        """The language, its part of all corrected shares, its own share and the n-grams of a text."""
         if not self.langs or not text or not _LETTER.search(text):
-            return UNDETERMINED, 0.0
-        got = self.shares(text)
+            return UNDETERMINED, 0.0, 0.0, 0
+        codes = grams(text)
+        got = self.shares(codes)
         best = int(np.argmax(got))
         total = float(got.sum())
-        if total <= 0:
-            return self.langs[0], 0.0
-        return self.langs[best], float(got[best]) / total
+        return self.langs[best], float(got[best]) / total if total > 0 else 0.0, float(got[best]), codes.size
 
 
 def assemble(grams_of: list[tuple[str, np.ndarray]], log2: int = SLOTS_LOG2, hashes: int = HASHES) -> Filters:
@@ -168,19 +166,22 @@ def train(
 
 
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` (0 to 1) of each whole text."""
+    """``keep`` columns, ``lang_pred``, ``score`` (0 to 1), ``share`` and ``grams`` of each whole text.
+
+    ``share`` is the corrected share of the text's n-grams that the language knows.
+    """
     names = list(keep)
-    source = docs.select(*names, F.col(text_col).alias("__text"))
+    text, text_at = text_column(names, text_col)
+    source = docs.select(*names, *text)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("share", T.DoubleType()), T.StructField("grams", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            made = [model.predict(t.as_py()) for t in batch.column(len(names))]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(names))), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                [*names, "lang_pred", "score"],
-            )
-
-    fields = [*source.schema.fields[: len(names)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return source.mapInArrow(run, T.StructType(fields))
+            made = [model.predict(t.as_py()) for t in batch.column(text_at)]
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+            columns = [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *columns], [*names, *(f.name for f in added)])
+
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(names)], *added]))

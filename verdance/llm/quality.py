@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import least_hash, utf8
+from .common import least_hash, text_column, utf8
 
 LABELLED_ROWS = 6000
 POOL_ROWS = 6000
@@ -179,11 +179,11 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray],
     return CoTrained(views, platt(logits, y[check]), passed=tuple(passed))
 
 
-def _views(batch: pa.RecordBatch, first: int) -> list[np.ndarray]:
-    """Both views of a batch whose column ``first`` is the text and later ones the names."""
+def _views(batch: pa.RecordBatch, text_at: int, first: int) -> list[np.ndarray]:
+    """Both views of a batch with the text in column ``text_at`` and the names from column ``first`` on."""
     content, meta = [], []
-    names = [batch.column(i).to_pylist() for i in range(first + 1, batch.num_columns)]
-    for text, *row in zip(batch.column(first), *names):
+    names = [batch.column(i).to_pylist() for i in range(first, batch.num_columns)]
+    for text, *row in zip(batch.column(text_at), *names):
         raw = utf8(text.as_py())
         content.append(content_view(raw))
         meta.append(metadata_view(raw, tuple(row)))
@@ -206,7 +206,7 @@ def train(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                xs = _views(batch, 2)
+                xs = _views(batch, 2, 3)
                 cols = [pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()) for x in xs]
                 key = pa.array([zlib.crc32(repr(i).encode()) for i in batch.column(1).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([key, batch.column(0), *cols], ["key", "y", "content", "meta"])
@@ -224,14 +224,16 @@ def score(
 ) -> DataFrame:
     """``keep`` columns, ``score`` (0 to 1) and ``accepted`` of each document."""
     names = list(keep)
-    source = docs.select(*names, F.col(text_col).alias("__text"), *(F.col(c).alias(f"__n{i}") for i, c in enumerate(name_cols)))
+    text, text_at = text_column(names, text_col)
+    source = docs.select(*names, *text, *(F.col(c).alias(f"__n{i}") for i, c in enumerate(name_cols)))
+    first = len(names) + len(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                got = shared.value.score(_views(part, len(names))).astype(float)
+                got = shared.value.score(_views(part, text_at, first)).astype(float)
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(names))), pa.array(got), pa.array(got >= threshold)], [*names, "score", "accepted"])
 
     fields = [*source.schema.fields[: len(names)], T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_column
+
 #: The kinds of base findings, in their order.
 BASE_KINDS = ("assign", "access", "hex")
 #: Kinds that structural confirmation adds, in their order.
@@ -208,13 +210,14 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), redacted: bool = False) -> DataFrame:
     """``keep`` columns, ``base`` and ``spans`` (arrays of kind, start and end in code points) and, if asked for, ``redacted``."""
     names = list(keep)
-    source = docs.select(*names, F.col(text_col).alias("__text"))
+    text, text_at = text_column(names, text_col)
+    source = docs.select(*names, *text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, spans, clean = [], [], []
-            for value in batch.column(len(names)):
+            for value in batch.column(text_at):
                 text = value.as_py()
                 b, s = findings(text)
                 base.append([dict(zip(("kind", "start", "end"), f)) for f in b])
