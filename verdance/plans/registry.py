@@ -24,6 +24,13 @@ def query(sql: str | None = None, uses: str = "", more: str = ""):
     return add
 
 
-def r6(x: Column | str) -> Column:
-    """Rounded to six decimals, as on the SQL side."""
-    return F.round(F.col(x) if isinstance(x, str) else x, 6)
+def r6(x: Column | str, places: int = 6) -> Column:
+    """Rounded to six decimals, as on the SQL side.
+
+    Values that are exact short decimals need more places: the engines round halves differently.
+    """
+    return F.round(F.col(x) if isinstance(x, str) else x, places)
+
+
+def r10(x: Column | str) -> Column:
+    return r6(x, 10)
