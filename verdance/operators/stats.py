@@ -105,7 +105,7 @@ def p_value(r: float | None, n: int | None) -> float | None:
 
 
 #: One row per group comes here, so a row-wise function is enough.
-p_value_udf = F.udf(p_value, T.DoubleType())
+p_value_udf = F.udf(lambda r, n: p_value(r, n), T.DoubleType())
 
 
 def pearson(df: DataFrame, keys: tuple[str, ...], x: str, y: str) -> DataFrame:
