@@ -1 +1,169 @@
-"""Queries."""
+"""Resampling, texture, spectra and thresholds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import bands as B
+from ..operators import joins as J
+from ..operators import raster as R
+from ..sources.adapters import chips, spectra
+from .groups import _PX, green_pixels
+from .registry import query, r6, r10
+
+_BLOCKS = "blocks AS (SELECT *, prow // 3 AS brow, pcol // 3 AS bcol FROM chips WHERE prow // 3 < 2 AND pcol // 3 < 2)"
+BY = ("image", "brow", "bcol")
+
+
+def blocks(spark, sf_dir, *methods):
+    out = R.resample(chips(spark, sf_dir), ("image",), 3, methods)
+    return out.select(*BY, *(r10(m).alias(m) for m in methods))
+
+
+@query("SELECT image, brow, bcol, round(avg(v), 10) AS average, round(sum(v), 10) AS sum FROM blocks GROUP BY ALL", "chips", _BLOCKS)
+def resample_avg(spark, sf_dir):
+    """Block means and sums; truncated output size."""
+    return blocks(spark, sf_dir, "average", "sum")
+
+
+@query("SELECT image, brow, bcol, round(min(v), 10) AS min, round(max(v), 10) AS max FROM blocks GROUP BY ALL", "chips", _BLOCKS)
+def resample_minmax(spark, sf_dir):
+    """Block extremes."""
+    return blocks(spark, sf_dir, "min", "max")
+
+
+@query("SELECT image, brow, bcol, round(quantile_cont(v, 0.25), 10) AS q1, round(quantile_cont(v, 0.5), 10) AS med, round(quantile_cont(v, 0.75), 10) AS q3 FROM blocks GROUP BY ALL", "chips", _BLOCKS)
+def resample_quantiles(spark, sf_dir):
+    """Block quartiles, linearly interpolated."""
+    return blocks(spark, sf_dir, "q1", "med", "q3")
+
+
+@query("SELECT image, brow, bcol, round(sqrt(avg(v * v)), 10) AS rms FROM blocks GROUP BY ALL", "chips", _BLOCKS)
+def resample_rms(spark, sf_dir):
+    """Block root mean squares."""
+    return blocks(spark, sf_dir, "rms")
+
+
+@query("SELECT image, brow, bcol, mode FROM (SELECT image, brow, bcol, q AS mode, row_number() OVER (PARTITION BY image, brow, bcol ORDER BY count(*) DESC, q) AS r FROM (SELECT image, brow, bcol, floor(v * 10) AS q FROM blocks) GROUP BY image, brow, bcol, q) WHERE r = 1", "chips", _BLOCKS)
+def resample_mode(spark, sf_dir):
+    """Most frequent class of a block, the least on ties."""
+    c = chips(spark, sf_dir).withColumn("v", F.floor(F.col("v") * 10).cast("double"))
+    return R.resample(c, ("image",), 3, ("mode",)).select(*BY, "mode")
+
+
+@query("SELECT image, prow // 2 AS brow, pcol // 2 AS bcol, round(v, 10) AS v FROM chips WHERE prow % 2 = 1 AND pcol % 2 = 1", "chips")
+def resample_nearest(spark, sf_dir):
+    """The pixel at each block's centre."""
+    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "nearest").select(*BY, r10("v").alias("v"))
+
+
+@query("SELECT image, prow // 2 AS brow, pcol // 2 AS bcol, round(avg(v), 10) AS v FROM chips GROUP BY ALL", "chips")
+def resample_bilinear(spark, sf_dir):
+    """Bilinear weights at block centres (for a scale of two, the mean of the four pixels)."""
+    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "bilinear").select(*BY, r10("v").alias("v"))
+
+
+def _kernel_sql(weight: str, reach: int) -> str:
+    return f"""SELECT image, b.brow, b.bcol, round(sum(wr * wc * v) / nullif(sum(wr * wc), 0), 8) AS v FROM (SELECT c.image, r.b AS brow, q.b AS bcol, c.v, {weight.replace('$', 'abs(r.b * 2 + 0.5::DOUBLE - c.prow)')} AS wr, {weight.replace('$', 'abs(q.b * 2 + 0.5::DOUBLE - c.pcol)')} AS wc
+     FROM chips c JOIN (SELECT unnest(range(0, 4)) AS b) r ON abs(r.b * 2 + 0.5 - c.prow) < {reach} JOIN (SELECT unnest(range(0, 4)) AS b) q ON abs(q.b * 2 + 0.5 - c.pcol) < {reach}) b GROUP BY ALL"""
+
+
+@query(_kernel_sql("CASE WHEN $ <= 1 THEN 1.5 * $ * $ * $ - 2.5 * $ * $ + 1 ELSE -0.5 * $ * $ * $ + 2.5 * $ * $ - 4 * $ + 2 END", 2), "chips")
+def resample_cubic(spark, sf_dir):
+    """Cubic convolution at block centres."""
+    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "cubic").select(*BY, r6("v", 8).alias("v"))
+
+
+@query(_kernel_sql("CASE WHEN $ <= 1 THEN (3 * $ * $ * $ - 6 * $ * $ + 4) / 6 ELSE (2 - $) * (2 - $) * (2 - $) / 6 END", 2), "chips")
+def resample_cubic_spline(spark, sf_dir):
+    """Cubic spline weights at block centres."""
+    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "cubic_spline").select(*BY, r6("v", 8).alias("v"))
+
+
+@query(_kernel_sql("sin(pi() * $) / (pi() * $) * sin(pi() * $ / 3) / (pi() * $ / 3)", 3), "chips")
+def resample_lanczos(spark, sf_dir):
+    """Lanczos weights at block centres."""
+    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "lanczos").select(*BY, r6("v", 8).alias("v"))
+
+
+_HOLES = "holed AS (SELECT image, prow, pcol, CASE WHEN (pos * 7 + image) % 5 > 0 THEN v END AS v FROM chips)"
+
+
+@query(
+    """SELECT h.image, h.prow, h.pcol, round(coalesce(h.v, (SELECT first(n.v ORDER BY (n.prow - h.prow) * (n.prow - h.prow) + (n.pcol - h.pcol) * (n.pcol - h.pcol), n.prow, n.pcol) FROM holed n WHERE n.image = h.image AND n.v IS NOT NULL AND abs(n.prow - h.prow) <= 2 AND abs(n.pcol - h.pcol) <= 2)), 10) AS v FROM holed h""", "chips", _HOLES
+)
+def gapfill_nearest(spark, sf_dir):
+    """Holes take the nearest value."""
+    c = chips(spark, sf_dir).select("image", "prow", "pcol", F.when((F.col("pos") * 7 + F.col("image")) % 5 > 0, F.col("v")).alias("v"))
+    return R.fill_nearest(c, ("image",)).select("image", "prow", "pcol", r10("v").alias("v"))
+
+
+_LEVELS = "lv AS (SELECT image, prow, pcol, coalesce(CAST(floor((v - a) * 255 / nullif(b - a, 0)) AS BIGINT), 0) AS level FROM (SELECT *, min(v) OVER (PARTITION BY image) AS a, max(v) OVER (PARTITION BY image) AS b FROM chips))"
+
+
+@query(
+    """SELECT image, round(contrast, 6) AS contrast, round(dissimilarity, 6) AS dissimilarity, round(homogeneity, 6) AS homogeneity, round(sqrt(asm_), 6) AS energy, round((ij - m * m) / nullif(ii - m * m, 0), 6) AS correlation, round(asm_, 6) AS asm FROM
+    (SELECT image, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p * p) AS asm_, sum(p * i) AS m, sum(p * i * i) AS ii, sum(p * i * j) AS ij FROM
+     (SELECT image, i, j, count(*) / sum(count(*)) OVER (PARTITION BY image) AS p FROM (SELECT a.image, a.level AS i, b.level AS j FROM lv a JOIN lv b ON a.image = b.image AND a.prow = b.prow AND b.pcol = a.pcol + 1
+       UNION ALL SELECT a.image, b.level, a.level FROM lv a JOIN lv b ON a.image = b.image AND a.prow = b.prow AND b.pcol = a.pcol + 1) GROUP BY image, i, j) GROUP BY image)""",
+    "chips", _LEVELS,
+)
+def glcm_props(spark, sf_dir):
+    """Co-occurrence texture of each chip."""
+    out = R.glcm(R.grey_levels(chips(spark, sf_dir), ("image",)), ("image",))
+    return out.select("image", *(r6(c).alias(c) for c in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm")))
+
+
+@query(
+    """SELECT image, round(n / 8.0::DOUBLE * cross_ / sq, 6) AS moran_i_ref, round(n / w * cross_ / sq, 6) AS moran_i FROM (SELECT a.image, 64.0::DOUBLE AS n, sum(a.z * b.z) AS cross_, max(a.sq) AS sq, count(*) AS w FROM zz a JOIN zz b ON a.image = b.image AND abs(a.prow - b.prow) <= 1 AND abs(a.pcol - b.pcol) <= 1 AND (a.prow <> b.prow OR a.pcol <> b.pcol) GROUP BY a.image)""",
+    "chips", "zz AS (SELECT *, sum(z * z) OVER (PARTITION BY image) AS sq FROM (SELECT image, prow, pcol, v - avg(v) OVER (PARTITION BY image) AS z FROM chips))",
+)
+def moran_i(spark, sf_dir):
+    """Spatial autocorrelation of each chip in two normalisations."""
+    return R.moran(chips(spark, sf_dir), ("image",)).select("image", r6("moran_i_ref").alias("moran_i_ref"), r6("moran_i").alias("moran_i"))
+
+
+_PROF = """prof AS (SELECT cls, list(m ORDER BY pos) AS u FROM (SELECT cls, pos, avg(v) AS m FROM chips GROUP BY cls, pos) GROUP BY cls),
+ ang AS (SELECT a.cls AS cls_a, b.cls AS cls_b, coalesce(degrees(acos(greatest(-1, least(1, list_dot_product(a.u, b.u) / nullif(sqrt(list_dot_product(a.u, a.u)) * sqrt(list_dot_product(b.u, b.u)), 0))))), 90) AS angle FROM prof a JOIN prof b ON a.cls < b.cls)"""
+
+
+def class_angles(spark, sf_dir):
+    """Angles between the mean spectra of classes: as many rows as pairs of classes."""
+    means = spectra(spark, sf_dir).select("cls", F.posexplode("bands")).groupBy("cls", "pos").agg(F.avg("col").alias("m"))
+    prof = means.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("u"))
+    return J.unordered_pairs(prof, "cls").select("cls_a", "cls_b", B.spectral_angle(F.col("u_a"), F.col("u_b")).alias("angle"))
+
+
+@query("SELECT cls_a, cls_b, round(angle, 5) AS angle, row_number() OVER (ORDER BY round(angle, 5), cls_a, cls_b)::INT AS place FROM ang", "chips", _PROF)
+def sam_pairs(spark, sf_dir):
+    """Spectral angles of all pairs of classes, in order."""
+    from pyspark.sql import Window
+
+    out = class_angles(spark, sf_dir).withColumn("angle", F.round("angle", 5))
+    return out.withColumn("place", F.row_number().over(Window.orderBy("angle", "cls_a", "cls_b")))
+
+
+@query("SELECT cls_a, cls_b, round(angle, 5) AS angle FROM ang UNION ALL SELECT cls_b, cls_a, round(angle, 5) FROM ang UNION ALL SELECT cls, cls, 0.0::DOUBLE FROM prof", "chips", _PROF)
+def sam_matrix(spark, sf_dir):
+    """The full symmetric matrix of angles."""
+    half = class_angles(spark, sf_dir).withColumn("angle", F.round("angle", 5))
+    other = half.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"), "angle")
+    same = spectra(spark, sf_dir).select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.lit(0.0).alias("angle")).distinct()
+    return half.unionByName(other).unionByName(same)
+
+
+@query("SELECT cls, round(avg(v) FILTER (pos = 0), 6) AS b0, round(avg(v) FILTER (pos = 1), 6) AS b1, round(avg(v) FILTER (pos = 2), 6) AS b2, round(avg(v) FILTER (pos = 3), 6) AS b3 FROM chips GROUP BY cls", "chips")
+def pivot_profiles(spark, sf_dir):
+    """Band means as columns."""
+    wide = chips(spark, sf_dir).where("pos < 4").groupBy("cls").pivot("pos", [0, 1, 2, 3]).agg(F.avg("v"))
+    return wide.select("cls", *(r6(str(i)).alias(f"b{i}") for i in range(4)))
+
+
+@query(
+    """SELECT image, round(greatest(arg_max(bin, (round(b, 6), -bin)) / 255.0::DOUBLE, 0.2), 6) AS threshold FROM (SELECT image, bin, coalesce(w0 * (w - w0) * pow(s0 / w0 - (s - s0) / nullif(w - w0, 0), 2), 0) AS b FROM
+     (SELECT image, bin, sum(n) OVER u AS w0, sum(n * bin) OVER u AS s0, sum(n) OVER (PARTITION BY image) AS w, sum(n * bin) OVER (PARTITION BY image) AS s FROM (SELECT image, CAST(floor(gcc * 255) AS BIGINT) AS bin, count(*) AS n FROM px WHERE gcc IS NOT NULL GROUP BY ALL) WINDOW u AS (PARTITION BY image ORDER BY bin))) GROUP BY image""",
+    "chips", _PX,
+)
+def otsu_threshold(spark, sf_dir):
+    """Otsu's threshold of each image."""
+    return R.otsu(green_pixels(spark, sf_dir), ("image",)).select("image", r6("threshold").alias("threshold"))
