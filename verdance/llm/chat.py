@@ -2,7 +2,7 @@
 
 Messages point to the message they answer.  Root-to-leaf paths come from
 iterative self-joins with doubling steps: after round k each message knows the
-one 2^k replies above it, with the count and the score sum of those between, so
+one 2^k replies above it, with the score sum of those between, so
 a thread of n messages takes log2(n) rounds.  A tree's branches (leaves) are ranked
 by score and the best ones walked up by the same steps; texts are joined only to
 the messages of chosen paths.  Each path is formatted as one conversation.
@@ -86,33 +86,33 @@ def best_paths(tree: DataFrame, best: int = 1) -> DataFrame:
 
     ``tree`` has ``conv`` (not null), ``node``, ``parent``, ``score``; ``back`` counts replies from the leaf.
     """
-    nodes = tree.select("conv", "node")
+    nodes, kind = tree.select("conv", "node"), tree.schema["node"].dataType
     parents = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
     step = tree.join(parents, ["conv", "parent"], "left").select(
-        "conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum")
+        "conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum")
     )
-    steps = [cut(step, "chat-step")]
-    total = None
+    now = cut(step, "chat-step")
+    first = now.where("up is not null").select("conv", "node", "up")
+    steps, rooted, total = [], now.where("up is null").select("conv", "node", "sum"), None
     while True:
-        now = steps[-1]
-        left = now.agg(F.count("up")).first()[0]
-        if not left or (total is not None and left == total):
+        open_ = now.where("up is not null")
+        left = open_.count()
+        if not left or left == total:
             break  # all reached a root, or what is left goes round
         total = left
-        above = now.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
-        jumped = now.join(above, ["conv", "up"], "left").select(
-            "conv", "node", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")
-        )
-        steps.append(cut(jumped, "chat-step"))
-    rooted = steps[-1].where("up is null")
-    inner = steps[0].where("up is not null").select("conv", F.col("up").alias("node"))
+        steps.append(open_.select("conv", "node", "up"))
+        above = open_.select("conv", "node", "up", "sum").unionByName(rooted.withColumn("up", F.lit(None).cast(kind)))
+        above = above.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"))
+        # Messages that reached their root are set aside; only open ones are joined again.
+        now = cut(open_.join(above, ["conv", "up"]).select("conv", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum")), "chat-step")
+        rooted = rooted.unionByName(now.where("up is null").select("conv", "node", "sum"))
+    inner = first.select("conv", F.col("up").alias("node"))
     leaves = rooted.join(inner, ["conv", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("sum"), "node"))
     path = leaves.select("conv", F.col("node").alias("leaf"), F.col("sum").alias("score"), rank.alias("rank")).where(F.col("rank") <= best)
     path = path.select("*", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"))
     for k in range(len(steps) - 1, -1, -1):
-        up = steps[k].where("up is not null").select("conv", "node", "up")
-        found = path.join(up, ["conv", "node"], "left")
+        found = path.join(steps[k], ["conv", "node"], "left")
         both = F.array(F.struct("node", "back"), F.struct(F.col("up").alias("node"), (F.col("back") + 2**k).alias("back")))
         path = found.select("conv", "leaf", "score", "rank", F.explode(F.filter(both, lambda x: x["node"].isNotNull())).alias("x")).select("conv", "leaf", "score", "rank", "x.*")
     return path
