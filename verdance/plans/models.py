@@ -1 +1,109 @@
-"""Queries."""
+"""Models, clustering and streaming; these have no SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import bands as B
+from ..operators import cluster as C
+from ..operators import harmonic as H
+from ..operators import imagery as I
+from ..operators import temporal as O
+from ..sources.adapters import camera, chips, series
+from ..streaming.daily import run_batchwise
+from .registry import query, r6
+from .scans import rgb
+
+
+def site_series(spark, sf_dir):
+    s = series(spark, sf_dir)
+    daily = s.groupBy("site", "day").agg(F.avg("value").alias("value"))
+    return daily.withColumn("t", B.fractional_year(F.col("day")))
+
+
+@query()
+def harmonic_fit(spark, sf_dir):
+    """Eight coefficients of each site's series by least squares."""
+    return H.harmonic_fit(site_series(spark, sf_dir), ("site",))
+
+
+@query()
+def harmonic_fit_lasso(spark, sf_dir):
+    """The same under an absolute penalty."""
+    return H.harmonic_fit(site_series(spark, sf_dir), ("site",), penalty=0.002)
+
+
+@query()
+def ccdc_segments(spark, sf_dir):
+    """Stable segments and breaks of each site's series."""
+    return H.ccdc(site_series(spark, sf_dir), ("site",))
+
+
+@query()
+def ccdc_break_stats(spark, sf_dir):
+    """Breaks of the segments found: count, first, last, greatest."""
+    from ..operators.breaks import break_stats
+
+    seg = H.ccdc(site_series(spark, sf_dir), ("site",)).where("t_break is not null")
+    arrays = seg.groupBy("site").agg(F.collect_list(F.struct("t_break", "prob", "magnitude")).alias("segments"))
+    return break_stats(arrays, ("site",), low=1994.0, high=2100.0)
+
+
+def _classes(method):
+    def run(spark, sf_dir):
+        return C.vegetation_classes(rgb(spark, sf_dir), method)
+
+    run.__name__ = f"{method}_classes"
+    run.__doc__ = f"Green ratio and two classes of each image by {method}."
+    return query()(run)
+
+
+kmeans_classes, gmm_classes, dbscan_classes, spectral_classes = map(_classes, C.METHODS)
+
+
+@query()
+def kmeans_threshold(spark, sf_dir):
+    """Threshold between the two centres of each image's green shares."""
+    return C.kmeans_threshold(rgb(spark, sf_dir))
+
+
+@query()
+def gapfill_linear(spark, sf_dir):
+    """Holes filled by linear interpolation."""
+    return _filled(spark, sf_dir, "linear")
+
+
+@query()
+def gapfill_cubic(spark, sf_dir):
+    """Holes filled by cubic splines."""
+    return _filled(spark, sf_dir, "cubic")
+
+
+def _filled(spark, sf_dir, method):
+    c = chips(spark, sf_dir).select("image", "prow", "pcol", F.when((F.col("pos") * 7 + F.col("image")) % 5 > 0, F.col("v")).alias("v"))
+    return I.fill_interpolated(c, ("image",), method=method)
+
+
+@query()
+def frame_detection(spark, sf_dir):
+    """Bounding box of the strongest edges of each image (limits scaled to the chips' size)."""
+    return I.frames(rgb(spark, sf_dir), least=2, inset=0)
+
+
+@query("SELECT day, imgroup, round(avg(green_ratio), 6) AS green_ratio, count(*) AS n FROM camera GROUP BY day, imgroup", "camera")
+def stream_daily_mean(spark, sf_dir):
+    """Daily means by Structured Streaming, once through all there is."""
+    return run_batchwise(spark, f"{sf_dir}/events.parquet").select("day", "imgroup", r6("green_ratio").alias("green_ratio"), "n")
+
+
+@query("SELECT image, green_ratio FROM (SELECT image, round(green_ratio, 6) AS green_ratio, row_number() OVER (ORDER BY green_ratio DESC, image) AS r FROM camera) WHERE r <= 100", "camera")
+def top_images(spark, sf_dir):
+    """The hundred greenest images."""
+    top = camera(spark, sf_dir).orderBy(F.desc("green_ratio"), "image").limit(100)
+    return top.select("image", r6("green_ratio").alias("green_ratio"))
+
+
+@query()
+def sample_pixels(spark, sf_dir):
+    """A seeded sample of pixels with replacement, then a cap: a sampling operator."""
+    return chips(spark, sf_dir).sample(True, 0.1, 42).limit(10000)
