@@ -154,5 +154,6 @@ def spectral_angle(u: Column, v: Column) -> Column:
     """Degrees between two arrays; 90 where one has no length."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(dot(u, u)) * F.sqrt(dot(v, v))
+    # greatest() and least() skip NULL, so a missing length is decided first.
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v) / F.nullif(norm, F.lit(0.0))))
-    return F.coalesce(F.degrees(F.acos(cosine)), F.lit(90.0))
+    return F.when(norm > 0, F.degrees(F.acos(cosine))).otherwise(F.lit(90.0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bands as B
 from ..operators import stats as S
 from ..sources.adapters import camera, chips, scenes, series, spectra
-from .registry import query, r6
+from .registry import query, r6, r10
 from .scans import _RGB, rgb
 
 _CAM = "SELECT imgroup, round(avg(green_ratio), 6) AS green_ratio_mean, round(stddev_samp(green_ratio), 6) AS green_ratio_std FROM camera GROUP BY imgroup"
@@ -22,21 +22,21 @@ def group_mean_std(spark, sf_dir):
 
 
 @query(
-    "SELECT species, day, round(avg(green_ratio), 6) AS green_ratio_mean, round(stddev_samp(green_ratio), 6) AS green_ratio_std, count(green_ratio) AS green_ratio_count, round(avg(bvoc), 6) AS bvoc_mean, round(stddev_samp(bvoc), 6) AS bvoc_std, count(bvoc) AS bvoc_count FROM (SELECT *, CASE WHEN plot % 5 <> 0 THEN plot / 1000.0 END AS bvoc FROM camera) GROUP BY ALL", "camera"
+    "SELECT species, day, round(avg(green_ratio), 10) AS green_ratio_mean, round(stddev_samp(green_ratio), 10) AS green_ratio_std, count(green_ratio) AS green_ratio_count, round(avg(bvoc), 10) AS bvoc_mean, round(stddev_samp(bvoc), 10) AS bvoc_std, count(bvoc) AS bvoc_count FROM (SELECT *, CASE WHEN plot % 5 <> 0 THEN plot / 1000.0 END AS bvoc FROM camera) GROUP BY ALL", "camera"
 )
 def group_mean_std_count(spark, sf_dir):
     """Mean, sample deviation and count of two columns."""
     c = camera(spark, sf_dir).withColumn("bvoc", F.when(F.col("plot") % 5 != 0, F.col("plot") / 1000))
     out = S.mean_std(c, ("species", "day"), ("green_ratio", "bvoc"), count=True)
-    return out.select("species", "day", *((F.col(n) if n.endswith("count") else r6(n)).alias(n) for n in out.columns[2:]))
+    return out.select("species", "day", *((F.col(n) if n.endswith("count") else r10(n)).alias(n) for n in out.columns[2:]))
 
 
-@query("SELECT CAST(year(day) AS BIGINT) AS year, species, substr(imgroup, 1, 1) AS letter, CAST(dayofyear(day) AS BIGINT) AS doy, round(avg(green_ratio), 6) AS green_ratio_mean, round(stddev_samp(green_ratio), 6) AS green_ratio_std FROM camera GROUP BY ALL", "camera")
+@query("SELECT CAST(year(day) AS BIGINT) AS year, species, substr(imgroup, 1, 1) AS letter, CAST(dayofyear(day) AS BIGINT) AS doy, round(avg(green_ratio), 10) AS green_ratio_mean, round(stddev_samp(green_ratio), 10) AS green_ratio_std FROM camera GROUP BY ALL", "camera")
 def species_doy_stats(spark, sf_dir):
     """Statistics by year, species, group letter and day of the year in one grouping."""
     c = camera(spark, sf_dir).withColumns({"year": F.year("day").cast("long"), "doy": F.dayofyear("day").cast("long"), "letter": F.substring("imgroup", 1, 1)})
     out = S.mean_std(c, ("year", "species", "letter", "doy"), ("green_ratio",))
-    return out.select("year", "species", "letter", "doy", r6("green_ratio_mean").alias("green_ratio_mean"), r6("green_ratio_std").alias("green_ratio_std"))
+    return out.select("year", "species", "letter", "doy", r10("green_ratio_mean").alias("green_ratio_mean"), r10("green_ratio_std").alias("green_ratio_std"))
 
 
 _PX = _RGB + ", px AS (SELECT image, g / nullif(r + g + b, 0) AS gcc FROM rgb)"

@@ -189,11 +189,11 @@ def radar_ratio(spark, sf_dir):
     return s.select("scene", "part", r6(B.radar_ratio(F.col("vv"), F.col("vh"))).alias("linear_ratio"), r6(B.radar_ratio(F.col("vv"), F.col("vh"), False)).alias("db_ratio"))
 
 
-@query("SELECT obs, round(ln(value), 6) AS ln_value, round(ln(1 + value), 6) AS ln1p_value, round(value * 1000 / 1000.0, 6) AS unit, CASE WHEN value >= 0.5 THEN 1 ELSE 0 END::BIGINT AS high FROM series WHERE value > 0", "series")
+@query("SELECT obs, round(ln(value), 6) AS ln_value, round(ln(1 + value), 6) AS ln1p_value, round(value * 1000 / 1000.0, 10) AS unit, CASE WHEN value >= 0.5 THEN 1 ELSE 0 END::BIGINT AS high FROM series WHERE value > 0", "series")
 def log_transform(spark, sf_dir):
     """Logarithms and unit conversion."""
     v = F.col("value")
-    return series(spark, sf_dir).where(v > 0).select("obs", r6(F.ln(v)).alias("ln_value"), r6(F.log1p(v)).alias("ln1p_value"), r6(v * 1000 / 1000).alias("unit"), (v >= 0.5).cast("long").alias("high"))
+    return series(spark, sf_dir).where(v > 0).select("obs", r6(F.ln(v)).alias("ln_value"), r6(F.log1p(v)).alias("ln1p_value"), r6(v * 1000 / 1000, 10).alias("unit"), (v >= 0.5).cast("long").alias("high"))
 
 
 @query("SELECT page_id, list_extract(string_split(url, '/'), -1) AS last_part, CASE WHEN len(string_split(url, '/')) >= 3 THEN list_extract(string_split(url, '/'), -3) END AS camera_group FROM pages")

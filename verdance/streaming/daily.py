@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bands import utc, utc_day
+
 
 def camera_stream(spark: SparkSession, path: str) -> DataFrame:
     """Camera rows from Parquet files as they arrive; ``path`` is a folder or a file."""
@@ -14,14 +16,13 @@ def camera_stream(spark: SparkSession, path: str) -> DataFrame:
     folder, _, name = path.rstrip("/").rpartition("/")
     raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if "." in name else spark.readStream.schema(schema).parquet(path)
     group = F.element_at(F.array(*map(F.lit, ("West", "North", "South", "East"))), (F.col("user_id") % 4 + 1).cast("int"))
-    # A watermark needs a time with zone; days are taken from the clock time as it stands.
-    return raw.select(F.col("ts").cast("timestamp").alias("ts"), group.alias("imgroup"), (F.col("value") / 500).alias("green_ratio"))
+    return raw.select(utc(F.col("ts")).alias("ts"), group.alias("imgroup"), (F.col("value") / 500).alias("green_ratio"))
 
 
 def daily_means(rows: DataFrame, late: str = "2 days") -> DataFrame:
     """Means by one-day window and group; rows later than ``late`` are dropped."""
     windowed = rows.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "imgroup")
-    return windowed.agg(F.avg("green_ratio").alias("green_ratio"), F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "imgroup", "green_ratio", "n")
+    return windowed.agg(F.avg("green_ratio").alias("green_ratio"), F.count("*").alias("n")).select(utc_day(F.unix_millis("window.start")).alias("day"), "imgroup", "green_ratio", "n")
 
 
 def append_only(rows: DataFrame, path: str, checkpoint: str):
