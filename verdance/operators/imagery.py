@@ -131,6 +131,8 @@ def frame_box(gray: np.ndarray, least: int = 1000, inset: int = 100, sigma: floa
     soft = _blur(gray.astype(float), sigma)
     gy, gx = np.gradient(_slide(soft, 3, np.mean))
     edge = np.hypot(gx, gy)
+    if edge.max() - edge.min() < 1e-9:
+        return None
     mask = edge > _otsu(edge)
     for f in (np.min, np.min, np.max, np.max):
         mask = _slide(mask.astype(np.uint8), 5, f).astype(bool)
