@@ -35,6 +35,8 @@ SEED = 42
 RADIUS = 4
 #: Rows of a bucket's tile; a task compares two tiles at most.
 TILE_ROWS = 16384
+#: A fingerprint of more than one in HOT_SHARE of all rows is joined by broadcast: HOT_SHARE of them at most.
+HOT_SHARE = 1000
 #: Rows compared by one numpy operation (squared).
 BLOCK_ROWS = 1024
 
@@ -201,12 +203,16 @@ def near_duplicates(
     """One row per input row: ``id_col``, ``keep``, ``fingerprint`` (16 hex digits) and ``component_id``."""
     ids = [id_col, *(c for c in keep if c != id_col)]
     fps = cut(with_fingerprints(docs, text_col, ids, words, seed), "simhash-fingerprints")
-    nodes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("__least")), "simhash-nodes")
-    links = near_links(nodes.select("fp"), nodes.count(), radius, tile_rows)
+    nodes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("__least"), F.count("*").alias("__n")), "simhash-nodes")
+    distinct, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    links = near_links(nodes.select("fp"), distinct, radius, tile_rows)
     label = roots(links, "simhash-links").withColumnRenamed("node", "fp")
     linked = nodes.join(label, "fp")
     least = linked.groupBy("root").agg(F.min("__least").alias("__comp"))
     named = nodes.join(linked.select("fp", "root").join(least, "root").select("fp", "__comp"), "fp", "left")
-    named = named.select("fp", F.coalesce("__comp", "__least").alias("component_id"))
-    out = fps.join(named, "fp")
+    named = named.select("fp", F.coalesce("__comp", "__least").alias("component_id"), "__n")
+    # Fingerprints that hold a thousandth of all rows, a thousand at most, are broadcast; no task gets all rows of one.
+    hot = F.col("__n") * HOT_SHARE > rows
+    many, few = F.broadcast(named.where(hot).drop("__n")), named.where(~hot).drop("__n")
+    out = fps.join(many, "fp").unionByName(fps.join(many.select("fp"), "fp", "left_anti").join(few, "fp"))
     return out.select(*ids, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
