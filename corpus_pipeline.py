@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm import langid, packing, quality, secrets, simhash
+from verdance.llm import langid, packing, quality, secrets, similar
 from verdance.llm.common import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,20 +36,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component, that of least id (null ids last), then of least text hash."""
-    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("__key"))
-    found = cut(simhash.near_duplicates(keyed, keep=("__key",)), "pipeline-simhash")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
-    # A component without any id is named by its fingerprint.
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("__group")]
-    chosen = cut(found.groupBy(*group).agg(F.min(order).alias("x")).select("x.doc_id", "x.__key").distinct(), "pipeline-chosen")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.__key").eqNullSafe(F.col("c.__key"))
+    """Keep one document of each group of SimHash near-duplicates (similarity 0.8 of five-word shingles).
+
+    It is the one of least id (null ids last), then of least text digest; of repeated rows one stays.
+    """
+    found = cut(similar.near_duplicates(docs.select("doc_id", "text")), "pipeline-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    chosen = cut(found.groupBy("group").agg(F.min(order).alias("x")).select("x.doc_id", "x.node"), "pipeline-chosen")
+    keyed = docs.select(*COLUMNS, similar.text_digest("text").alias("node"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.node") == F.col("c.node"))
     kept = keyed.alias("d").join(chosen.alias("c"), same, "left_semi")
-    # Repeated rows: the same id and text twice.
-    again = found.groupBy("doc_id", "__key").count().where("count > 1").select("doc_id", "__key")
+    # Only a row that stands for others can be there twice.
+    again = found.groupBy("doc_id", "node").count().where("count > 1").select("doc_id", "node")
     if again.isEmpty():
         return kept.select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*COLUMNS)
+    return kept.dropDuplicates(["doc_id", "node"]).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from verdance.llm import secrets, simhash
+from verdance.llm import secrets
 
 SF = "/root/testdata/sf0.01"
 
@@ -11,6 +11,11 @@ def plain(df):
     return [r.asDict() for r in df.collect()]
 
 
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_stages_match_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
@@ -27,25 +32,29 @@ def test_stages_match_brute_force(spark):
     known = stages["language"](spark, good, SF).cache()
     assert known.count() >= 0.995 * good.count() and known.columns == docs.columns
 
-    rows = plain(known)
-    fps = [simhash.fingerprint(r["text"]) for r in rows]
+    rows = [(r["doc_id"], r["text"]) for r in plain(known)]
+    sets = [shingle_set(t) for _, t in rows]
+    places = {}
+    for i, x in enumerate(sets):
+        for y in x:
+            places.setdefault(y, []).append(i)
     parent = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
-                a, b = i, j
-                while parent[a] != a:
-                    a = parent[a]
-                while parent[b] != b:
-                    b = parent[b]
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in {j for y in x for j in places[y] if j < i}:
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     least = {}
-    for i, r in enumerate(rows):
-        a = i
-        while parent[a] != a:
-            a = parent[a]
-        least[a] = min(least.get(a, 1 << 60), r["doc_id"])
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), 1 << 60), d)
     one = stages["near_duplicates"](spark, known, SF).cache()
+    assert len(least) < len(rows)
     assert sorted(r.doc_id for r in one.collect()) == sorted(least.values()) and one.columns == docs.columns
 
     safe = {r["doc_id"]: r for r in plain(stages["secrets"](spark, one, SF))}

@@ -16,7 +16,6 @@ only the named columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -124,11 +123,12 @@ def _compare(fps: np.ndarray, pops: np.ndarray, tile: np.ndarray, same: bool, ra
     return fps[linked], fps[labels[linked]]
 
 
-def _dealt(nodes: DataFrame, masks: list[int], radius: int, tile_rows: int) -> DataFrame:
-    """``(band, key, a, b, t, pop, fp)``: each fingerprint in every tile pair that may hold a link of it."""
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
-    rows = nodes.select("fp", F.bit_count("fp").cast("int").alias("pop"), F.explode(bands).alias("x")).select("x.band", "x.key", "pop", "fp")
-    # A histogram over population counts has 65 entries at most, whatever the bucket holds.
+def deal_tiles(rows: DataFrame, by: str, radius: int, tile_rows: int) -> DataFrame:
+    """Rows with ``a, b, t``: each in every tile pair of its bucket that may hold a link of it, ``t`` being its own tile.
+
+    ``rows`` has ``band, key`` (the bucket), ``pop`` and ``by``, which deals a population count's rows to its tiles.
+    """
+    # A histogram over population counts has few entries, whatever the bucket holds.
     tiles = (
         rows.groupBy("band", "key", "pop").count()
         .groupBy("band", "key").agg(F.sum("count").alias("n"), F.array_sort(F.collect_list(F.struct("pop", "count"))).alias("h"))
@@ -145,14 +145,19 @@ def _dealt(nodes: DataFrame, masks: list[int], radius: int, tile_rows: int) -> D
     ).select("band", "key", "x.*")
     tiles = cut(tiles, "simhash-tiles")
     if tiles.isEmpty():
-        zero = F.lit(0)
-        return rows.select("band", "key", zero.alias("a"), zero.alias("b"), zero.alias("t"), "pop", "fp")
+        return rows.select("*", *(F.lit(0).alias(n) for n in ("a", "b", "t")))
     joined = rows.join(tiles, ["band", "key", "pop"], "left").withColumn(
-        "t", F.coalesce(F.col("first") + F.pmod(F.xxhash64("fp"), F.col("nt")), F.lit(0)).cast("int")
-    )
-    return joined.withColumn("o", F.explode(F.sequence(F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit(0))))).select(
-        "band", "key", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "t", "pop", "fp"
+        "t", F.coalesce(F.col("first") + F.pmod(F.xxhash64(by), F.col("nt")), F.lit(0)).cast("int")
     )
+    spread = joined.withColumn("o", F.explode(F.sequence(F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit(0)))))
+    return spread.select(*rows.columns, F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "t")
+
+
+def _dealt(nodes: DataFrame, masks: list[int], radius: int, tile_rows: int) -> DataFrame:
+    """``(band, key, a, b, t, pop, fp)``: each fingerprint in the tile pairs of all its buckets."""
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
+    rows = nodes.select("fp", F.bit_count("fp").cast("int").alias("pop"), F.explode(bands).alias("x")).select("x.band", "x.key", "pop", "fp")
+    return deal_tiles(rows, "fp", radius, tile_rows)
 
 
 def near_links(nodes: DataFrame, count: int, radius: int = RADIUS, tile_rows: int = TILE_ROWS, block: int = BLOCK_ROWS) -> DataFrame:
