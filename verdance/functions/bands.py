@@ -157,3 +157,21 @@ def spectral_angle(u: Column, v: Column) -> Column:
     # greatest() and least() skip NULL, so a missing length is decided first.
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v) / F.nullif(norm, F.lit(0.0))))
     return F.when(norm > 0, F.degrees(F.acos(cosine))).otherwise(F.lit(90.0))
+
+
+def utm(lon: Column, lat: Column, zone: int = 34) -> tuple[Column, Column]:
+    """Easting and northing of WGS84 degrees on the northern half of a zone (series good to millimetres)."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    c = 2 * math.sqrt(n) / (1 + n)
+    s = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - c * F.atanh(c * s))
+    d = F.radians(lon - F.lit(6.0 * zone - 183))
+    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for j, x in enumerate(alpha, 1):
+        east = east + x * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + x * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return k0 * radius * east + 500000, k0 * radius * north
