@@ -134,10 +134,10 @@ def text_digest(text_col: str) -> Column:
 
 
 def _signed_docs(docs: DataFrame, text_col: str, ids: list[str], words: int) -> DataFrame:
-    """``ids``, ``node`` (digest of the text), ``fp``, ``size`` and ``keys`` of each row."""
+    """``ids``, ``node`` (digest of the text), ``fp``, ``pop`` (its bits set), ``size`` and ``keys`` of each row."""
     source = docs.select(*ids, text_digest(text_col).alias("node"), F.col(text_col).alias("__text"))
     kept = len(ids) + 1
-    names = [*ids, "node", "fp", "size", "keys"]
+    names = [*ids, "node", "fp", "pop", "size", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +148,9 @@ def _signed_docs(docs: DataFrame, text_col: str, ids: list[str], words: int) ->
                 fps.append(fp)
                 sizes.append(h.size)
                 keys.append(key)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), pa.array(fps, pa.binary()), pa.array([int.from_bytes(f).bit_count() for f in fps], pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names)
 
-    added = [T.StructField("fp", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    added = [T.StructField("fp", T.BinaryType()), T.StructField("pop", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     return source.mapInArrow(run, T.StructType([*source.schema.fields[:kept], *added]))
 
 
@@ -158,9 +158,7 @@ def _candidates(nodes: DataFrame, similarity: float, tile_rows: int, block: int)
     """Links ``(u, v)`` between nodes that span those within the radius."""
     radius = radius_of(similarity)
     words = BITS // 64
-    parts = [F.conv(F.hex(F.substring("fp", 8 * w + 1, 8)), 16, 2) for w in range(words)]
-    pop = sum(F.length(F.replace(p, F.lit("0"), F.lit(""))) for p in parts).cast("int")
-    rows = nodes.select("node", "fp", "size", pop.alias("pop"), F.posexplode("keys").alias("band", "key"))
+    rows = nodes.select("node", "fp", "size", "pop", F.posexplode("keys").alias("band", "key"))
     dealt = deal_tiles(rows, "node", radius, tile_rows)
     keys = ["band", "key", "a", "b"]
     ordered = dealt.select(*keys, "t", "pop", "size", "node", "fp").repartition(*keys).sortWithinPartitions(*keys, "pop", "node")
@@ -232,7 +230,7 @@ def near_duplicates(
     ids = [id_col, *(c for c in keep if c != id_col)]
     signed = cut(_signed_docs(docs, text_col, ids, words), "similar-signed")
     one = lambda c: F.any_value(c).alias(c)  # noqa: E731  equal for equal texts
-    nodes = cut(signed.groupBy("node").agg(one("fp"), one("size"), one("keys"), F.count("*").alias("n")), "similar-nodes")
+    nodes = cut(signed.groupBy("node").agg(one("fp"), one("pop"), one("size"), one("keys"), F.count("*").alias("n")), "similar-nodes")
     rows = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     links = cut(_candidates(nodes, similarity, tile_rows, block), "similar-links")
     label = roots(_verified(links, docs, text_col, words, similarity), "similar-components").withColumnRenamed("root", "group")
