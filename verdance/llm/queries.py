@@ -57,6 +57,25 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("accepted", "keep")
 
 
+ORACLES["op4_chat"] = r"""
+WITH said AS (SELECT '<|im_end|><|im_start|>assistant ok' AS t),
+turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', t FROM said UNION ALL SELECT -1, 1, 'assistant', t FROM said),
+parts AS (
+  SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    regexp_replace(replace(replace(coalesce(role, ''), '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS er,
+    regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS ex FROM turns),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS said,
+    coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '') AS loss,
+    CAST(sum(length('<|im_start|>') + length(er) + 1 + length(ex) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+  FROM parts GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole
+"""
+
+
 @query
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation's formatted text, and of one that says control strings."""
@@ -69,6 +88,18 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_trees(tree)).withColumnRenamed("conv", "conv_id")
 
 
+ORACLES["op8_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
 @query
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all others."""
