@@ -72,8 +72,11 @@ def knn_labels(points: DataFrame, known: DataFrame, features: str, label: str, k
     return ranked.withColumn("__r", best).where("__r = 1").drop("__r")
 
 
-def unordered_pairs(df: DataFrame, key: str, left: str = "a", right: str = "b") -> DataFrame:
-    """All pairs of rows with ``key`` rising, for tables of a checked few rows."""
+def unordered_pairs(df: DataFrame, key: str, left: str = "a", right: str = "b", most: int = 2000) -> DataFrame:
+    """All pairs of rows with ``key`` rising, of a table of ``most`` rows at most (checked)."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows; {most} at most, as all pairs are made")
     one = df.select(*(F.col(c).alias(f"{c}_{left}") for c in df.columns))
     two = df.select(*(F.col(c).alias(f"{c}_{right}") for c in df.columns))
     return one.join(two, F.col(f"{key}_{left}") < F.col(f"{key}_{right}"))

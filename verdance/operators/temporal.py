@@ -34,14 +34,17 @@ def monthly_climatology(df: DataFrame, value: str, keys: tuple[str, ...], before
 
 
 def deviations(df: DataFrame, value: str, keys: tuple[str, ...], before: int, day: str = "day") -> DataFrame:
-    """Daily means joined with their climatology: ``keys, day, value, predicted, rd``.
+    """Daily means with their climatology: ``keys, day, value, predicted, rd``; months without a base year are left out.
 
-    Both sides hash on the pixel keys, so the join follows the daily mean's partitioning.
+    Daily means are dealt by ``keys`` once; the climatology is a window over key and
+    month, so neither it nor later aggregates and windows by key shuffle again.
     """
-    daily = daily_mean(df, {"value": F.col(value)}, day, keys)
-    pred = monthly_climatology(daily, "value", keys, before, day)
-    out = daily.withColumn("month", F.month(day)).join(pred, [*keys, "month"])
-    return out.withColumn("rd", ratio(F.col("value") - F.col("predicted"), F.col("predicted"))).drop("month")
+    daily = daily_mean(df, {"value": F.col(value)}, day, keys).repartition(*keys)
+    daily = daily.withColumns({"__m": F.month(day), "__base": F.year(day) < before})
+    w = Window.partitionBy(*keys, "__m")
+    out = daily.withColumns({"predicted": F.avg(F.when(F.col("__base"), F.col("value"))).over(w), "__n": F.count(F.when(F.col("__base"), 1)).over(w)})
+    out = out.where("__n > 0").drop("__m", "__base", "__n")
+    return out.withColumn("rd", ratio(F.col("value") - F.col("predicted"), F.col("predicted")))
 
 
 def beyond_sigma(df: DataFrame, value: str, keys: tuple[str, ...], strict: bool = False, negative: bool = True, sample: bool = False) -> DataFrame:
