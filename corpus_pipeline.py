@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.llm import langid, packing, quality, secrets, similar
-from verdance.llm.common import cut, table
+from verdance.llm.common import cut, drop_written, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text of LEAST_GRAMS n-grams or more is rejected if its best language knows a smaller share of them than LEAST_SHARE.
@@ -77,8 +77,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's own tables and its input go when its result is written."""
+    docs, first = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_written(spark, first, keep_last=True)
     return docs

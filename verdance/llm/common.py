@@ -41,12 +41,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete the tables that :func:`cut` wrote in this process; call when results are stored."""
-    jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def written() -> int:
+    """How many tables :func:`cut` has written in this process and that are still there."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, first: int = 0, keep_last: bool = False) -> None:
+    """Delete written tables from the ``first`` on, once what reads them is stored; the last may stay."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    end = len(_WRITTEN) - keep_last
+    for name in _WRITTEN[first:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del _WRITTEN[first:end]
 
 
 def least_hash(ids: DataFrame, column: str, rows: int) -> DataFrame:
