@@ -151,6 +151,20 @@ def test_resampling(spark):
         assert len(flat) == 16 and all(abs(r.v - 5) < 1e-9 for r in flat)
 
 
+def test_resampling_by_resolution(spark):
+    df = chip(spark, np.arange(100).reshape(10, 10))
+    same = raster.resample_to(df, ("image",), 0.5, 0.5, "average")
+    assert same.count() == 100
+    odd = raster.resample_to(df, ("image",), 1.0, 2.5, "max").orderBy("brow", "bcol").collect()
+    assert len(odd) == 16 and odd[0].v == 22.0 and odd[-1].v == 99.0  # blocks of 3 and 2 pixels
+    every = raster.sweep(df, ("image",), 1.0, (2, 5), (*raster.AGGREGATES, "mode", *raster.KERNELS))
+    counts = {(r.resolution, r.method): r["count"] for r in every.groupBy("resolution", "method").count().collect()}
+    assert len(counts) == 28 and set(counts.values()) == {25, 4}
+    for bad in ({"method": "gauss"}, {"method": "max", "projected": False}, {"method": "cubic"}):
+        with pytest.raises(ValueError):
+            raster.resample_to(df, ("image",), 1.0, 2.5, **bad)
+
+
 def test_texture_of_constant_and_known_images(spark):
     flat = raster.glcm(raster.grey_levels(chip(spark, np.ones((8, 8))), ("image",)), ("image",)).first()
     assert (flat.contrast, flat.dissimilarity, flat.homogeneity, flat.energy, flat.correlation, flat.asm) == (0, 0, 1, 1, None, 1)

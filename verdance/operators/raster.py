@@ -22,14 +22,14 @@ AGGREGATES = {
 KERNELS = ("nearest", "bilinear", "cubic", "cubic_spline", "lanczos")
 
 
-def block_keys(df: DataFrame, keys: tuple[str, ...], scale: int, value: str = "v") -> DataFrame:
+def block_keys(df: DataFrame, keys: tuple[str, ...], scale: float, value: str = "v") -> DataFrame:
     """Rows with the block they fall in; blocks beyond the truncated output size are dropped."""
     size = df.groupBy(*keys).agg((F.floor((F.max("prow") + 1) / scale)).alias("__h"), (F.floor((F.max("pcol") + 1) / scale)).alias("__w"))
     out = df.withColumn("brow", F.floor(F.col("prow") / scale)).withColumn("bcol", F.floor(F.col("pcol") / scale)).join(size, list(keys))
     return out.where((F.col("brow") < F.col("__h")) & (F.col("bcol") < F.col("__w"))).drop("__h", "__w")
 
 
-def resample(df: DataFrame, keys: tuple[str, ...], scale: int, methods: tuple[str, ...], value: str = "v") -> DataFrame:
+def resample(df: DataFrame, keys: tuple[str, ...], scale: float, methods: tuple[str, ...], value: str = "v") -> DataFrame:
     """``keys, brow, bcol`` and one column per aggregating method; unknown methods are an error."""
     unknown = [m for m in methods if m not in AGGREGATES and m != "mode"]
     if unknown:
@@ -94,6 +94,36 @@ def resample_kernel(df: DataFrame, keys: tuple[str, ...], scale: int, method: st
     return out
 
 
+def resample_to(df: DataFrame, keys: tuple[str, ...], current: float, target: float, method: str, value: str = "v", projected: bool = True) -> DataFrame:
+    """``keys, brow, bcol, value`` at a coarser resolution by any method.
+
+    The same resolution gives the pixels themselves; a grid in degrees is an error, as are
+    unknown methods and, for kernels, targets that are no multiple of the resolution.
+    """
+    if not projected:
+        raise ValueError("resolutions are in metres: project the grid first")
+    if method not in AGGREGATES and method != "mode" and method not in KERNELS:
+        raise ValueError(f"unknown method {method!r}")
+    if target == current:
+        return df.select(*keys, F.col("prow").alias("brow"), F.col("pcol").alias("bcol"), value)
+    scale = target / current
+    if method in KERNELS:
+        if scale != int(scale):
+            raise ValueError(f"{target} is no multiple of {current}")
+        return resample_kernel(df, keys, int(scale), method, value)
+    return resample(df, keys, scale, (method,), value).withColumnRenamed(method, value)
+
+
+def sweep(df: DataFrame, keys: tuple[str, ...], current: float, targets: tuple[float, ...], methods: tuple[str, ...], value: str = "v") -> DataFrame:
+    """All targets by all methods end to end, with ``resolution`` and ``method``."""
+    out = None
+    for target in targets:
+        for method in methods:
+            one = resample_to(df, keys, current, target, method, value).withColumns({"resolution": F.lit(float(target)), "method": F.lit(method)})
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fill_nearest(df: DataFrame, keys: tuple[str, ...], value: str = "v", reach: int = 2, keep: str | None = None) -> DataFrame:
     """NULL pixels take the nearest value within ``reach`` rows and columns; ties take the least row, then column.
 
