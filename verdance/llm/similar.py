@@ -202,11 +202,13 @@ def _candidates(nodes: DataFrame, similarity: float, tile_rows: int, block: int)
     return ordered.mapInArrow(run, "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _verified(links: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Links whose texts have the similarity."""
+def _verified(links: DataFrame, docs: DataFrame, hot: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links whose texts have the similarity; ``hot`` names the few texts with very many copies."""
     ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    texts = docs.select(text_digest(text_col).alias("node"), F.col(text_col).alias("text"))
-    texts = cut(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), "similar-texts")
+    every = docs.select(text_digest(text_col).alias("node"), F.col(text_col).alias("text"))
+    copied = every.join(F.broadcast(hot), "node", "left_semi").dropDuplicates(["node"])  # one of each, before the shuffle
+    others = every.join(F.broadcast(hot), "node", "left_anti").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    texts = cut(copied.unionByName(others), "similar-texts")
     both = links.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +235,10 @@ def near_duplicates(
     nodes = cut(signed.groupBy("node").agg(one("fp"), one("pop"), one("size"), one("keys"), F.count("*").alias("n")), "similar-nodes")
     rows = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     links = cut(_candidates(nodes, similarity, tile_rows, block), "similar-links")
-    label = roots(_verified(links, docs, text_col, words, similarity), "similar-components").withColumnRenamed("root", "group")
+    hot = F.col("n") * HOT_SHARE > rows  # HOT_SHARE nodes at most
+    verified = _verified(links, docs, nodes.where(hot).select("node"), text_col, words, similarity)
+    label = roots(verified, "similar-components").withColumnRenamed("root", "group")
     named = nodes.select("node", "n").join(label, "node", "left").select("node", F.coalesce("group", "node").alias("group"), "n")
-    hot = F.col("n") * HOT_SHARE > rows
     many, few = F.broadcast(named.where(hot).drop("n")), named.where(~hot).drop("n")
     out = signed.select(*ids, "node")
     return out.join(many, "node").unionByName(out.join(many.select("node"), "node", "left_anti").join(few, "node")).select(*ids, "node", "group")
