@@ -4,7 +4,7 @@ For links as loose as a similarity of 0.8 a 64-bit fingerprint is too narrow and
 its radius too wide for pigeonhole bands, so this variant uses ``BITS`` bits over
 distinct five-word shingles, and deals fingerprints into buckets by banded minima
 of the same shingle hashes (a pair of similarity 0.8 shares a bucket with
-probability above 0.9998).  Inside a bucket the comparison is the tiled exact one:
+probability 0.9998 and lies within the radius with 0.999).  Inside a bucket the comparison is the tiled exact one:
 exclusive-or and bit counts over tile pairs sorted by population count, skipping
 pairs whose population counts differ beyond the radius, and here also those whose
 shingle counts exclude the similarity.  Of the links in a tile pair a spanning
