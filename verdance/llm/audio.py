@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, map_arrow
 
 #: Seconds of a frame and between frames; range of pitches in Hz.
 FRAME_S, HOP_S = 0.256, 0.064
@@ -164,7 +164,7 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
             items = [fingerprint(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["id", "items"])
 
-    return source.mapInArrow(run, T.StructType([source.schema.fields[0], T.StructField("items", T.ArrayType(T.LongType()))]))
+    return map_arrow(source, run, T.StructType([source.schema.fields[0], T.StructField("items", T.ArrayType(T.LongType()))]))
 
 
 def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -242,4 +242,4 @@ def tunes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 part = batch.slice(i, 200)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tune(v.as_py()) for v in part.column(1)], pa.binary())], ["id", "audio"])
 
-    return source.mapInArrow(run, T.StructType([source.schema.fields[0], T.StructField("audio", T.BinaryType())]))
+    return map_arrow(source, run, T.StructType([source.schema.fields[0], T.StructField("audio", T.BinaryType())]))

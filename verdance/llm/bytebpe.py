@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 #: Characters of a text's leaf; bytes of a pre-token's leaf; ids of a decoding leaf.
 LEAF_CHARS = 512
 LEAF_BYTES = 64
@@ -161,7 +163,7 @@ def _mapped(source: DataFrame, fields: list[T.StructField], row) -> DataFrame:
                 columns = [pa.array(c, k) for c, k in zip(zip(*made), kinds)] if made else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [name, *types.names])
 
-    return source.mapInArrow(run, T.StructType([source.schema.fields[0], *fields]))
+    return map_arrow(source, run, T.StructType([source.schema.fields[0], *fields]))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

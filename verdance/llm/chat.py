@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, map_arrow
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _MARKED = re.compile(r"<(\\*)\|")
@@ -143,7 +143,7 @@ def format_trees(tree: DataFrame, best: int = 1, learned: tuple[str, ...] = LEAR
 
     fields = rows.schema.fields
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return rows.mapInArrow(run, T.StructType([T.StructField("conv", kind), *fields[1:4], T.StructField("formatted", T.StringType()), T.StructField("loss_spans", spans)]))
+    return map_arrow(rows, run, T.StructType([T.StructField("conv", kind), *fields[1:4], T.StructField("formatted", T.StringType()), T.StructField("loss_spans", spans)]))
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv") -> DataFrame:
@@ -164,4 +164,4 @@ def read_back(formatted: DataFrame, id_col: str = "conv") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names)
 
     types = (T.LongType(), T.StringType(), T.LongType(), T.StringType(), T.LongType())
-    return source.mapInArrow(run, T.StructType([source.schema.fields[0], *(T.StructField(n, k) for n, k in zip(names[1:], types))]))
+    return map_arrow(source, run, T.StructType([source.schema.fields[0], *(T.StructField(n, k) for n, k in zip(names[1:], types))]))

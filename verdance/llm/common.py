@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Rows and bytes of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 _WRITTEN: list[str] = []
+_OWN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +27,9 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="verdance-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="verdance-shared-"))
+        root = _OWN[0]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -41,6 +48,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size: a worker holds a few of them at once, whatever the rows' texts.
+
+    Spark's own limits (10000 rows or 64 MB) are lowered for the session; a user's smaller ones stay.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.sub("[bB]$", "", str(conf.get(name)))
+        if not now.lstrip("-").isdigit() or int(now) <= 0 or int(now) > most:
+            conf.set(name, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def written() -> int:
     """How many tables :func:`cut` has written in this process and that are still there."""
     return len(_WRITTEN)

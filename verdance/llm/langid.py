@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, least_hash, text_column
+from .common import cut, least_hash, map_arrow, text_column
 
 UNDETERMINED = "und"
 #: Labelled rows that training uses at most, those of least id hash.
@@ -156,7 +156,7 @@ def train(
                 codes, seen = np.append(codes.view(np.int64), -1), np.append(seen, len(found))  # -1: documents
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * codes.size), pa.array(codes), pa.array(seen.astype(np.int64))], ["lang", "code", "n"])
 
-    counts = cut(source.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "langid-grams")
+    counts = cut(map_arrow(source, run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "langid-grams")
     sizes = {r.lang: r.n for r in counts.where("code = -1").collect()}
     grams_of = []
     for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
@@ -185,4 +185,4 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id
             columns = [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *columns], [*names, *(f.name for f in added)])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(names)], *added]))
+    return map_arrow(source, run, T.StructType([*source.schema.fields[: len(names)], *added]))

@@ -3,13 +3,14 @@
 Words that occur once in a stretch of text and once in a template anchor an
 alignment; the longest increasing subsequence of anchors is kept, and the gaps
 between anchors are aligned in turn.  Gaps without anchors take their common
-rims and, if small, a longest common subsequence.  A template is found where the
+rims and a longest common subsequence.  A template is found where the
 aligned words cover at least ``COVERAGE`` of it.
 
 Where to align: a covered stretch must hold one of a template's trigger words,
 chosen so that the words left over are fewer than the coverage asks for.  Around
 each trigger a window of the template's length on either side is aligned if it
-has enough of the template's words at all, so the work is linear in the text.
+shares enough words, counted with repeats, with the template: a bound on any
+alignment.  The work is linear in the text.
 
 Defined results: whole texts are scanned; null and blank texts have no finding
 and so no row; repeated rows give their findings once each; null ids are kept;
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 COVERAGE = 0.8
-#: Products of gap lengths up to which a gap without anchors is aligned in full.
-SMALL_GAP = 4096
 
 # Public license notices.
 TEMPLATES = {
@@ -146,8 +147,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         place = {w: j for j, w in enumerate(b[b0:b1], b0) if theirs[w] == 1}
         chain = increasing([(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if ours[w] == 1 and w in place])
         if not chain:
-            if (a1 - a0) * (b1 - b0) <= SMALL_GAP:
-                out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
+            out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
             continue
         out += chain
         i0, j0 = a0, b0
@@ -164,7 +164,8 @@ class Template:
     def __init__(self, name: str, text: str, coverage: float):
         self.name, self.words = name, words_of(text)
         self.need = max(1, math.ceil(coverage * len(self.words) - 1e-9))
-        counts, held, self.triggers = Counter(self.words), 0, []
+        self.counts = counts = Counter(self.words)
+        held, self.triggers = 0, []
         for word in sorted(counts, key=lambda w: (-len(w), w)):
             if held > len(self.words) - self.need:
                 break
@@ -190,6 +191,9 @@ class Scanner:
             low, high = max(done, hit - size), min(len(words), hit + size + 1)
             if bisect_right(known, high - 1) - bisect_left(known, low) < template.need:
                 continue
+            here = Counter(words[low:high])
+            if sum(min(n, here[w]) for w, n in template.counts.items()) < template.need:
+                continue
             pairs = align(words[low:high], template.words)
             if len(pairs) >= template.need:
                 first, last = low + pairs[0][0], low + pairs[-1][0] + 1
@@ -232,4 +236,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([g / s for g, s in zip(got, size)])], names)
 
     fields = [source.schema.fields[0], T.StructField("license", T.StringType()), *(T.StructField(n, T.LongType()) for n in names[2:6]), T.StructField("coverage", T.DoubleType())]
-    return source.mapInArrow(run, T.StructType(fields))
+    return map_arrow(source, run, T.StructType(fields))

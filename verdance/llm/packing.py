@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .common import map_arrow
+
 LENGTH = 2048
 END_ID = 1
 SENTENCE_PENALTY = 2.0
@@ -265,4 +267,4 @@ def pack(
     fields = [T.StructField(id_col, kind), *(T.StructField(n, T.LongType()) for n in names[1:9])]
     if ids:
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
-    return source.mapInArrow(run, T.StructType(fields))
+    return map_arrow(source, run, T.StructType(fields))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import least_hash, text_column, utf8
+from .common import least_hash, map_arrow, text_column, utf8
 
 LABELLED_ROWS = 6000
 POOL_ROWS = 6000
@@ -211,7 +211,7 @@ def train(
                 key = pa.array([zlib.crc32(repr(i).encode()) for i in batch.column(1).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([key, batch.column(0), *cols], ["key", "y", "content", "meta"])
 
-    rows = source.mapInArrow(run, "key long, y int, content binary, meta binary").orderBy("key", "y", F.xxhash64("content")).toArrow()
+    rows = map_arrow(source, run, "key long, y int, content binary, meta binary").orderBy("key", "y", F.xxhash64("content")).toArrow()
     y = np.array([-1 if v is None else v for v in rows.column("y").to_pylist()], np.int64)
     width = [TRIGRAM_SLOTS + 3, NAME_SLOTS * len(name_cols) + 4 + 2 * len(_CLASSES)]
     xs = [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.float16).astype(np.float32).reshape(-1, w) for c, w in zip(("content", "meta"), width)]
@@ -237,4 +237,4 @@ def score(
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(names))), pa.array(got), pa.array(got >= threshold)], [*names, "score", "accepted"])
 
     fields = [*source.schema.fields[: len(names)], T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
-    return source.mapInArrow(run, T.StructType(fields))
+    return map_arrow(source, run, T.StructType(fields))

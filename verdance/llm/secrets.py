@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_column
+from .common import map_arrow, text_column
 
 #: The kinds of base findings, in their order.
 BASE_KINDS = ("assign", "access", "hex")
@@ -228,7 +228,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays(columns + [pa.array(clean, pa.string())] * redacted, [*names, "base", "spans", *["redacted"] * redacted])
 
     fields = [*source.schema.fields[: len(names)], T.StructField("base", SPANS), T.StructField("spans", SPANS)]
-    return source.mapInArrow(run, T.StructType(fields + [T.StructField("redacted", T.StringType())] * redacted))
+    return map_arrow(source, run, T.StructType(fields + [T.StructField("redacted", T.StringType())] * redacted))
 
 
 def joined(spans) -> object:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, link_labels, utf8
+from .common import cut, link_labels, map_arrow, utf8
 from .components import roots
 
 SHINGLE_WORDS = 4
@@ -71,7 +71,7 @@ def with_fingerprints(docs: DataFrame, text_col: str, keep: list[str], words: in
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(fps)], [*keep, "fp"])
 
     schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField("fp", T.LongType(), False)])
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def band_masks(count: int, radius: int, bucket_rows: int) -> list[int]:
@@ -198,7 +198,7 @@ def near_links(nodes: DataFrame, count: int, radius: int = RADIUS, tile_rows: in
         if held and (out := flush(held)):
             yield out
 
-    return ordered.mapInArrow(run, "u long, v long").distinct()
+    return map_arrow(ordered, run, "u long, v long").distinct()
 
 
 def near_duplicates(

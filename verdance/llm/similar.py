@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, utf8
+from .common import cut, map_arrow, utf8
 from .components import roots
 from .simhash import HOT_SHARE, SEED, deal_tiles
 
@@ -151,7 +151,7 @@ def _signed_docs(docs: DataFrame, text_col: str, ids: list[str], words: int) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), pa.array(fps, pa.binary()), pa.array([int.from_bytes(f).bit_count() for f in fps], pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names)
 
     added = [T.StructField("fp", T.BinaryType()), T.StructField("pop", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:kept], *added]))
+    return map_arrow(source, run, T.StructType([*source.schema.fields[:kept], *added]))
 
 
 def _candidates(nodes: DataFrame, similarity: float, tile_rows: int, block: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _candidates(nodes: DataFrame, similarity: float, tile_rows: int, block: int)
         if held is not None and (out := flush(held, *cuts(held))):
             yield out
 
-    return ordered.mapInArrow(run, "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return map_arrow(ordered, run, "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _verified(links: DataFrame, docs: DataFrame, hot: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
@@ -221,7 +221,7 @@ def _verified(links: DataFrame, docs: DataFrame, hot: DataFrame, text_col: str,
                 keep.append(total == 0 or shared >= similarity * total - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "tu", "tv").mapInArrow(run, "u binary, v binary")
+    return map_arrow(both.select("u", "v", "tu", "tv"), run, "u binary, v binary")
 
 
 def near_duplicates(
