@@ -251,6 +251,19 @@ def test_change_detection_finds_a_planted_break(spark):
     assert [r.segment for r in got if r.k == 2] == [1]
 
 
+def test_clouded_observations_are_screened(spark):
+    rng = np.random.default_rng(6)
+    t = np.arange(2015, 2020, 1 / 30)
+    y = 0.4 + 0.1 * np.cos(2 * np.pi * t) + rng.normal(0, 0.01, t.size)
+    swir = 0.2 + rng.normal(0, 0.01, t.size)
+    clouds = rng.choice(t.size, 12, replace=False)
+    swir[clouds] += 0.3
+    assert set(clouds) <= set(np.flatnonzero(harmonic.screened(t, swir[:, None]))) and harmonic.screened(t, swir[:, None]).sum() < 20
+    rows = [(1, float(a), float(b), float(c)) for a, b, c in zip(t, y, swir)]
+    got = harmonic.ccdc(spark.createDataFrame(rows, "k int, t double, value double, swir double"), ("k",), screen=("swir",)).collect()
+    assert len(got) == 1 and got[0].t_break is None and got[0].n <= t.size - 12
+
+
 def test_clusters():
     rng = np.random.default_rng(3)
     a, b = rng.normal(0, 0.1, (60, 3)), rng.normal(3, 0.1, (40, 3))

@@ -45,6 +45,27 @@ def predict(t: np.ndarray, coefs: np.ndarray) -> np.ndarray:
     return basis(t) @ coefs
 
 
+def screened(t: np.ndarray, y: np.ndarray, limit: float = 4.685, rounds: int = 5) -> np.ndarray:
+    """Observations that a robust yearly model leaves far out in any column: clouds and shadows that masks missed.
+
+    Iterated bisquare weights; far is beyond ``limit`` scaled median deviations.
+    """
+    out = np.zeros(len(t), bool)
+    if len(t) < 8:
+        return out
+    a = basis(t)[:, :4]
+    for v in y.T:
+        w = np.ones(len(t))
+        for _ in range(rounds):
+            c = np.linalg.lstsq(a * w[:, None], v * w, rcond=None)[0]
+            res = v - a @ c
+            scale = max(1.4826 * np.median(np.abs(res - np.median(res))), 1e-9)
+            u = np.clip(res / (limit * scale), -1, 1)
+            w = np.sqrt((1 - u**2) ** 2)
+        out |= np.abs(res) > limit * scale
+    return out
+
+
 def _terms(n: int) -> int:
     """Terms that ``n`` observations support: three for each harmonic's pair and the trend."""
     return 8 if n >= 24 else 6 if n >= 18 else 4 if n >= 12 else 2
@@ -131,11 +152,15 @@ def harmonic_fit(df: DataFrame, keys: tuple[str, ...], t: str = "t", value: str
     return df.select(*keys, t, value).groupBy(*keys).applyInPandas(one, schema)
 
 
-def ccdc(df: DataFrame, keys: tuple[str, ...], t: str = "t", bands: tuple[str, ...] = ("value",), **parameters) -> DataFrame:
-    """One row per segment: ``keys, segment, t_start, t_end, t_break, prob, magnitude, rmse, coefs, n`` (magnitude, rmse and coefs of the first band)."""
+def ccdc(df: DataFrame, keys: tuple[str, ...], t: str = "t", bands: tuple[str, ...] = ("value",), screen: tuple[str, ...] = (), **parameters) -> DataFrame:
+    """Segments of each key's series; observations that ``screen`` bands show to be clouded are left out first.
+
+    One row per segment: ``keys, segment, t_start, t_end, t_break, prob, magnitude, rmse, coefs, n`` (magnitude, rmse and coefs of the first band)."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        good = pdf.dropna(subset=[t, *bands]).sort_values([t, *bands])
+        good = pdf.dropna(subset=[t, *bands, *screen]).sort_values([t, *bands])
+        if screen:
+            good = good[~screened(good[t].to_numpy(float), good[list(screen)].to_numpy(float))]
         x, y = good[t].to_numpy(float), good[list(bands)].to_numpy(float)
         rows = []
         for s, seg in enumerate(segments(x, y, **parameters)):
@@ -145,4 +170,4 @@ def ccdc(df: DataFrame, keys: tuple[str, ...], t: str = "t", bands: tuple[str, .
 
     double = [T.StructField(n, T.DoubleType()) for n in ("t_start", "t_end", "t_break", "prob", "magnitude", "rmse")]
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("segment", T.LongType()), *double, T.StructField("coefs", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
-    return df.select(*keys, t, *bands).groupBy(*keys).applyInPandas(one, schema)
+    return df.select(*keys, t, *bands, *(c for c in screen if c not in bands)).groupBy(*keys).applyInPandas(one, schema)
