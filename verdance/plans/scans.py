@@ -204,11 +204,11 @@ def path_parts(spark, sf_dir):
 
 
 @query(
-    "SELECT scene, part, CAST(try_strptime(replace(string_split(name, '_')[3], '.tif', ''), '%Y-%m-%d') AS DATE) AS day FROM (SELECT scene, part, CASE WHEN fmask = 7 THEN 'GCC_Abisko_none.tif' ELSE 'GCC_Abisko_' || strftime(day, '%Y-%m-%d') || '.tif' END AS name FROM scenes)", "scenes"
+    "SELECT scene, part, CAST(try_strptime(replace(string_split(name, '_')[3], '.tif', ''), '%Y-%m-%d') AS DATE) AS day FROM (SELECT scene, part, CASE WHEN fmask = 7 THEN 'GCC_site_none.tif' ELSE 'GCC_site_' || strftime(day, '%Y-%m-%d') || '.tif' END AS name FROM scenes)", "scenes"
 )
 def filename_date(spark, sf_dir):
     """Date of a file name; NULL if it holds none."""
-    name = F.when(F.col("fmask") == 7, "GCC_Abisko_none.tif").otherwise(F.concat(F.lit("GCC_Abisko_"), F.date_format("day", "yyyy-MM-dd"), F.lit(".tif")))
+    name = F.when(F.col("fmask") == 7, "GCC_site_none.tif").otherwise(F.concat(F.lit("GCC_site_"), F.date_format("day", "yyyy-MM-dd"), F.lit(".tif")))
     s = scenes(spark, sf_dir).select("scene", "part", name.alias("name"))
     return s.select("scene", "part", F.try_to_date(F.replace(F.try_element_at(F.split("name", "_"), F.lit(3)), F.lit(".tif"), F.lit("")), "yyyy-MM-dd").alias("day"))
 
