@@ -224,6 +224,8 @@ def test_polygon_and_zonal(spark):
     pix = spark.range(900).selectExpr("id % 30 as x", "id div 30 as y")
     got = joins.zonal(pix, poly, "x", "y").groupBy("poly").count().collect()
     assert [tuple(r) for r in got] == [("a", 400)]
+    touched = joins.zonal(pix, poly, "x", "y", all_touched=True).groupBy("poly").count().collect()
+    assert {tuple(r) for r in touched} == {("a", 22 * 22), ("none", 1)}  # the rim runs along pixel borders
 
 
 def test_harmonic_fit_recovers_coefficients(spark):

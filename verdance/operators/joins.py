@@ -40,18 +40,33 @@ def inside_polygon(x: Column, y: Column, edges: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-def zonal(pixels: DataFrame, polygons: DataFrame, x: str, y: str, poly: str = "poly") -> DataFrame:
-    """Pixels with the polygon that holds them; a box test goes first.
+def touches_edge(x: Column, y: Column, edges: Column, half: float = 0.5) -> Column:
+    """Whether an edge crosses the square of half width ``half`` around a point (separating axes)."""
+
+    def crosses(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        near_x = (F.least(e["x1"], e["x2"]) <= x + half) & (F.greatest(e["x1"], e["x2"]) >= x - half)
+        near_y = (F.least(e["y1"], e["y2"]) <= y + half) & (F.greatest(e["y1"], e["y2"]) >= y - half)
+        return near_x & near_y & (F.abs((x - e["x1"]) * dy - (y - e["y1"]) * dx) <= half * (F.abs(dx) + F.abs(dy)))
+
+    return F.exists(edges, crosses)
+
+
+def zonal(pixels: DataFrame, polygons: DataFrame, x: str, y: str, poly: str = "poly", all_touched: bool = False) -> DataFrame:
+    """Pixels with the polygon that holds their centre or, with ``all_touched``, any part of them; a box test goes first.
 
     ``polygons`` has ``poly`` and ``edges``; tiles of the boxes' grid make the join an equi-join.
     """
-    side = 16.0
+    side, more = 16.0, 0.5 if all_touched else 0.0
     xs, ys = F.transform("edges", lambda e: e["x1"]), F.transform("edges", lambda e: e["y1"])
-    boxed = polygons.select(poly, "edges", F.array_min(xs).alias("__xa"), F.array_max(xs).alias("__xb"), F.array_min(ys).alias("__ya"), F.array_max(ys).alias("__yb"))
+    boxed = polygons.select(poly, "edges", (F.array_min(xs) - more).alias("__xa"), (F.array_max(xs) + more).alias("__xb"), (F.array_min(ys) - more).alias("__ya"), (F.array_max(ys) + more).alias("__yb"))
     tiled = boxed.withColumn("__tx", F.explode(F.sequence(cell(F.col("__xa"), 0, side), cell(F.col("__xb"), 0, side))))
     tiled = tiled.withColumn("__ty", F.explode(F.sequence(cell(F.col("__ya"), 0, side), cell(F.col("__yb"), 0, side))))
     keyed = pixels.withColumn("__tx", cell(F.col(x), 0, side)).withColumn("__ty", cell(F.col(y), 0, side))
-    hit = F.col(x).between(F.col("__xa"), F.col("__xb")) & F.col(y).between(F.col("__ya"), F.col("__yb")) & inside_polygon(F.col(x), F.col(y), F.col("edges"))
+    inside = inside_polygon(F.col(x), F.col(y), F.col("edges"))
+    if all_touched:
+        inside = inside | touches_edge(F.col(x), F.col(y), F.col("edges"))
+    hit = F.col(x).between(F.col("__xa"), F.col("__xb")) & F.col(y).between(F.col("__ya"), F.col("__yb")) & inside
     return keyed.join(tiled, ["__tx", "__ty"]).where(hit).select(*pixels.columns, poly)
 
 

@@ -133,11 +133,30 @@ _POLY = "edges AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {x1}, {y1}, {x2
 )
 def zonal_stats(spark, sf_dir):
     """Statistics of the pixels in each polygon."""
+    hit = J.zonal(grid(spark, sf_dir).select("x", "y", "v"), polygons(spark), "x", "y")
+    return hit.groupBy("poly").agg(F.lit("v").alias("band"), r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), F.count("v").alias("n"))
+
+
+def polygons(spark):
     edge = "struct<x1:double,y1:double,x2:double,y2:double>"
     rows = [(n, [tuple(e[1:]) for e in _EDGES if e[0] == n]) for n in POLYGONS]
-    polygons = spark.createDataFrame(rows, f"poly string, edges array<{edge}>")
-    hit = J.zonal(grid(spark, sf_dir).select("x", "y", "v"), polygons, "x", "y")
-    return hit.groupBy("poly").agg(F.lit("v").alias("band"), r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), F.count("v").alias("n"))
+    return spark.createDataFrame(rows, f"poly string, edges array<{edge}>")
+
+
+_TOUCH = _POLY.replace("SELECT *", "SELECT poly, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2")
+
+
+@query(
+    """SELECT poly, round(avg(v), 6) AS mean, count(v) AS n FROM (SELECT e.poly, g.id, g.v FROM (SELECT *, row_number() OVER () AS id FROM grid) g CROSS JOIN edges e GROUP BY e.poly, g.id, g.v
+     HAVING count(*) FILTER ((e.y1 > g.y) <> (e.y2 > g.y) AND g.x < (e.x2 - e.x1) * (g.y - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1) % 2 = 1
+      OR count(*) FILTER (least(e.x1, e.x2) <= g.x + 0.5 AND greatest(e.x1, e.x2) >= g.x - 0.5 AND least(e.y1, e.y2) <= g.y + 0.5 AND greatest(e.y1, e.y2) >= g.y - 0.5
+        AND abs((g.x - e.x1) * (e.y2 - e.y1) - (g.y - e.y1) * (e.x2 - e.x1)) <= 0.5 * (abs(e.x2 - e.x1) + abs(e.y2 - e.y1))) > 0) GROUP BY poly""",
+    "grid", _TOUCH,
+)
+def zonal_stats_touched(spark, sf_dir):
+    """Statistics of all pixels that a polygon touches."""
+    hit = J.zonal(grid(spark, sf_dir).select("x", "y", "v"), polygons(spark), "x", "y", all_touched=True)
+    return hit.groupBy("poly").agg(r6(F.avg("v")).alias("mean"), F.count("v").alias("n"))
 
 
 @query("SELECT scene, part, day, round(green, 6) AS green FROM scenes WHERE prow = 3 AND pcol = 7", "scenes")
