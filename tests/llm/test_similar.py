@@ -97,3 +97,19 @@ def test_spanning_links_span():
 
 def test_empty_table(spark):
     assert got_groups(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_partner_behind_rejected_links_is_found(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for _ in range(4):  # a text, its partner of just 0.8 and thirty rivals of 0.79, which look nearer here and there
+        base = [rng.choice(words) for _ in range(204)]
+        for s in [1.0, 0.8, *[0.79] * 30]:
+            k = int(200 * (1 - s) / (1 + s))
+            rows.append((len(rows), " ".join(base[: 204 - k] + [f"z{rng.randrange(10**9)}" for _ in range(k)])))
+    want = brute_groups(rows)
+    assert len(want) == len(rows) - 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({}, {"tile_rows": 16, "block": 8, "open_rows": 5}):
+        assert got_groups(df, **sizes) == want

@@ -9,7 +9,12 @@ exclusive-or and bit counts over tile pairs sorted by population count, skipping
 pairs whose population counts differ beyond the radius, and here also those whose
 shingle counts exclude the similarity.  Of the links in a tile pair a spanning
 tree of least distances is kept, so a group of copies gives as many links as
-members; each link's similarity is then computed from both texts.
+members; each link's similarity is then computed from both texts.  A tree whose
+links all hold connects its members.  Where one is rejected, it may have displaced
+a link that holds, so the tree's members are compared again: every pair within the
+radius that verified links don't connect yet, on both shingle sets.  The groups are
+thus the components of all pairs that share a bucket, lie within the radius and have
+the similarity, whatever the tile sizes.
 
 Defined results: null and blank texts have no shingles and are copies of each
 other; a text of fewer words than a shingle is one shingle; repeated rows are
@@ -19,6 +24,7 @@ an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -41,6 +47,8 @@ MARGIN = 3.0
 BANDS, BAND_ROWS = 12, 3
 TILE_ROWS = 8192
 BLOCK_ROWS = 512
+#: Members of a tree with a rejected link that are compared at once with as many others, on their shingle sets.
+OPEN_ROWS = 512
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, 64 + BITS // 64, dtype=np.uint64) | np.uint64(1)
@@ -128,6 +136,55 @@ def spanning_links(fps: np.ndarray, pops: np.ndarray, sizes: np.ndarray, sides:
     return out
 
 
+def tree_names(links: list[tuple[int, int]], nodes: list[bytes]) -> list[bytes]:
+    """For each link the digest of its tree's members, so that equal trees of several buckets have one name."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for p, q in links:
+        up[top(p)] = top(q)
+    members: dict[int, list[bytes]] = {}
+    for x in list(up):
+        members.setdefault(top(x), []).append(nodes[x])
+    names = {t: hashlib.md5(b"".join(sorted(m))).digest() for t, m in members.items()}
+    return [names[top(p)] for p, _ in links]
+
+
+def true_links(fps: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs within the radius whose shingle sets have the similarity and that join classes of ``labels`` (changed in place).
+
+    ``sides`` tells two chunks apart, whose pairs across are compared; None compares all pairs.
+    """
+    sizes = np.array([x.size for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    seen, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    terms = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    marked = np.zeros(seen.size, bool)
+    out: list[tuple[int, int]] = []
+    one, two = (np.arange(len(sets)),) * 2 if sides is None else (np.flatnonzero(sides == sides.min()), np.flatnonzero(sides != sides.min()))
+    for p in one.tolist():
+        v = two[two > p] if sides is None else two
+        v = v[labels[v] != labels[p]]
+        v = v[np.bitwise_count(fps[v] ^ fps[p]).sum(1) <= radius]
+        v = v[np.minimum(sizes[v], sizes[p]) >= similarity * np.maximum(sizes[v], sizes[p]) - 1e-9]
+        if not v.size:
+            continue
+        marked[terms[p]] = True
+        for q in v.tolist():
+            if labels[q] != labels[p]:
+                shared = int(np.count_nonzero(marked[terms[q]]))
+                total = int(sizes[p] + sizes[q]) - shared
+                if total == 0 or shared >= similarity * total - 1e-9:
+                    labels[labels == max(labels[p], labels[q])] = min(labels[p], labels[q])
+                    out.append((p, q))
+        marked[terms[p]] = False
+    return out
+
+
 def text_digest(text_col: str) -> Column:
     """Sixteen bytes that name a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
@@ -155,7 +212,7 @@ def _signed_docs(docs: DataFrame, text_col: str, ids: list[str], words: int) ->
 
 
 def _candidates(nodes: DataFrame, similarity: float, tile_rows: int, block: int) -> DataFrame:
-    """Links ``(u, v)`` between nodes that span those within the radius."""
+    """Links ``(u, v)`` between nodes that span those within the radius, with the ``tree`` that each is part of."""
     radius = radius_of(similarity)
     words = BITS // 64
     rows = nodes.select("node", "fp", "size", "pop", F.posexplode("keys").alias("band", "key"))
@@ -168,17 +225,19 @@ def _candidates(nodes: DataFrame, similarity: float, tile_rows: int, block: int)
 
         def flush(table: pa.Table, at: list[int], group: dict[str, np.ndarray]) -> pa.RecordBatch | None:
             fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), "<u8").reshape(-1, words)
-            us, vs = [], []
+            node = table.column("node").combine_chunks()
+            us, vs, trees = [], [], []
             for i, j in zip(at[:-1], at[1:]):
                 if j - i > 1:
                     same = group["a"][i] == group["b"][i]
                     found = spanning_links(fps[i:j], group["pop"][i:j], group["size"][i:j], None if same else group["t"][i:j], radius, similarity, block)
                     us += [i + p for p, _ in found]
                     vs += [i + q for _, q in found]
+                    if found:
+                        trees += tree_names(found, node.slice(i, j - i).to_pylist())
             if not us:
                 return None
-            node = table.column("node").combine_chunks()
-            return pa.RecordBatch.from_arrays([node.take(pa.array(us)), node.take(pa.array(vs))], ["u", "v"])
+            return pa.RecordBatch.from_arrays([node.take(pa.array(us)), node.take(pa.array(vs)), pa.array(trees, pa.binary())], ["u", "v", "tree"])
 
         def cuts(table: pa.Table) -> tuple[list[int], dict[str, np.ndarray]]:
             group = {n: table.column(n).to_numpy().astype(np.int64) for n in (*keys, "t", "pop", "size")}
@@ -199,16 +258,20 @@ def _candidates(nodes: DataFrame, similarity: float, tile_rows: int, block: int)
         if held is not None and (out := flush(held, *cuts(held))):
             yield out
 
-    return map_arrow(ordered, run, "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return map_arrow(ordered, run, "u binary, v binary, tree binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "tree").distinct()
 
 
-def _verified(links: DataFrame, docs: DataFrame, hot: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Links whose texts have the similarity; ``hot`` names the few texts with very many copies."""
+def _texts(links: DataFrame, docs: DataFrame, hot: DataFrame, text_col: str) -> DataFrame:
+    """``node`` and ``text`` of the links' ends; ``hot`` names the few texts with very many copies."""
     ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
     every = docs.select(text_digest(text_col).alias("node"), F.col(text_col).alias("text"))
     copied = every.join(F.broadcast(hot), "node", "left_semi").dropDuplicates(["node"])  # one of each, before the shuffle
     others = every.join(F.broadcast(hot), "node", "left_anti").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    texts = cut(copied.unionByName(others), "similar-texts")
+    return cut(copied.unionByName(others), "similar-texts")
+
+
+def _verified(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links whose texts have the similarity."""
     both = links.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +287,68 @@ def _verified(links: DataFrame, docs: DataFrame, hot: DataFrame, text_col: str,
     return map_arrow(both.select("u", "v", "tu", "tv"), run, "u binary, v binary")
 
 
+def _displaced(links: DataFrame, verified: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, rows: int) -> DataFrame:
+    """Links ``(u, v)`` that have the similarity and join what ``verified`` leaves apart in trees with a rejected link.
+
+    Members of a tree are dealt to chunks of about ``rows``, and a task holds two chunks of shingle sets at most.
+    """
+    radius = radius_of(similarity)
+    bad = links.join(verified, ["u", "v"], "left_anti").select("tree").distinct()
+    rest = links.join(bad, "tree", "left_semi")
+    members = rest.select("tree", F.col("u").alias("node")).union(rest.select("tree", "v")).distinct()
+    members = cut(members.join(label, "node", "left").select("tree", "node", F.coalesce("group", "node").alias("label")), "similar-members")
+    trees = members.groupBy("tree").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    trees = trees.where("lo <> hi").select("tree", F.ceil(F.col("n") / rows).cast("int").alias("nt"))
+    still = cut(members.join(trees, "tree"), "similar-open")
+    if still.isEmpty():
+        return verified.limit(0)
+    source = texts.join(still.select("node").distinct(), "node", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], ["node", "set"])
+
+    held = cut(map_arrow(source.select("node", "text"), sets, "node binary, set binary").join(nodes.select("node", "fp"), "node"), "similar-sets")
+    chunk = still.withColumn("t", F.pmod(F.xxhash64("node"), F.col("nt")).cast("int"))
+    dealt = chunk.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
+    dealt = dealt.select("tree", "node", "label", "t", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
+    keys = ["tree", "a", "b"]
+    ordered = dealt.join(held, "node").select(*keys, "t", "node", "label", "fp", "set").repartition(*keys).sortWithinPartitions(*keys, "node")
+
+    def compare(group: list[dict]) -> list[tuple[bytes, bytes]]:
+        fps = np.frombuffer(b"".join(r["fp"] for r in group), "<u8").reshape(len(group), -1)
+        labels = np.unique(np.array([r["label"].hex() for r in group]), return_inverse=True)[1]
+        sides = None if group[0]["a"] == group[0]["b"] else np.array([r["t"] for r in group])
+        if sides is not None and sides.min() == sides.max():
+            return []
+        found = true_links(fps, [np.frombuffer(r["set"], np.uint64) for r in group], labels, sides, radius, similarity)
+        return [(group[p]["node"], group[q]["node"]) for p, q in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = compare(group) if len(group) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(i)[k].as_py() for i, n in enumerate((*keys, "t", "node", "label", "fp", "set"))}
+                if group and any(row[n] != group[0][n] for n in keys):
+                    yield from flush()
+                    group.clear()
+                group.append(row)
+        yield from flush()
+
+    found = map_arrow(ordered, run, "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return cut(found.distinct(), "similar-displaced")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
     words: int = WORDS, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS, block: int = BLOCK_ROWS,
+    open_rows: int = OPEN_ROWS,
 ) -> DataFrame:
     """One row per input row: ``id_col``, ``keep``, ``node`` (text digest) and ``group`` (the least node of its component)."""
     ids = [id_col, *(c for c in keep if c != id_col)]
@@ -236,8 +358,13 @@ def near_duplicates(
     rows = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     links = cut(_candidates(nodes, similarity, tile_rows, block), "similar-links")
     hot = F.col("n") * HOT_SHARE > rows  # HOT_SHARE nodes at most
-    verified = _verified(links, docs, nodes.where(hot).select("node"), text_col, words, similarity)
+    pairs = links.select("u", "v").distinct()
+    texts = _texts(pairs, docs, nodes.where(hot).select("node"), text_col)
+    verified = cut(_verified(pairs, texts, words, similarity), "similar-verified")
     label = roots(verified, "similar-components").withColumnRenamed("root", "group")
+    more = _displaced(links, verified, label, nodes, texts, words, similarity, open_rows)
+    if not more.isEmpty():
+        label = roots(verified.union(more), "similar-components").withColumnRenamed("root", "group")
     named = nodes.select("node", "n").join(label, "node", "left").select("node", F.coalesce("group", "node").alias("group"), "n")
     many, few = F.broadcast(named.where(hot).drop("n")), named.where(~hot).drop("n")
     out = signed.select(*ids, "node")
