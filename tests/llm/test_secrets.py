@@ -59,6 +59,18 @@ def test_structures_are_confirmed():
     assert kinds(f"x {TOKEN}, y") == [("token", TOKEN)]
 
 
+def test_keys_in_other_line_forms():
+    p521 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\xce\x3d\2\1") + der(6, b"\x2b\x81\4\0\x23")) + der(4, b"k" * 214))
+    assert len(p521) == 241
+    for raw, kind in ((RSA, "der"), (PKCS8, "der"), (p521, "der"), (OPENSSH, "ssh")):
+        text = base64.b64encode(raw).decode()
+        parts = [text[i : i + 64] for i in range(0, len(text), 64)]
+        for end in ("\\n", "\\r\\n", "\n", "\r\n", "\n    ", "\n\t"):
+            lines = end.join(parts)
+            assert kinds(f"-----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END") == [(kind, lines)]
+        assert kinds(f"{'x' * 44}\n{text}" + "\nsome words" * (not text.endswith("="))) == [(kind, text)]
+
+
 def test_random_and_bent_structures_are_not():
     rng = random.Random(8)
     for _ in range(300):

@@ -41,8 +41,10 @@ _HEX = re.compile("[0-9a-f]+")
 _LONG_HEX = re.compile("(?<![0-9a-f])[0-9a-f]{32,}")
 _HINT = re.compile("passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-#: Lines of one base64 text may be broken by line ends, written out or escaped.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{4,})*={0,2}")
+#: Lines of one base64 text may be broken by line ends, written out or escaped, and be indented.
+_BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+#: The letter of an escape before a run is no part of it.
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])(?!(?<=\\)[nrt])|(?<=\\[nrt]))[A-Za-z0-9+/]{40,}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]+)*={0,2}")
 _LONG_HEX_ANY = re.compile("(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 #: Tags whose content holds other elements: sequences, sets and context tags.
 _DEEP = 16
@@ -169,15 +171,45 @@ def _key_kind(raw: bytes | None) -> str | None:
     return None
 
 
+def _base64_keys(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Keys in whole lines of a base64 run; lines before or after a key may be other text."""
+    body = start + len(text[start:end].rstrip("="))
+    breaks = [m.span() for m in _BREAK.finditer(text, start, body)]
+    starts, ends = [start, *(b for _, b in breaks)], [*(a for a, _ in breaks), body]
+    last, found, i = len(starts) - 1, [], 0
+    while i <= last:
+        a, after = starts[i], i + 1
+        # The first byte of a DER sequence is 30, of a length-prefixed field 00 and of the OpenSSH magic "o".
+        head = _unpadded(text[a : a + 40], False) if text[a] in "MAb" and ends[i] - a >= 40 else None
+        if head and head[0] == 0x30:
+            wide = head[1] - 128 if head[1] > 128 else 0
+            size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+            fits, chars = [], 0
+            for j in range(i, last + 1):
+                chars += ends[j] - starts[j]
+                if chars * 6 // 8 >= size:
+                    fits = [j] * (chars * 6 // 8 == size)
+                    break
+        elif head and (head.startswith(b"openssh-key-v1") or re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.DOTALL)):
+            fits = range(last, i - 1, -1)
+        else:
+            fits = ()
+        for j in fits:
+            if kind := _key_kind(_unpadded("".join(text[starts[k] : ends[k]] for k in range(i, j + 1)), False)):
+                found.append((kind, a, end if j == last else ends[j]))
+                after = j + 1
+                break
+        i = after
+    return found
+
+
 def confirmed_findings(text: str) -> list[tuple[str, int, int]]:
     """Decoded candidates whose structure holds."""
     found = []
     if "eyJ" in text:
         found += [("token", m.start(), m.end()) for m in _SIGNED.finditer(text) if is_signed_token(m.group())]
-    # The first byte of a DER sequence is 30, of a length-prefixed field 00 and of the OpenSSH magic "o".
     for m in _BASE64.finditer(text):
-        if m.group()[0] in "MAb" and (kind := _key_kind(_unpadded(re.sub(r"\r?\n|\\n", "", m.group()), False))):
-            found.append((kind, m.start(), m.end()))
+        found += _base64_keys(text, m.start(), m.end())
     for m in _LONG_HEX_ANY.finditer(text):
         if m.group()[:2].lower() in ("30", "00", "6f") and (kind := _key_kind(bytes.fromhex(m.group()))):
             found.append((kind, m.start(), m.end()))
