@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_words_match_library_on_documents(spark, library):
@@ -31,12 +29,27 @@ def test_words_match_library_on_documents(spark, library):
 @given(st.text(st.one_of(st.characters(max_codepoint=0x2060), st.sampled_from("aeisto'n. \n.,!0é<|>ßıİſ")), max_size=40))
 def test_words_match_library(text):
     slow = Tokenizer.from_file(PATH) if not hasattr(test_words_match_library, "t") else test_words_match_library.t
-    slow.encode_special_tokens = True
     test_words_match_library.t = slow
     text = text.encode("utf-8", "replace").decode()
     assert packing.tokenizer(PATH).encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_are_as_the_library_gives_them(spark, library):
+    texts = ["x <|endoftext|> y", "<|startoftext|><|endoftext|>", "a<|ENDOFTEXT|>b", "<|endoftext|", "Two. <|startoftext|>İ and é<|endoftext|>" * 400]
+    words, plain = packing.tokenizer(PATH), packing.tokenizer(PATH, True)
+    as_text = Tokenizer.from_file(PATH)
+    as_text.encode_special_tokens = True
+    assert words.encode(texts[0]).tolist()[1] == 49407
+    for t in texts:
+        assert words.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert plain.encode(t).tolist() == as_text.encode(t, add_special_tokens=False).ids
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in packing.pack(df, PATH, ids=True).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
 def brute_cost(places, costs, length):
     at, f = [0, *places], [0.0]
     for j in range(1, len(at)):

@@ -66,7 +66,6 @@ def test_stages_match_brute_force(spark):
         assert secrets.findings(want)[0] == [] or not found
 
     words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    words.encode_special_tokens = True
     pieces = plain(corpus_pipeline.run(spark, SF))
     total = {}
     for p in pieces:

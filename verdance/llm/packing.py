@@ -62,15 +62,18 @@ class WordTokenizer:
 
     The word end becomes a mark byte; a byte joined to the mark is merged first,
     and every other token ranks as its merge does.  Tokens that their own merges
-    do not rebuild get no rank.  Texts with characters beyond ``_PLAIN`` take the
-    vocabulary's library instead.
+    do not rebuild get no rank.  Texts with characters beyond ``_PLAIN`` or with a
+    special token's string take the vocabulary's library instead, which gives
+    such a string its one id; with ``special_as_text`` it is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, added = whole["model"], [t["content"] for t in whole.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, added))) if added and not special_as_text else None
         vocab, letters = model["vocab"], _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         end = _MARK.encode()
@@ -93,7 +96,8 @@ class WordTokenizer:
         self.ids = np.zeros(max(ranks.values()) + 1, np.uint32)
         for token, rank in ranks.items():
             self.ids[rank] = ids[token]
-        size = max(vocab.values()) + 1
+        size = self.slow.get_vocab_size(with_added_tokens=True)
+        size = max(size, *vocab.values()) + 1
         self.ends = np.zeros(size, bool)
         for name, i in vocab.items():
             bare = name.removesuffix("</w>")
@@ -118,7 +122,7 @@ class WordTokenizer:
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 32-bit integers, without special tokens."""
         text = text or ""
-        if _PLAIN.search(text):
+        if _PLAIN.search(text) or (self.special and self.special.search(text)):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         words = _WORDS.findall(text.lower())
         if not words:
@@ -127,8 +131,8 @@ class WordTokenizer:
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str, special_as_text: bool = False) -> WordTokenizer:
+    return WordTokenizer(path, special_as_text)
 
 
 def candidates(ids: np.ndarray, ends: np.ndarray, step: int, sentence: float, inside: float) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +228,7 @@ def packed_stream(docs: Iterator[tuple[object, np.ndarray]], ends: np.ndarray, l
 def pack(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID,
     block: int = BLOCK_TOKENS, step: int = INSIDE_STEP, sentence: float = SENTENCE_PENALTY, inside: float = INSIDE_PENALTY, ids: bool = False,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """One row per piece, in sequences of at most ``length`` tokens.
 
@@ -236,7 +241,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = tokenizer(tokenizer_path)
+        words = tokenizer(tokenizer_path, special_as_text)
         first = TaskContext.get().partitionId() << 40
         end = np.array([end_id], np.uint32)
         typed: list[pa.DataType] = []
