@@ -1,10 +1,13 @@
 """Secret scans with structural confirmation.
 
-Base patterns report by their look.  Base64 and hex runs are besides decoded and
-reported only when the bytes parse: a DER key (nested tag lengths that fill their
-parents exactly), an OpenSSH private key or a public-key blob (length-prefixed
-fields that fill the blob), or a signed token (JSON header with an algorithm and
-JSON claims).
+Base patterns report by their look.  Base64 (either alphabet, padded or not) and
+hex runs are besides decoded and reported only when the bytes parse: a DER key
+(nested tag lengths that fill their parents exactly, with a key's version, counts
+and algorithm), an OpenSSH private key or a public-key blob (length-prefixed
+fields), or a signed or encrypted token (JSON header with an algorithm).  A run
+may go on over line ends of any width, written out, escaped or between quoted
+parts; its first symbols (two of DER, four else) stand together.  A structure's
+own lengths say where it ends, so text on the lines around it does no harm.
 
 Defined results: a null text counts as empty; whole texts are scanned; repeated
 rows and null ids are returned as they come; no finding gives zero counts, the
@@ -19,7 +22,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,18 +39,30 @@ _RANK = {k: i for i, k in enumerate((*BASE_KINDS, *MORE_KINDS))}
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
-_HEX = re.compile("[0-9a-f]+")
 #: A hex run that can hold 32 characters; runs are maximal, so the start is known.
 _LONG_HEX = re.compile("(?<![0-9a-f])[0-9a-f]{32,}")
 _HINT = re.compile("passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-#: Lines of one base64 text may be broken by line ends, written out or escaped, and be indented.
-_BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
-#: The letter of an escape before a run is no part of it.
-_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])(?!(?<=\\)[nrt])|(?<=\\[nrt]))[A-Za-z0-9+/]{40,}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]+)*={0,2}")
-_LONG_HEX_ANY = re.compile("(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-#: Tags whose content holds other elements: sequences, sets and context tags.
+#: Parts of a compact signed (three) or encrypted (five) token; the header is a JSON object.
+_SIGNED = re.compile(r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))(?:eyJ|eyA|ew[0ok])[A-Za-z0-9_-]{6,}+(?:\.[A-Za-z0-9_-]*+){2,4}")
+#: A run may go on after a line end, written out or escaped, an indent, and the quotes of a continued string.
+_BREAK = re.compile(r"""(?:\r?\n|(?:\\r)?\\n(?:["'][ \t]*[+\\]?[ \t]*\r?\n[ \t]*["'])?|["'][ \t]*[+\\]?[ \t]*\r?\n[ \t]*["'])[ \t]*""")
+#: The first symbols of a DER sequence, of a length-prefixed name and of the OpenSSH magic, in base64 and in hex.
+_HEADS = re.compile("M[A-I]|AAAA|b3Bl")
+_HEX_HEADS = re.compile("30[0-8]|0000|6[fF]70")
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_RUNS = (re.compile("[A-Za-z0-9+/]+"), re.compile("[A-Za-z0-9_-]+"))
+_BASE64, _HEX_SYMBOLS = frozenset(_LETTERS + "+/"), frozenset("0123456789abcdefABCDEF")
+_HEX_RUN = re.compile("[0-9A-Fa-f]+")
 _DEEP = 16
+LEAST_BYTES = 24
+_MAGIC = b"openssh-key-v1\0"
+#: Length-prefixed fields of each public-key type.
+SSH_FIELDS = {
+    "ssh-rsa": 3, "ssh-dss": 5, "ssh-ed25519": 2, "ssh-ed448": 2, "ecdsa-sha2-nistp256": 3, "ecdsa-sha2-nistp384": 3, "ecdsa-sha2-nistp521": 3,
+    "sk-ssh-ed25519@openssh.com": 3, "sk-ecdsa-sha2-nistp256@openssh.com": 4,
+}
+#: Object identifiers (DER content) under which private keys are encrypted: PKCS#5 and PKCS#12.
+_SEALED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def base_findings(text: str) -> list[tuple[str, int, int]]:
@@ -91,129 +106,188 @@ def _elements(raw: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int,
 
 
 def is_der_key(raw: bytes) -> bool:
-    """PKCS#1, PKCS#8, SEC 1, encrypted PKCS#8 or public-key structure that fills ``raw``."""
+    """A private or public key structure that fills ``raw``: PKCS#1, DSA, PKCS#8 (plain or sealed), SEC 1, PKCS#12, public-key info.
+
+    Version numbers, element counts and algorithm identifiers must be those of the
+    structure, so that signatures, digests and certificates are none.
+    """
     top = _elements(raw, 0, len(raw))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     inner = _elements(raw, top[0][1], top[0][2]) or []
-    tags = [e[0] for e in inner]
-    if len(tags) >= 2 and set(tags) == {2}:
-        return True  # RSA or DSA integers
-    if tags[:3] == [2, 0x30, 4] or tags[:2] == [2, 4]:
-        return True  # PKCS#8, SEC 1
-    if tags in ([0x30, 4], [0x30, 3]):  # an algorithm identifier must begin the inner sequence
-        first = _element(raw, inner[0][1], inner[0][2])
-        return first is not None and first[0] == 6
-    return False
-
-
-def _fields(raw: bytes, at: int) -> list[bytes] | None:
-    """Length-prefixed fields that fill ``raw[at:]`` exactly."""
-    out = []
-    while at < len(raw):
-        if at + 4 > len(raw):
+    tags, body = [e[0] for e in inner], [raw[e[1] : e[2]] for e in inner]
+
+    def algorithm(i: int) -> bytes:
+        first = _element(raw, inner[i][1], inner[i][2])
+        return raw[first[1] : first[2]] if first is not None and first[0] == 6 else b""
+
+    if set(tags) == {2}:
+        if len(tags) == 2:  # a signature has two long integers, an RSA public key a short one
+            return len(body[0]) >= 64 and len(body[1]) <= 5
+        return len(tags) in (6, 9) and body[0] == b"\0" and len(body[1]) >= 64
+    if tags == [2] * 9 + [0x30]:  # RSA of more than two primes
+        return body[0] == b"\1" and len(body[1]) >= 64
+    if tags[:3] == [2, 0x30, 4]:
+        return body[0] in (b"\0", b"\1") and algorithm(1) != b"" and set(tags[3:]) <= {0xA0, 0xA1, 0x81}
+    if tags[:2] == [2, 4]:
+        return body[0] == b"\1" and set(tags[2:]) <= {0xA0, 0xA1}
+    if tags in ([2, 0x30], [2, 0x30, 0x30]):
+        return body[0] == b"\3" and algorithm(1) != b""
+    if tags == [0x30, 4]:
+        return algorithm(0).startswith(_SEALED)
+    return tags == [0x30, 3] and algorithm(0) != b"" and body[1][:1] == b"\0"
+
+
+def _after_fields(peek: Callable[[int], bytes], at: int, count: int) -> int | None:
+    """The place after ``count`` length-prefixed fields; ``peek(n)`` gives the first n bytes, or fewer if there are no more."""
+    for _ in range(count):
+        head = peek(at + 4)
+        if len(head) < at + 4:
             return None
-        size = int.from_bytes(raw[at : at + 4], "big")
-        at += 4
-        if at + size > len(raw):
+        at += 4 + int.from_bytes(head[at : at + 4], "big")
+    return at
+
+
+def _key_size(peek: Callable[[int], bytes]) -> int | None:
+    """The bytes that a key structure takes by its own lengths, or None if none begins here."""
+    head = peek(8)
+    if head[:1] == b"0":
+        wide = head[1] - 128 if len(head) > 1 and head[1] > 128 else 0
+        if wide > 4 or len(head) < 3 + wide or head[2 + wide] not in (2, 0x30):
             return None
-        out.append(raw[at : at + size])
-        at += size
-    return out
+        return 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+    if head == _MAGIC[:8] and peek(len(_MAGIC)) == _MAGIC:
+        at = _after_fields(peek, len(_MAGIC), 3)  # cipher, key derivation and its options
+        if at is None or len(head := peek(at + 4)) < at + 4:
+            return None
+        keys = int.from_bytes(head[at : at + 4], "big")
+        return _after_fields(peek, at + 4, keys + 1) if 1 <= keys <= 16 else None
+    if head[:3] == b"\0\0\0" and len(head) > 4:
+        name = peek(4 + head[3])[4:].decode("latin-1")
+        return _after_fields(peek, 0, SSH_FIELDS[name]) if name in SSH_FIELDS else None
+    return None
 
 
-def is_ssh_key(raw: bytes) -> bool:
-    """An OpenSSH private key file or a public-key blob."""
-    magic = b"openssh-key-v1\x00"
-    if raw.startswith(magic):
-        at = len(magic)
-        for _ in range(3):
-            if at + 4 > len(raw):
-                return False
-            at += 4 + int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 > len(raw):
-            return False
-        keys = int.from_bytes(raw[at : at + 4], "big")
-        rest = _fields(raw, at + 4)
-        return rest is not None and 1 <= keys <= 16 and len(rest) == keys + 1
-    fields = _fields(raw, 0)
-    return bool(fields) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
-
-
-def _unpadded(text: str, url: bool) -> bytes | None:
-    text = text.rstrip("=")
+def key_kind(raw: bytes) -> str | None:
+    """``der`` or ``ssh`` if a key structure fills ``raw``."""
+    if len(raw) < LEAST_BYTES or _key_size(lambda n: raw[:n]) != len(raw):
+        return None
+    if raw[0] != 0x30:
+        return "ssh"
+    return "der" if is_der_key(raw) else None
+
+
+def _unpadded(text: str) -> bytes | None:
+    """The bytes of URL-safe base64 without padding."""
     if len(text) % 4 == 1:
         return None
     try:
-        return base64.b64decode(text + "=" * (-len(text) % 4), b"-_" if url else None, validate=True)
+        return base64.b64decode(text + "=" * (-len(text) % 4), b"-_", validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
-def is_signed_token(text: str) -> bool:
-    """Three dot-joined parts: a JSON header that names an algorithm, JSON claims and a signature (empty for ``none``)."""
-    head, claims, signature = text.split(".", 2)
+def _object(text: str) -> dict | None:
     try:
-        h, c = json.loads(_unpadded(head, True) or b""), json.loads(_unpadded(claims, True) or b"")
+        found = json.loads(_unpadded(text) or b"")
     except (ValueError, RecursionError):
-        return False
-    if not (isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(c, dict)):
-        return False
-    return _unpadded(signature, True) is not None and (bool(signature) or h["alg"].lower() == "none")
+        return None
+    return found if isinstance(found, dict) else None
 
 
-def _key_kind(raw: bytes | None) -> str | None:
-    if raw and len(raw) >= 24:
-        if raw[0] == 0x30 and is_der_key(raw):
-            return "der"
-        if is_ssh_key(raw):
-            return "ssh"
-    return None
+def token_end(text: str) -> int | None:
+    """Where the signed or encrypted token that ``text`` begins with ends; None if its header or parts do not hold.
+
+    Signed: a JSON header that names an algorithm, JSON claims and a signature
+    (empty for ``none``).  Encrypted: five parts, the header naming an encryption too.
+    """
+    parts = text.split(".")
+    head = _object(parts[0])
+    if head is None or not isinstance(head.get("alg"), str):
+        return None
+    if isinstance(head.get("enc"), str):
+        good = len(parts) == 5 and all(parts[2:]) and all(_unpadded(p) is not None for p in parts[1:])
+        return len(text) if good else None
+    signed = bool(parts[2]) or head["alg"].lower() == "none"
+    if not signed or _unpadded(parts[2]) is None or _object(parts[1]) is None:
+        return None
+    return sum(map(len, parts[:3])) + 2
 
 
-def _base64_keys(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """Keys in whole lines of a base64 run; lines before or after a key may be other text."""
-    body = start + len(text[start:end].rstrip("="))
-    breaks = [m.span() for m in _BREAK.finditer(text, start, body)]
-    starts, ends = [start, *(b for _, b in breaks)], [*(a for a, _ in breaks), body]
-    last, found, i = len(starts) - 1, [], 0
-    while i <= last:
-        a, after = starts[i], i + 1
-        # The first byte of a DER sequence is 30, of a length-prefixed field 00 and of the OpenSSH magic "o".
-        head = _unpadded(text[a : a + 40], False) if text[a] in "MAb" and ends[i] - a >= 40 else None
-        if head and head[0] == 0x30:
-            wide = head[1] - 128 if head[1] > 128 else 0
-            size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
-            fits, chars = [], 0
-            for j in range(i, last + 1):
-                chars += ends[j] - starts[j]
-                if chars * 6 // 8 >= size:
-                    fits = [j] * (chars * 6 // 8 == size)
+def _opens(text: str, at: int, symbols: frozenset) -> bool:
+    """Whether a run may start at ``at``: after no symbol, or after the letter of an escape."""
+    return at == 0 or text[at - 1] not in symbols or (at > 1 and text[at - 1] in "nrt" and text[at - 2] == "\\")
+
+
+_STANDARD = str.maketrans("-_", "+/")
+
+
+def _gather(text: str, at: int, run: re.Pattern, need: int) -> tuple[str, int]:
+    """The first ``need`` symbols from ``at`` on, over line ends, and the place after them; fewer if the run ends before."""
+    parts, have, end = [], 0, at
+    while m := run.match(text, at):
+        take = min(need - have, m.end() - at)
+        parts.append(text[at : at + take])
+        have, end = have + take, at + take
+        if have == need or not (b := _BREAK.match(text, end)):
+            break
+        at = b.end()
+    return "".join(parts), end
+
+
+def _key_at(text: str, at: int, run: re.Pattern, closing: frozenset, bits: int) -> tuple[str, int] | None:
+    """The kind and end of the key that a run of ``bits``-bit symbols starts with."""
+
+    def decoded(symbols: str) -> bytes:
+        if bits == 4:
+            return bytes.fromhex(symbols[: len(symbols) // 2 * 2])
+        raw = base64.b64decode(symbols.translate(_STANDARD) + "A" * (-len(symbols) % 4))
+        return raw[: len(symbols) * 6 // 8]
+
+    def peek(n: int) -> bytes:
+        return decoded(_gather(text, at, run, min(-(-n * 8 // bits), len(text)))[0])[:n]
+
+    size = _key_size(peek)
+    if size is None or size < LEAST_BYTES or size * 8 > (len(text) - at) * bits:
+        return None
+    need = -(-size * 8 // bits)
+    symbols, end = _gather(text, at, run, need)
+    if len(symbols) < need or text[end : end + 1] in closing or not (kind := key_kind(decoded(symbols)[:size])):
+        return None
+    for _ in range(-need % 4 if bits == 6 else 0):  # padding, perhaps on the next line
+        b = _BREAK.match(text, end)
+        place = b.end() if b else end
+        end = place + 1 if text[place : place + 1] == "=" else end
+    return kind, end
+
+
+def _keys(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64 and hex runs, from the left, none overlapping another of its alphabet."""
+    found = []
+    for heads, symbols, runs, bits in ((_HEADS, _BASE64, _RUNS, 6), (_HEX_HEADS, _HEX_SYMBOLS, (_HEX_RUN,), 4)):
+        done = at = 0
+        while m := heads.search(text, at):
+            at = m.start() + 1
+            if m.start() < done or not _opens(text, m.start(), symbols):
+                continue
+            for run in runs:
+                closing = symbols if run is not _RUNS[1] else symbols | {"_"}
+                if got := _key_at(text, m.start(), run, closing, bits):
+                    found.append((got[0], m.start(), got[1]))
+                    done = got[1]
                     break
-        elif head and (head.startswith(b"openssh-key-v1") or re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.DOTALL)):
-            fits = range(last, i - 1, -1)
-        else:
-            fits = ()
-        for j in fits:
-            if kind := _key_kind(_unpadded("".join(text[starts[k] : ends[k]] for k in range(i, j + 1)), False)):
-                found.append((kind, a, end if j == last else ends[j]))
-                after = j + 1
-                break
-        i = after
     return found
 
 
 def confirmed_findings(text: str) -> list[tuple[str, int, int]]:
     """Decoded candidates whose structure holds."""
-    found = []
-    if "eyJ" in text:
-        found += [("token", m.start(), m.end()) for m in _SIGNED.finditer(text) if is_signed_token(m.group())]
-    for m in _BASE64.finditer(text):
-        found += _base64_keys(text, m.start(), m.end())
-    for m in _LONG_HEX_ANY.finditer(text):
-        if m.group()[:2].lower() in ("30", "00", "6f") and (kind := _key_kind(bytes.fromhex(m.group()))):
-            found.append((kind, m.start(), m.end()))
-    return found
+    found, at = [], 0
+    while m := _SIGNED.search(text, at):
+        size = token_end(m.group())
+        if size:
+            found.append(("token", m.start(), m.start() + size))
+        at = m.start() + (size or 1)
+    return found + _keys(text)
 
 
 def findings(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
