@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 from verdance.llm import licenses, queries
 
@@ -35,11 +37,12 @@ def test_edited_templates_are_found_in_long_texts():
     filler = lambda n: " ".join(rng.choice(["the", "software", "license", "of", "xyz", "mit", "and", "copy", "Wort"]) for _ in range(n))
     for name, template in licenses.TEMPLATES.items():
         words = template.split()
-        for _ in range(3):
+        for _ in range(2):
             edited = list(words)
             for _ in range(len(words) // 12):
                 at = rng.randrange(1, len(edited) - 1)
-                edited[at] = rng.choice(["zzz", edited[at].upper()])
+                if not set(licenses.words_of(edited[at])) & set(licenses.words_of(licenses.NAMES.get(name, ""))):
+                    edited[at] = rng.choice(["zzz", edited[at].upper()])
             body = "\n * ".join([" ".join(edited[i : i + 9]) for i in range(0, len(edited), 9)])
             text = f"{filler(300)} É. {body} {filler(300)}"
             found = {n: (a, b) for n, a, b, _, _ in SCANNER.findings(text)}
@@ -56,13 +59,72 @@ def test_two_notices_and_overlap():
     assert [text[a:b] for _, a, b, _, _ in found[:2]] == ["Released under the MIT License"] * 2
 
 
+def test_named_words_and_denials():
+    name = lambda t: [f[0] for f in SCANNER.findings(t)]
+    for short, want in (("BY", "CC-BY-4.0-short"), ("BY-NC", "CC-BY-NC-4.0-notice"), ("BY-SA", "CC-BY-SA-4.0-short"), ("BY-NC-ND", "CC-BY-NC-ND-4.0-short")):
+        assert name(f"Text. Licensed under CC {short} 4.0.") == [want]
+    assert name("Licensed under CC BY 3.0.") == [] and name("Released under the BSD License.") == []
+    assert name("Licensed under the Apache License, Version 1.1.") == []
+    assert name("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.") == []
+    assert name("It is not licensed under a Creative Commons Attribution 4.0 International License.") == []
+    assert name("This is no longer released under the MIT License.") == [] and name("Not released under the MIT License.") == []
+    assert name("Warranty: no. Released under the MIT License.") == ["MIT-notice"]
+    assert name("released by us under the xx yy zz uu vv ww terms of the MIT 1 2 3 4 5 6 License") == []  # too thin
+    for n, t in licenses.TEMPLATES.items():
+        assert name(f"Some words here. {t}") == [n]
+
+
+def brute(text, scanner):
+    """The best alignment over all windows of each template, greedily without overlaps."""
+    words = licenses.words_of(text)
+    found = []
+    for t in scanner.templates:
+        size = len(t.words)
+        for low in range(len(words)):
+            for high in range(low + t.need, min(len(words), low + math.ceil(size / scanner.density)) + 1):
+                if words[low] in t.known and words[high - 1] in t.known:
+                    got = scanner.judged(words, low, high, t)
+                    if got:
+                        found.append((-got[0], got[2] - got[1], got[1], t.name, got[2]))
+    kept = []
+    for got, _, first, name, last in sorted(set(found)):
+        if all(last <= a or b <= first for a, b, _, _ in kept):
+            kept.append((first, last, name, -got))
+    return sorted(kept)
+
+
+def test_scan_matches_all_windows():
+    rng = random.Random(5)
+    notices = {n: licenses.TEMPLATES[n] for n in ("MIT-notice", "BSD-3-Clause-notice", "Apache-2.0-notice", "CC-BY-NC-4.0-notice", "CC-BY-4.0-short")}
+    scanner = licenses.Scanner(notices, names=licenses.NAMES)
+    filler = ["the", "license", "under", "of", "xyz", "work", "and", "version", "Wort", "this"]
+    hits = 0
+    for _ in range(30):
+        text = []
+        for _ in range(rng.randint(1, 3)):
+            words = notices[rng.choice(sorted(notices))].split()
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = rng.choice([[], ["zzz"], ["aaa", "bbb"]])
+            text += [rng.choice(filler) for _ in range(rng.randint(0, 8))] + words
+        text = " ".join(text)
+        starts = [m.start() for m in re.finditer(r"[^\W_]+", text)]
+        ends = [m.end() for m in re.finditer(r"[^\W_]+", text)]
+        got = [(starts.index(a), ends.index(b) + 1, n, k) for n, a, b, k, _ in scanner.findings(text)]
+        assert got == brute(text, scanner), text
+        hits += len(got)
+    assert hits > 30
+
+
 def test_query_finds_every_planted_line(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
     got = {(r.doc_id, r.license) for r in queries.op2_licenses(spark, "/root/testdata/sf0.1").collect()}
     notices = {n: licenses.TEMPLATES[n] for n in ("MIT-notice", "Apache-2.0-notice", "GPL-3.0-notice", "CC-BY-NC-4.0-notice")}
     want = {(d.doc_id, n) for d in docs for n, t in notices.items() if t in d.text}
     assert len(want) > 200 and want <= got
-    assert len(got - want) <= 0.05 * len(want)
+    texts = {d.doc_id: d.text for d in docs}
+    # The rest are other notices of the templates or edited copies of one, never a plain text.
+    assert all("licen" in texts[d].lower() or "permi" in texts[d].lower() for d, _ in got - want) and len(got - want) <= 0.05 * len(want)
 
 
 def test_edges(spark):

@@ -8,15 +8,22 @@ aligned words cover at least ``COVERAGE`` of it.
 
 Where to align: a covered stretch must hold one of a template's trigger words,
 chosen so that the words left over are fewer than the coverage asks for.  Around
-each trigger a window of the template's length on either side is aligned if it
-shares enough words, counted with repeats, with the template: a bound on any
-alignment.  The work is linear in the text.
+each trigger, windows that place it where the template has it are aligned, with
+growing slack on either side, if they share enough words, counted with repeats,
+with the template: a bound on any alignment.  The work is linear in the text.
+
+What counts: of an alignment the stretch with most aligned words that fill at
+least ``DENSITY`` of it.  The words that name a license and its version
+(``NAMES``) must be aligned; a word that makes another license of it
+(``MODIFIERS``) must not stand between aligned words, nor a negation between
+those of a short notice or among the three words before it in its sentence:
+``not licensed under ...`` is no finding.
 
 Defined results: whole texts are scanned; null and blank texts have no finding
 and so no row; repeated rows give their findings once each; null ids are kept;
 of overlapping findings the one with more aligned words is reported, ties going
-to the earlier, then to the name that sorts first; an empty table gives an empty
-result; only the named columns are read.
+to the shorter, the earlier, then to the name that sorts first; an empty table
+gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,6 +42,10 @@ from pyspark.sql import types as T
 from .common import map_arrow
 
 COVERAGE = 0.8
+#: Least share of a finding's words that are aligned.
+DENSITY = 0.6
+#: Words beyond which a template is no short notice.
+SHORT = 40
 
 # Public license notices.
 TEMPLATES = {
@@ -42,6 +53,17 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
+    "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
+    "BSD-2-Clause-notice": "Released under the BSD 2-Clause License.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0": (
@@ -69,6 +91,19 @@ TEMPLATES = {
         "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
         "the following disclaimer in the documentation and/or other materials provided with the distribution."
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means."
+    ),
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed "
@@ -82,7 +117,44 @@ TEMPLATES = {
         "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program "
+        "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "LGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+}
+# The words of each template that name the license and its version.
+NAMES = {
+    "MIT-notice": "mit", "Apache-2.0-notice": "apache 2 0", "GPL-3.0-notice": "general public 3", "GPL-2.0-notice": "general public 2",
+    "LGPL-3.0-notice": "lesser 3", "AGPL-3.0-notice": "affero 3", "CC-BY-NC-4.0-notice": "cc by nc 4 0", "CC-BY-4.0-short": "cc by 4 0",
+    "CC-BY-SA-4.0-short": "cc by sa 4 0", "CC-BY-ND-4.0-short": "cc by nd 4 0", "CC-BY-NC-SA-4.0-short": "cc by nc sa 4 0",
+    "CC-BY-NC-ND-4.0-short": "cc by nc nd 4 0", "CC0-1.0-notice": "cc0 1 0", "BSD-3-Clause-notice": "bsd 3", "BSD-2-Clause-notice": "bsd 2",
+    "CC-BY-4.0-notice": "creative commons attribution 4 0", "CC-BY-SA-4.0-notice": "creative commons attribution sharealike 4 0",
+    "MPL-2.0": "mozilla 2 0", "Apache-2.0": "apache 2 0", "GPL-3.0-or-later": "3", "GPL-2.0-or-later": "2", "LGPL-2.1-or-later": "lesser 2 1",
+    "LGPL-3.0-or-later": "lesser 3", "AGPL-3.0-or-later": "affero 3",
 }
+# Words that make another license of a named one, and words that deny.
+MODIFIERS = frozenset("nc nd sa noncommercial noderivatives noderivs sharealike lesser library affero".split())
+NEGATIONS = frozenset("not never neither nor no isn aren wasn weren without unless except".split())
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -159,12 +231,13 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    """A license text with its words and triggers."""
+    """A license text with its words, triggers and the words it must have aligned."""
 
-    def __init__(self, name: str, text: str, coverage: float):
+    def __init__(self, name: str, text: str, coverage: float, names: str = ""):
         self.name, self.words = name, words_of(text)
         self.need = max(1, math.ceil(coverage * len(self.words) - 1e-9))
         self.counts = counts = Counter(self.words)
+        self.must = Counter(words_of(names))
         held, self.triggers = 0, []
         for word in sorted(counts, key=lambda w: (-len(w), w)):
             if held > len(self.words) - self.need:
@@ -172,33 +245,81 @@ class Template:
             self.triggers.append(word)
             held += counts[word]
         self.known = set(self.words)
+        self.at = {w: [i for i, x in enumerate(self.words) if x == w] for w in self.triggers}
+        #: Words between the ends of an alignment that void it, unless they are aligned.
+        self.void = MODIFIERS | NEGATIONS if len(self.words) < SHORT else MODIFIERS
+
+
+def dense_part(places: list[int], need: int, density: float) -> tuple[int, int] | None:
+    """``i, j``: the run of ascending places with most of them that fill ``density`` of its stretch; then the shortest, the first."""
+    best = None
+    for i in range(len(places) - need + 1):
+        if best and len(places) - i < best[0]:
+            break
+        for j in range(len(places) - 1, i + max(need, best[0] if best else 0) - 2, -1):
+            if j - i + 1 >= density * (places[j] - places[i] + 1):
+                key = (j - i + 1, places[i] - places[j], -i)
+                best = max(best, key) if best else key
+                break
+    return (-best[2], -best[2] + best[0] - 1) if best else None
 
 
 class Scanner:
     """Finds templates in texts."""
 
-    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE):
-        self.templates = [Template(n, t, coverage) for n, t in (templates or TEMPLATES).items() if words_of(t)]
+    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE, density: float = DENSITY, names: dict[str, str] | None = None):
+        names = NAMES if names is None and templates is None else names or {}
+        self.density = density
+        self.templates = [Template(n, t, coverage, names.get(n, "")) for n, t in (templates or TEMPLATES).items() if words_of(t)]
         self.triggers = sorted({w for t in self.templates for w in t.triggers})
         self.known = {w for t in self.templates for w in t.known}
 
+    def judged(self, words: list[str], low: int, high: int, template: Template) -> tuple[int, int, int, int, int] | None:
+        """``aligned, first, last`` of the template in ``words[low:high]`` and the template's first and last aligned word, if it counts."""
+        pairs = align(words[low:high], template.words)
+        part = dense_part([i for i, _ in pairs], template.need, self.density)
+        if part is None:
+            return None
+        pairs = pairs[part[0] : part[1] + 1]
+        first, last = low + pairs[0][0], low + pairs[-1][0] + 1
+        if template.must and template.must - Counter(template.words[j] for _, j in pairs):
+            return None
+        aligned = {low + i for i, _ in pairs}
+        if any(words[i] in template.void and i not in aligned for i in range(first, last)):
+            return None
+        return len(pairs), first, last, pairs[0][1], pairs[-1][1]
+
     def _found(self, words: list[str], template: Template, places: dict[str, list[int]]) -> Iterator[tuple[str, int, int, int, int]]:
         size, done = len(template.words), 0
+        slack = math.ceil(size / self.density) - size
         known = sorted(i for w in template.known for i in places.get(w, ()))
-        for hit in sorted(i for w in template.triggers for i in places.get(w, ())):
-            if hit < done:
-                continue
-            low, high = max(done, hit - size), min(len(words), hit + size + 1)
+
+        def possible(low: int, high: int) -> bool:
             if bisect_right(known, high - 1) - bisect_left(known, low) < template.need:
-                continue
+                return False
             here = Counter(words[low:high])
-            if sum(min(n, here[w]) for w, n in template.counts.items()) < template.need:
+            return sum(min(n, here[w]) for w, n in template.counts.items()) >= template.need
+
+        for hit, word in sorted((i, w) for w in template.triggers for i in places.get(w, ())):
+            spots = template.at[word]
+            if hit < done or not possible(max(done, hit - spots[-1] - slack), hit - spots[0] + size + slack):
                 continue
-            pairs = align(words[low:high], template.words)
-            if len(pairs) >= template.need:
-                first, last = low + pairs[0][0], low + pairs[-1][0] + 1
-                done = last
-                yield template.name, first, last, len(pairs), size
+            best, todo, seen = None, [(hit - at - more, hit - at + size + more) for at in spots for more in (0, slack // 4, slack)], set()
+            for low, high in todo:
+                low, high = max(done, low), min(len(words), high)
+                if (low, high) in seen or not possible(low, high):
+                    continue
+                seen.add((low, high))
+                got = self.judged(words, low, high, template)
+                if got and (best is None or (got[0], got[1] - got[2], -got[1]) > (best[0], best[1] - best[2], -best[1])):
+                    best = got  # then where the rest of the template would be
+                    todo.append((got[1] - got[3] - slack // 4, got[2] + size - got[4] + slack // 4))
+                    todo.append((got[1] - got[3] - slack, got[2] + size - got[4] + slack))
+                if best and best[0] == best[2] - best[1] == size:
+                    break
+            if best:
+                done = best[2]
+                yield template.name, best[1], best[2], best[0], size
 
     def findings(self, text: str | None) -> list[tuple[str, int, int, int, int]]:
         """``(name, start, end, aligned words, template words)``, places in code points, by start."""
@@ -213,21 +334,30 @@ class Scanner:
             if w in self.known:
                 places.setdefault(w, []).append(i)
         found = [f for t in self.templates if any(w in places for w in t.triggers) for f in self._found(words, t, places)]
+        found = [f for f in found if not denied(text[max(0, spans[f[1]][0] - 60) : spans[f[1]][0]])]
         kept: list[tuple[int, int, str, int, int]] = []  # by start; none overlap
-        for name, first, last, got, size in sorted(found, key=lambda f: (-f[3], f[1], f[0])):
+        for name, first, last, got, size in sorted(found, key=lambda f: (-f[3], f[2] - f[1], f[1], f[0])):
             at = bisect_left(kept, (first,))
             if (at == 0 or kept[at - 1][1] <= first) and (at == len(kept) or last <= kept[at][0]):
                 kept.insert(at, (first, last, name, got, size))
         return [(name, spans[first][0], spans[last - 1][1], got, size) for first, last, name, got, size in kept]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def denied(before: str) -> bool:
+    """Whether one of the last three words of the sentence that ``before`` ends in denies what follows."""
+    return not NEGATIONS.isdisjoint(words_of(_SENTENCE.split(before)[-1])[-3:])
+
+
+_SENTENCE = re.compile(r"[.!?;:\n]")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE, density: float = DENSITY) -> DataFrame:
     """One row per finding: ``id_col, license, start, end, matched, words, coverage``."""
     source = docs.select(id_col, F.col(text_col).alias("__text"))
     names = [id_col, "license", "start", "end", "matched", "words", "coverage"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, density)
         for batch in batches:
             found = [(i, *f) for i, text in enumerate(batch.column(1)) for f in scanner.findings(text.as_py())]
             if found:
