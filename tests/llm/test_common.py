@@ -1,3 +1,5 @@
+import pytest
+
 from verdance.llm import common
 
 
@@ -10,8 +12,8 @@ class Conf:
 
 
 class Session:
-    def __init__(self, values):
-        self.conf, self.sparkContext, self.dir = Conf(values), self, "set"
+    def __init__(self, values, master="local[2]"):
+        self.conf, self.sparkContext, self.dir, self.master = Conf(values), self, "set", master
 
     def getCheckpointDir(self):
         return self.dir
@@ -21,6 +23,20 @@ def test_shared_folder_is_the_session_s():
     assert common.shared_root(Session({"spark.checkpoint.dir": "s3://shared"})) == "s3://shared"
     own = common.shared_root(Session({}))
     assert own and own == common.shared_root(Session({}))
+    assert common.shared_root(Session({"spark.checkpoint.dir": "s3://shared"}, "yarn")) == "s3://shared"
+    with pytest.raises(RuntimeError):
+        common.shared_root(Session({}, "yarn"))
+
+
+def test_callers_drop_their_own_tables(spark):
+    before = common.written()
+    mine = common.cut(spark.range(4), "t")
+    with common.own_tables():
+        other = common.cut(spark.range(2), "t")
+        assert other.count() == 2 and common.written() == 1
+        common.drop_written(spark)
+    assert mine.count() == 4 and common.written() == before + 1
+    common.drop_written(spark, before)
 
 
 def test_cut_and_drop(spark):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +18,8 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of a batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
-_WRITTEN: list[str] = []
+#: Paths that :func:`cut` has written; a caller's own list inside :func:`own_tables`.
+_WRITTEN: ContextVar[list[str]] = ContextVar("written", default=[])
 _OWN: list[str] = []
 
 
@@ -24,17 +29,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share.
+
+    Only a local session may do without ``spark.checkpoint.dir``: it gets a
+    temporary folder, deleted at exit.  On a cluster no folder could be guessed.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="verdance-shared-"))
+            atexit.register(shutil.rmtree, _OWN[0], True)
         root = _OWN[0]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+@contextmanager
+def own_tables() -> Iterator[None]:
+    """Tables written inside are counted and dropped apart from all others, so that two callers don't meet."""
+    token = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it again.
 
@@ -44,7 +66,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/verdance/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,18 +84,19 @@ def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataF
 
 
 def written() -> int:
-    """How many tables :func:`cut` has written in this process and that are still there."""
-    return len(_WRITTEN)
+    """How many tables :func:`cut` has written for the caller that are still there."""
+    return len(_WRITTEN.get())
 
 
-def drop_written(spark: SparkSession, first: int = 0, keep_last: bool = False) -> None:
-    """Delete written tables from the ``first`` on, once what reads them is stored; the last may stay."""
+def drop_written(spark: SparkSession, first: int = 0, keep_last: bool = False, last: int | None = None) -> None:
+    """Delete the caller's written tables from the ``first`` on (up to ``last``), once what reads them is stored; the last may stay."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    end = len(_WRITTEN) - keep_last
-    for name in _WRITTEN[first:end]:
+    paths = _WRITTEN.get()
+    end = len(paths) - keep_last if last is None else last
+    for name in paths[first:end]:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    del _WRITTEN[first:end]
+    del paths[first:end]
 
 
 def least_hash(ids: DataFrame, column: str, rows: int) -> DataFrame:

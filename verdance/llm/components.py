@@ -1,15 +1,36 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components by alternating large-star and small-star rounds.
+
+Defined results: an edge with a null end joins nothing and is left out, as is an
+edge from a node to itself; repeated edges count once; an empty table gives an
+empty result.  Only ``u`` and ``v`` are read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_written, written
+
+#: Links from which hubs are looked for, and the share of all links (one in so many) that makes a node a hub.
+HUBS_FROM, HUB_SHARE = 200_000, 1000
+
+
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """``links`` with ``m``, the least of u and its neighbours.
+
+    The links of a hub would meet in one task; hubs, ``2 * HUB_SHARE`` at most, are joined by broadcast instead.
+    """
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    if total < HUBS_FROM:
+        return links.join(least.drop("n"), "u")
+    hub = F.col("n") * HUB_SHARE > total
+    hubs = F.broadcast(least.where(hub).drop("n"))
+    return links.join(hubs, "u").unionByName(links.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).drop("n"), "u"))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over ``(u, v)``.
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star round over the ``total`` links ``(u, v)``.
 
     large: the greater neighbours of u are linked to the least of u and its neighbours.
     small: u and its lesser neighbours are linked to the least of them.
@@ -18,14 +39,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         links = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = links.join(least, "u")
+    joined = _with_least(links, total)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
+        both = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        out = joined.select(both.alias("x")).select("x.*")
     return out.where("u <> v").distinct()
 
 
@@ -33,16 +52,19 @@ def roots(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)``; root is the least node of its component.
 
     Rounds grow with the logarithm of the longest path; each is written to the
-    shared folder.  The driver sees a row count and a checksum, never the links.
+    shared folder and the one before deleted.  The driver sees a row count and a
+    checksum, never the links.
     """
-    now = cut(edges.where("u <> v").distinct(), label)
+    now = cut(edges.where("u <> v").select("u", "v").distinct(), label)
     before = None
     while True:
         mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if mark[0] == 0 or (before is not None and tuple(mark) == before):
             break
         before = tuple(mark)
-        now = cut(_star(_star(now, True), False), label)
+        kept = written()
+        now = cut(_star(_star(now, True, mark[0]), False, mark[0]), label)
+        drop_written(now.sparkSession, kept - 1, last=kept)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
