@@ -1,11 +1,12 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from verdance.llm import langid, queries
 
 
-def build(texts, keep=10**6, **more):
+def build(texts, **more):
     """Filters of all n-grams of ``(language, text)`` rows."""
     langs = sorted({lang for lang, _ in texts})
     return langid.assemble([(x, np.unique(np.concatenate([langid.grams(t) for lang, t in texts if lang == x]))) for x in langs], **more)
@@ -37,7 +38,38 @@ def test_false_positive_correction_is_near_the_measured_rate():
     words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 12)) for _ in range(4000)]
     f = build([("x", " ".join(words))] * 3, log2=16)
     codes = rng.integers(0, 1 << 40, 200_000).astype(np.uint64)
-    assert abs(np.mean(f.lookup(codes)[0] & np.uint64(1)) - f.false_rate[0]) < 0.01
+    assert abs(np.mean(f.lookup(codes)[0] & 1) - f.false_rate[0]) < 0.01
+
+
+def test_predictions_match_exact_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    seen, total = {}, Counter()
+    for d, text, lang in rows:
+        if lang is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            total[lang] += 1
+            seen.setdefault(lang, Counter()).update(set(langid.grams(text).tolist()))
+    sets = {x: {g for g, n in seen[x].items() if n >= langid.enough(total[x], langid.LEAST_DOCS)} for x in seen}
+    order = sorted(sets, key=lambda x: (-total[x], x))
+    model = langid.train(docs)
+    assert model.langs == order
+    apart = 0
+    for _, text, _ in rows:
+        codes = langid.grams(text).tolist()
+        exact = np.array([sum(c in sets[x] for c in codes) for x in order]) / max(1, len(codes))
+        got = model.shares(np.array(codes, np.uint64))
+        assert np.abs(got - exact).max() < 0.05 + 1.5 / len(codes) ** 0.5
+        if langid._LETTER.search(text or ""):
+            apart += model.predict(text)[0] != order[int(exact.argmax())]
+    assert apart <= 0.002 * len(rows)
+
+
+def test_ties_take_the_language_with_more_rows_then_the_first(spark):
+    rows = [(i, "same words here", x) for i, x in enumerate(["b", "a", "c", "c"] * 6)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs[0] == "c" and model.predict("same words")[0] == "c"
+    even = build([("b", "same words"), ("a", "same words")])
+    assert even.predict("same")[0] == "a"
 
 
 def test_more_than_64_languages():

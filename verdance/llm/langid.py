@@ -1,9 +1,9 @@
 """Language identification with language-bitmask n-gram filters.
 
-Training keeps, for each language, the byte n-grams that a share of its texts
-hold.  They fill one Bloom filter per language, stored bit-sliced: slot i holds
-one bit for each language, so a lookup ands a few slots and returns every
-language whose filter has the n-gram.  A text is looked up as a whole in numpy;
+Training keeps, for each language, all byte n-grams of its texts that more than
+chance repeats.  They fill one Bloom filter per language, sized to the largest
+language and stored bit-sliced: slot i holds one bit for each language, so a
+lookup ands a few slots and returns every language whose filter has the n-gram.  A text is looked up as a whole in numpy;
 the masks' population counts give hits per language, corrected for the filter's
 false positives, and the language with the greatest corrected share wins.
 
@@ -18,6 +18,7 @@ gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,11 +37,10 @@ UNDETERMINED = "und"
 TRAIN_ROWS = 12000
 #: Bytes of an n-gram; words are joined by one space, so n-grams see word rims.
 GRAM = 5
-#: N-grams kept for each language, the most frequent by documents.
-KEEP = 20000
-#: Documents of a language that must hold an n-gram for it to be kept.
+#: Documents of a language that must hold an n-gram for it to be learned: what a single text says is as likely noise.
 LEAST_DOCS = 3
-SLOTS_LOG2 = 20
+#: A filter has so many slots for each n-gram of the language with most of them.
+SLOTS_PER_GRAM = 24
 HASHES = 2
 
 _LETTER = regex.compile(r"\p{L}")
@@ -68,7 +68,7 @@ def slots(codes: np.ndarray, log2: int, hashes: int) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """Bit-sliced filters: bit j of ``planes[p][slot]`` belongs to language ``64 p + j``."""
+    """Bit-sliced filters: bit j of ``planes[p][slot]`` belongs to language ``64 p + j``; words are as narrow as the languages allow."""
 
     langs: list[str]
     planes: list[np.ndarray]
@@ -96,7 +96,7 @@ class Filters:
                 seen = np.bincount(masks.astype(np.int64), minlength=1 << width)
                 hits += [int(seen[(np.arange(seen.size) >> j & 1) == 1].sum()) for j in range(width)]
             else:
-                hits += [int(np.count_nonzero(masks >> np.uint64(j) & np.uint64(1))) for j in range(width)]
+                hits += [int(np.count_nonzero(masks >> masks.dtype.type(j) & masks.dtype.type(1))) for j in range(width)]
         seen = np.array(hits, float) / max(1, codes.size)
         return np.clip((seen - self.false_rate) / np.maximum(1e-9, 1 - self.false_rate), 0, 1)
 
@@ -111,12 +111,16 @@ class Filters:
         return self.langs[best], float(got[best]) / total if total > 0 else 0.0, float(got[best]), codes.size
 
 
-def assemble(grams_of: list[tuple[str, np.ndarray]], log2: int = SLOTS_LOG2, hashes: int = HASHES) -> Filters:
+def assemble(grams_of: list[tuple[str, np.ndarray]], log2: int | None = None, hashes: int = HASHES) -> Filters:
     """Filters of the given languages' n-gram codes; on ties the earlier language wins."""
-    planes = [np.zeros(1 << log2, np.uint64) for _ in range(0, len(grams_of), 64)]
+    if log2 is None:
+        log2 = max(10, math.ceil(math.log2(SLOTS_PER_GRAM * max([1, *(len(codes) for _, codes in grams_of)]))))
+    widths = [min(64, len(grams_of) - lo) for lo in range(0, len(grams_of), 64)]
+    planes = [np.zeros(1 << log2, next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if w <= 8 * t().itemsize)) for w in widths]
     false_rate = np.zeros(len(grams_of))
     for j, (_, codes) in enumerate(grams_of):
-        bit, plane = np.uint64(1 << (j % 64)), planes[j // 64]
+        plane = planes[j // 64]
+        bit = plane.dtype.type(1 << (j % 64))
         for at in slots(codes.astype(np.uint64), log2, hashes):
             plane[at] |= bit
         false_rate[j] = (np.count_nonzero(plane & bit) / plane.size) ** hashes
@@ -135,13 +139,13 @@ def held_out(id_col: str = "doc_id"):
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS,
-    keep: int = KEEP, least: int = LEAST_DOCS, log2: int = SLOTS_LOG2, hashes: int = HASHES,
+    least: int = LEAST_DOCS, log2: int | None = None, hashes: int = HASHES,
 ) -> Filters:
     """Filters learned from at most ``rows`` labelled rows that are not held out.
 
     The sample is chosen first, from narrow columns, and its texts are fetched by
     a join with that bounded list.  N-grams are counted where the texts are; the
-    driver gets ``keep`` codes of each language.
+    driver gets the learned codes, which the bounded sample bounds.
     """
     able = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     chosen = least_hash(able.select(F.col(id_col).alias("__id")), "__id", rows).distinct()
@@ -157,13 +161,13 @@ def train(
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * codes.size), pa.array(codes), pa.array(seen.astype(np.int64))], ["lang", "code", "n"])
 
     counts = cut(map_arrow(source, run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "langid-grams")
-    sizes = {r.lang: r.n for r in counts.where("code = -1").collect()}
-    grams_of = []
-    for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
-        mine = counts.where((F.col("lang") == lang) & (F.col("code") >= 0) & (F.col("n") >= enough(sizes[lang], least)))
-        found = mine.orderBy(F.desc("n"), "code").limit(keep).select("code").toPandas()
-        grams_of.append((lang, found["code"].to_numpy(np.int64)))
-    return assemble(grams_of, log2, hashes)
+    sizes = counts.where("code = -1").select("lang", F.col("n").alias("docs"))
+    wanted = F.least(F.lit(least), F.greatest(F.lit(1), F.floor(F.col("docs") / 2)))  # as enough()
+    learned = counts.where("code >= 0").join(F.broadcast(sizes), "lang").where(F.col("n") >= wanted).select("lang", "code").toArrow()
+    docs_of = {r.lang: r.docs for r in sizes.collect()}
+    names, codes = learned.column("lang").to_numpy(), learned.column("code").to_numpy()
+    order = sorted(docs_of, key=lambda x: (-docs_of[x], x))
+    return assemble([(lang, codes[names == lang]) for lang in order], log2, hashes)
 
 
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
