@@ -14,8 +14,8 @@ whole.
 Defined results: a null text counts as empty, null metadata as a value of its
 own; rows without a label, or with a null one, only serve as pool; conflicting
 labels of one id take their mean, 0.5 counting as 1; without labels of both
-classes every document scores 1 (or the only class); repeated rows and null ids
-are returned as they come; an empty table gives an empty result; only the named
+classes every document scores 1 (or the only class); of an id's rows the one of
+least hash is learned from; repeated rows and null ids are returned as they come; an empty table gives an empty result; only the named
 columns are read.
 """
 
@@ -42,6 +42,8 @@ SURE = 0.98
 #: Labelled rows kept for calibration: one in HOLD.
 HOLD = 4
 THRESHOLD = 0.5
+#: Gradient steps of a view's first fit, and of each round's, which goes on from the round before.
+STEPS, MORE_STEPS = 150, 60
 
 TRIGRAM_SLOTS = 1024
 NAME_SLOTS = 32
@@ -99,8 +101,8 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> Linear:
-    """Penalised logistic regression by accelerated gradient steps; classes weigh alike."""
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150, start: Linear | None = None) -> Linear:
+    """Penalised logistic regression by accelerated gradient steps, from ``start`` or from zero; classes weigh alike."""
     mean = x.mean(0)
     scale = 1 / np.maximum(x.std(0), 1e-3)
     z = (x - mean) * scale
@@ -111,7 +113,11 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -
         top = float(np.linalg.norm(v))
         v = v / max(top, 1e-12)
     rate = 1 / (0.25 * top + 0.25 + penalty)
-    w, bias, w0, bias0 = np.zeros(z.shape[1], np.float32), 0.0, np.zeros(z.shape[1], np.float32), 0.0
+    w, bias = np.zeros(z.shape[1], np.float32), 0.0
+    if start is not None:
+        w = (start.weights * start.scale / scale).astype(np.float32)
+        bias = start.bias + float(((mean - start.mean) * start.scale) @ start.weights)
+    w0, bias0 = w, bias
     for t in range(steps):
         k = t / (t + 3)
         u, ub = w + k * (w - w0), bias + k * (bias - bias0)
@@ -159,11 +165,11 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray],
         kept = np.zeros(len(y), bool)  # too few to set some aside
     check = kept if kept.any() else ~kept
     given = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * 2  # pool rows and labels that view i learns from
-    passed = []
+    passed, views = [], [None, None]
     for r in range(rounds + 1):
-        views = []
-        for x, p, (rows, lab) in zip(labelled, pool, given):
-            model = fit(np.concatenate((x[~kept], p[rows])), np.concatenate((y[~kept], lab)))
+        before, views = views, []
+        for x, p, (rows, lab), start in zip(labelled, pool, given, before):
+            model = fit(np.concatenate((x[~kept], p[rows])), np.concatenate((y[~kept], lab)), steps=STEPS if start is None else MORE_STEPS, start=start)
             model.a, model.b = platt(model.logit(x[check]), y[check])
             views.append(model)
         if r == rounds or not len(pool[0]):
@@ -202,6 +208,9 @@ def train(
     pool = own.select(F.col(id_col).alias("__id")).join(known.select("__id"), "__id", "left_anti")
     chosen = least_hash(mine, "__id", labelled_rows).unionByName(least_hash(pool, "__id", pool_rows).distinct().withColumn("__y", F.lit(None).cast("int")))
     source = own.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__y", "__id", F.col(text_col).alias("__text"), *(F.col(c).alias(f"__n{i}") for i, c in enumerate(name_cols)))
+    # One row of each id, that of least hash, so that the sample stays bounded however often an id is repeated.
+    fields = source.columns[2:]
+    source = source.groupBy("__y", "__id").agg(F.min_by(F.struct(*fields), F.xxhash64(*fields)).alias("x")).select("__y", "__id", *(F.col(f"x.{f}") for f in fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
