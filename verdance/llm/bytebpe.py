@@ -16,7 +16,7 @@ what lies outside it provably cannot change:
 Decoding looks up leaves of ids and concatenates up the same kind of tree.
 
 Defined results: a null text counts as empty and has no tokens; lone surrogates
-become U+FFFD; repeated rows and null ids are returned as they come; an empty
+(which Spark's strings can't hold) become question marks; repeated rows and null ids are returned as they come; an empty
 table gives an empty result; only the named columns are read.
 """
 
