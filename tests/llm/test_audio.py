@@ -96,6 +96,31 @@ def test_matches_brute_force(spark, media):
     assert got == want
 
 
+@pytest.mark.parametrize("share", [1000, 3])
+def test_votes_of_runs_ties_and_hot_integers(spark, monkeypatch, share):
+    monkeypatch.setattr(audio, "HOT_SHARE", share)
+    rng = np.random.default_rng(8)
+    prints = {i: [None if v == 0 else int(v) for v in np.repeat(rng.integers(0, 4, 14), rng.integers(1, 6, 14))] for i in range(8)}
+    prints[8] = prints[9] = [7, 8, 7, 8, 7, 8, 7, 8, 7, 8, 7, 8, 7, 8] * 2
+    df = spark.createDataFrame(list(prints.items()), "class_id long, items array<long>")
+    want, best = {}, {}
+    for q, a in prints.items():
+        for r, b in prints.items():
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    if q != r and x is not None and x == y:
+                        want[q, r, j - i] = want.get((q, r, j - i), 0) + 1
+    assert {(r.query_class, r.class_id, r.offset): r.votes for r in audio.voted(df, df).collect()} == want
+    for (q, r, o), n in want.items():
+        if n >= audio.VOTES:
+            best[q, r] = min(best.get((q, r), (0, 0)), (-n, o))
+    found = {(r.query_class, r.class_id): (-r.votes, r.offset) for r in audio.align(df, df, overlap=1, error_rate=1.0).collect()}
+    assert found == best
+    two = spark.createDataFrame([(1, [5, 6, 9, 5, 6]), (2, [5, 6])], "class_id long, items array<long>")
+    tied = audio.align(two.where("class_id = 2"), two.where("class_id = 1"), votes=2, overlap=1, error_rate=1.0).collect()
+    assert [(r.offset, r.votes) for r in tied] == [(0, 2)]
+
+
 def test_query_and_empty_table(spark, media):
     got = queries.op5_audio(spark, "/root/testdata/sf0.001")
     assert got.where("kind = 'member'").count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()

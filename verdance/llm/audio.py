@@ -8,7 +8,9 @@ into one 32-bit integer for each place.
 
 Recordings with equal fingerprints form a class.  Between classes, equal integers
 vote for an offset; the offset with most votes is aligned and the share of
-differing bits decides.
+differing bits decides.  A sustained sound repeats its integer, so places go by
+runs: two runs of one integer vote for a span of offsets at once.  An integer or
+a class that very many rows hold is split over tasks.
 
 Defined results: a null, empty, undecodable or too short recording, or a silent
 one, has a fingerprint without integers, is a class of its own and matches
@@ -30,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_arrow
+from .common import cut, hot_join, map_arrow
 
+#: An integer or a class that more than one in HOT_SHARE of all rows hold is split: HOT_SHARE of them at most, over SALTS tasks.
+HOT_SHARE, SALTS = 1000, 64
 #: Seconds of a frame and between frames; range of pitches in Hz.
 FRAME_S, HOP_S = 0.256, 0.064
 LOW_HZ, HIGH_HZ = 55.0, 1760.0
@@ -170,9 +174,36 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
 def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members ``(id, class_id)`` and classes ``(class_id, items)`` of equal fingerprints ``(id, items)``."""
     full = prints.where(F.size("items") > 0).withColumn("key", F.sha2(F.array_join(F.transform("items", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ","), 256))
-    found = cut(full.groupBy("key").agg(F.min("id").alias("class_id"), F.first("items").alias("items")), "audio-classes")
+    found = cut(full.groupBy("key").agg(F.min("id").alias("class_id"), F.first("items").alias("items"), F.count("*").alias("n")), "audio-classes")
+    rows = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lone = prints.where(F.size("items") == 0).select("id", F.col("id").alias("class_id"))
-    return full.join(found.select("key", "class_id"), "key").select("id", "class_id").unionByName(lone), found.select("class_id", "items")
+    named = hot_join(full.select("key", "id"), found.select("key", "class_id", "n"), "key", F.col("n") * HOT_SHARE > rows)
+    return named.select("id", "class_id").unionByName(lone), found.select("class_id", "items")
+
+
+def runs(prints: DataFrame, name: str, start: str, size: str) -> DataFrame:
+    """``name, item, start, size``: the maximal stretches of one integer in each class's ``items``, silent places left out."""
+    before = lambda i: F.when(i > 0, F.element_at("items", i))  # noqa: E731  places count from 1 there
+    begins = F.filter(F.sequence(F.lit(0), F.size("items") - 1), lambda i: ~F.element_at("items", i + 1).eqNullSafe(before(i)) | (i == 0))
+    ends = F.concat(F.slice("b", 2, F.size("b")), F.array(F.size("items")))
+    marked = prints.where(F.size("items") > 0).select(F.col("class_id").alias(name), "items", begins.alias("b")).select(name, "items", "b", ends.alias("e"))
+    cells = F.zip_with("b", "e", lambda b, e: F.struct(F.element_at("items", b + 1).alias("item"), b.alias(start), (e - b).alias(size)))
+    return marked.select(name, F.explode(cells).alias("x")).where("x.item is not null").select(name, "x.*")
+
+
+def voted(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """``query_class, class_id, offset, votes``: equal integers by offset between two sides that have ``class_id`` and ``items``."""
+    theirs = cut(runs(found, "class_id", "b", "m"), "audio-runs")
+    total = theirs.count()
+    hot = F.broadcast(theirs.groupBy("item").agg(F.count("*").alias("c")).where(F.col("c") * HOT_SHARE > total).select("item", F.lit(SALTS).alias("s")))
+    left = runs(asked, "query_class", "a", "n").join(hot, "item", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1))).drop("s")
+    right = theirs.join(hot, "item", "left").withColumn("salt", F.pmod(F.xxhash64("class_id", "b"), F.coalesce("s", F.lit(1))).cast("int")).drop("s")
+    hits = left.join(right, ["item", "salt"]).where("query_class <> class_id")
+    # Runs of n and m places from a and b on: an offset is met as often as it has place pairs in them.
+    spans = F.sequence(F.col("b") - F.col("a") - F.col("n") + 1, F.col("b") - F.col("a") + F.col("m") - 1)
+    offsets = hits.select("query_class", "class_id", "a", "n", "b", "m", F.explode(spans).alias("offset"))
+    pairs = F.least(F.col("a") + F.col("n"), F.col("b") + F.col("m") - F.col("offset")) - F.greatest("a", F.col("b") - F.col("offset"))
+    return offsets.groupBy("query_class", "class_id", "offset").agg(F.sum(pairs).alias("votes"))
 
 
 def align(asked: DataFrame, found: DataFrame, votes: int = VOTES, overlap: int = OVERLAP, error_rate: float = ERROR_RATE) -> DataFrame:
@@ -180,9 +211,7 @@ def align(asked: DataFrame, found: DataFrame, votes: int = VOTES, overlap: int =
 
     ``offset`` is the place in the class less that in the query.  Both sides have ``class_id`` and ``items``.
     """
-    places = lambda df, i, t: df.select(F.col("class_id").alias(i), F.posexplode("items").alias(t, "item")).where("item is not null")
-    hits = places(asked, "query_class", "a").join(places(found, "class_id", "b"), "item").where("query_class <> class_id")
-    counted = hits.groupBy("query_class", "class_id", (F.col("b") - F.col("a")).alias("offset")).agg(F.count("*").alias("votes"))
+    counted = voted(asked, found)
     best = counted.groupBy("query_class", "class_id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("x")).where(F.col("x.votes") >= votes)
     best = best.select("query_class", "class_id", (-F.col("x.o")).alias("offset"), "x.votes")
     both = best.join(asked.select(F.col("class_id").alias("query_class"), F.col("items").alias("qa")), "query_class").join(found.select("class_id", F.col("items").alias("qb")), "class_id")

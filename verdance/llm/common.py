@@ -99,6 +99,15 @@ def drop_written(spark: SparkSession, first: int = 0, keep_last: bool = False, l
     del paths[first:end]
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, hot: Column) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row of each ``key``; ``hot`` says which of them very many rows hold.
+
+    Those, few by their share of all rows, are broadcast, so that no task gets all rows of one.
+    """
+    many, few = F.broadcast(table.where(hot)), table.where(~hot)
+    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(few, key))
+
+
 def least_hash(ids: DataFrame, column: str, rows: int) -> DataFrame:
     """The ``rows`` rows of least hash of ``column``: a sample that partitioning doesn't change.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_written, written
+from .common import cut, drop_written, hot_join, written
 
 #: Links from which hubs are looked for, and the share of all links (one in so many) that makes a node a hub.
 HUBS_FROM, HUB_SHARE = 200_000, 1000
@@ -24,9 +24,7 @@ def _with_least(links: DataFrame, total: int) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
     if total < HUBS_FROM:
         return links.join(least.drop("n"), "u")
-    hub = F.col("n") * HUB_SHARE > total
-    hubs = F.broadcast(least.where(hub).drop("n"))
-    return links.join(hubs, "u").unionByName(links.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).drop("n"), "u"))
+    return hot_join(links, least, "u", F.col("n") * HUB_SHARE > total).drop("n")
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, link_labels, map_arrow, utf8
+from .common import cut, hot_join, link_labels, map_arrow, utf8
 from .components import roots
 
 SHINGLE_WORDS = 4
@@ -217,7 +217,5 @@ def near_duplicates(
     named = nodes.join(linked.select("fp", "root").join(least, "root").select("fp", "__comp"), "fp", "left")
     named = named.select("fp", F.coalesce("__comp", "__least").alias("component_id"), "__n")
     # Fingerprints that hold a thousandth of all rows, a thousand at most, are broadcast; no task gets all rows of one.
-    hot = F.col("__n") * HOT_SHARE > rows
-    many, few = F.broadcast(named.where(hot).drop("__n")), named.where(~hot).drop("__n")
-    out = fps.join(many, "fp").unionByName(fps.join(many.select("fp"), "fp", "left_anti").join(few, "fp"))
+    out = hot_join(fps, named, "fp", F.col("__n") * HOT_SHARE > rows)
     return out.select(*ids, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
