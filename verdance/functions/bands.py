@@ -175,3 +175,41 @@ def utm(lon: Column, lat: Column, zone: int = 34) -> tuple[Column, Column]:
         east = east + x * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + x * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return k0 * radius * east + 500000, k0 * radius * north
+
+
+def expression(text: str, **bands: Column) -> Column:
+    """A column from arithmetic written as text, such as ``(a - b) / b``, with its names bound to columns.
+
+    Numbers, names, ``+ - * / % **``, comparisons and calls of ``FUNCTIONS`` are
+    allowed; a zero denominator gives NULL; anything else is an error.
+    """
+    import ast
+
+    def made(node: ast.AST) -> Column:
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return F.lit(float(node.value))
+        if isinstance(node, ast.Name) and node.id in bands:
+            return bands[node.id]
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
+            return -made(node.operand) if isinstance(node.op, ast.USub) else made(node.operand)
+        if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
+            return _OPERATORS[type(node.op)](made(node.left), made(node.right))
+        if isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in _COMPARISONS:
+            return _COMPARISONS[type(node.ops[0])](made(node.left), made(node.comparators[0]))
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in FUNCTIONS and not node.keywords:
+            return FUNCTIONS[node.func.id](*map(made, node.args))
+        raise ValueError(f"{ast.unparse(node)!r} is not allowed in a band expression; known names: {', '.join(sorted(bands))}")
+
+    def zero_safe(x: Column) -> Column:
+        return F.nullif(x, F.lit(0.0))
+
+    _OPERATORS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / zero_safe(b), ast.Mod: lambda a, b: a % zero_safe(b), ast.Pow: F.pow}
+    _COMPARISONS = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
+    try:
+        return made(ast.parse(text.strip(), mode="eval").body)
+    except SyntaxError as e:
+        raise ValueError(f"{text!r} is no expression") from e
+
+
+#: Functions that a band expression may call.
+FUNCTIONS = {"abs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "log": F.ln, "log10": F.log10, "sin": F.sin, "cos": F.cos, "tan": F.tan, "atan": F.atan, "min": F.least, "max": F.greatest, "pow": F.pow}

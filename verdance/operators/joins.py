@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof_segment(points: DataFrame, segments: DataFrame, keys: tuple[str, ...], t: str = "day", start: str = "t_start", end: str = "t_end") -> DataFrame:
@@ -70,19 +73,59 @@ def zonal(pixels: DataFrame, polygons: DataFrame, x: str, y: str, poly: str = "p
     return keyed.join(tiled, ["__tx", "__ty"]).where(hit).select(*pixels.columns, poly)
 
 
-def knn_labels(points: DataFrame, known: DataFrame, features: str, label: str, k: int = 5, most: int = 10000, point_id: str = "id") -> DataFrame:
-    """``point_id`` and the majority label of the ``k`` nearest labelled vectors; ties take the lesser label.
+def knn_labels(
+    points: DataFrame, known: DataFrame, features: str, label: str, k: int = 5, point_id: str = "id", known_id: str | None = None, chunk_rows: int = 8192, group_rows: int = 8192,
+) -> DataFrame:
+    """``point_id``, the majority label of the ``k`` nearest labelled vectors and its votes; ties take the lesser label.
 
-    The labelled sample has ``most`` rows at most (checked), so it travels as one
-    array beside the points and each point ranks it by an expression.
+    Points and labelled rows meet in blocks: each pair of a chunk and a group is one
+    unit of work that gives partial lists of ``k``, so no side is broadcast or
+    bounded.  Distances are squared and rounded to nine decimals.  ``known_id``
+    names the id by which a point is left out of its own neighbours.  Vectors of
+    another length than most, or with NULL or non-finite components, take no part.
     """
-    n = known.count()
-    if n > most:
-        raise ValueError(f"{n} labelled rows; {most} at most")
-    sample = known.agg(F.collect_list(F.struct(F.col(features).alias("f"), F.col(label).alias("l"))).alias("__known"))
-    far = lambda u, v: F.aggregate(F.zip_with(u, v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = F.slice(F.array_sort(F.transform("__known", lambda q: F.struct(F.round(far(F.col(features), q["f"]), 9).alias("d"), q["l"].alias("l")))), 1, k)
-    ranked = points.crossJoin(F.broadcast(sample)).select(point_id, F.explode(near).alias("n")).groupBy(point_id, F.col("n.l").alias(label)).agg(F.count("*").alias("votes"))
+    good = lambda df: df.where(F.col(features).isNotNull() & (F.size(features) > 0) & F.forall(features, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    n = F.count(F.lit(1))
+    wide = good(known).where(F.col(label).isNotNull()).groupBy(F.size(features).alias("w")).agg(n.alias("n")).orderBy(F.desc("n"), "w").first()
+    width, groups = (wide.w, -(-wide.n // group_rows)) if wide else (0, 1)
+    asked = good(points).where(F.size(features) == width)
+    chunks = max(1, -(-asked.count() // chunk_rows))
+    own = F.col(known_id).cast("string") if known_id else F.lit(None).cast("string")
+    deal = lambda by, parts: F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")
+    left = asked.select(F.col(point_id).alias("i"), F.col(features).alias("f"), deal((point_id, features), chunks).alias("c")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = good(known).where((F.size(features) == width) & F.col(label).isNotNull()).select(own.alias("o"), F.col(label).alias("l"), F.col(features).alias("f"), deal((label, features), groups).alias("g"))
+    right = right.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def nearest(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        at, labels, far = [], [], []
+        if ours.num_rows and theirs.num_rows:
+            matrix = lambda t: t.column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+            a, b = matrix(ours), matrix(theirs)
+            names = sorted(set(theirs.column("l").to_pylist()))
+            place = {name: i for i, name in enumerate(names)}
+            of = np.array([place[x] for x in theirs.column("l").to_pylist()])
+            ids, owners = [str(x) for x in ours.column("i").to_pylist()], theirs.column("o").to_numpy(zero_copy_only=False)
+            for i in range(0, len(a), 256):
+                part = a[i : i + 256]
+                d = np.zeros((len(part), len(b)))
+                for j in range(a.shape[1]):
+                    d += np.square(part[:, j, None] - b[None, :, j])
+                d = np.round(d, 9)
+                if known_id:
+                    d[np.array(ids[i : i + 256], object)[:, None] == owners[None]] = np.inf
+                order = np.argsort(of, kind="stable")  # among equal distances the lesser label first
+                best = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
+                for r, cols in enumerate(best):
+                    cols = cols[np.isfinite(d[r, cols])]
+                    at += [i + r] * len(cols)
+                    labels += [names[x] for x in of[cols].tolist()]
+                    far += d[r, cols].tolist()
+        return pa.table([ours.column("i").combine_chunks().take(pa.array(at, pa.int64())), pa.array(labels, theirs.schema.field("l").type), pa.array(far, pa.float64())], ["i", "l", "d"])
+
+    schema = T.StructType([T.StructField("i", points.schema[point_id].dataType), T.StructField("l", known.schema[label].dataType), T.StructField("d", T.DoubleType())])
+    found = left.groupBy("g", "c").cogroup(right.groupBy("g", "c")).applyInArrow(nearest, schema)
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "l"))
+    ranked = found.withColumn("r", rank).where(F.col("r") <= k).groupBy(F.col("i").alias(point_id), F.col("l").alias(label)).agg(n.alias("votes"))
     best = F.row_number().over(Window.partitionBy(point_id).orderBy(F.desc("votes"), label))
     return ranked.withColumn("__r", best).where("__r = 1").drop("__r")
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 
 def fill_both_ways(df: DataFrame, keys: tuple[str, ...], order: str, value: str, out: str = "filled") -> DataFrame:
-    """The last value so far, else the first one to come, over each key's whole series."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    back = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(out, F.coalesce(back, ahead))
+    """The last value so far, else the first one to come, over each key's whole series.
+
+    The first to come is the last so far from the other end, so both frames only grow.
+    """
+    so_far = lambda by: F.last(value, True).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(out, F.coalesce(so_far(F.col(order)), so_far(F.desc(order))))
 
 
 def savgol_rows(window: int = 11, degree: int = 3) -> np.ndarray:

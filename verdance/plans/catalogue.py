@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("scans", "bands", "temporal", "groups", "joins", "ordered", "rasters", "models", "extras"):
+for _name in ("scans", "temporal", "groups", "joins", "ordered", "rasters", "models", "extras"):
     importlib.import_module(f"{__package__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,11 +10,14 @@ from ..sources.adapters import camera, chips, scenes, series
 from .registry import query, r6, r10
 
 
-@query("SELECT scene, part, round(nir * 10000 / 10000, 8) AS nir FROM scenes WHERE red >= 0.25 AND fmask <> 0", "scenes")
+@query("SELECT scene, part, round(CAST(floor(nir * 10000) AS BIGINT) / 10000.0::DOUBLE, 8) AS nir, round(CAST(floor(green * 10000) AS BIGINT) / 10000.0::DOUBLE, 8) AS green FROM scenes WHERE fmask / 15.0::DOUBLE >= 0.6 AND CAST(floor(blue * 27.5) AS BIGINT) NOT IN (3, 8, 9, 10)", "scenes")
 def s2_cloud_filter(spark, sf_dir):
-    """Clear-sky score above a limit and a scene class, digital numbers scaled."""
-    s = scenes(spark, sf_dir).where((F.col("red") >= 0.25) & (F.col("fmask") != 0))
-    return s.select("scene", "part", r6(F.col("nir") * 10000 / 10000, 8).alias("nir"))
+    """Digital numbers scaled, of pixels with a clear-sky score above a limit and no class of shadow, cloud or cirrus."""
+    s = scenes(spark, sf_dir)
+    # The test tables hold neither: digital numbers, the score and the class are made from other columns first.
+    s = s.select("scene", "part", *(F.floor(F.col(c) * 10000).alias(c) for c in ("nir", "green")), (F.col("fmask") / 15.0).alias("cs"), F.floor(F.col("blue") * 27.5).alias("scl"))
+    clear = s.where((F.col("cs") >= 0.6) & ~F.col("scl").isin(3, 8, 9, 10))
+    return clear.select("scene", "part", *(r6(F.col(c) / 10000, 8).alias(c) for c in ("nir", "green")))
 
 
 @query("SELECT image, prow, pcol, round(v, 10) AS v FROM chips c JOIN (SELECT image AS i, CAST(trunc(avg(prow)) AS BIGINT) AS mr, CAST(trunc(avg(pcol)) AS BIGINT) AS mc FROM chips WHERE v > 0.1 GROUP BY image) m ON c.image = m.i WHERE prow BETWEEN mr - 2 AND mr + 1 AND pcol BETWEEN mc - 2 AND mc + 1", "chips")

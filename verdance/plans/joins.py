@@ -169,13 +169,13 @@ def point_extract(spark, sf_dir):
 
 @query(
     """SELECT image, cls, votes FROM (SELECT image, cls, votes, row_number() OVER (PARTITION BY image ORDER BY votes DESC, cls) AS r FROM (SELECT image, cls, count(*) AS votes FROM
-    (SELECT a.image, b.cls, row_number() OVER (PARTITION BY a.image ORDER BY round(list_sum(list_transform(list_zip(a.bands, b.bands), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), b.cls) AS k FROM spectra a CROSS JOIN (SELECT * FROM spectra WHERE image % 10 = 0) b WHERE a.image % 5 = 1) WHERE k <= 5 GROUP BY image, cls)) WHERE r = 1""",
+    (SELECT a.image, b.cls, row_number() OVER (PARTITION BY a.image ORDER BY round(list_sum(list_transform(list_zip(a.bands, b.bands), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), b.cls) AS k FROM spectra a JOIN spectra b ON a.image <> b.image) WHERE k <= 5 GROUP BY image, cls)) WHERE r = 1""",
     "spectra",
 )
 def knn_labels(spark, sf_dir):
-    """Majority class of the five nearest labelled spectra, for one spectrum in five."""
+    """Majority class of each spectrum's five nearest other spectra."""
     s = spectra(spark, sf_dir)
-    return J.knn_labels(s.where("image % 5 = 1").select("image", "bands"), s.where("image % 10 = 0"), "bands", "cls", point_id="image")
+    return J.knn_labels(s.select("image", "bands"), s, "bands", "cls", point_id="image", known_id="image")
 
 
 @query("SELECT image, count(*) AS n, round(avg(green_ratio), 6) AS green_ratio FROM camera WHERE imgroup = 'West' AND species = 'click' GROUP BY image", "camera")

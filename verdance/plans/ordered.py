@@ -12,16 +12,15 @@ from ..functions import bands as B
 from ..sources.adapters import camera, scenes, series
 from .registry import query, r6, r10
 
-_CAL = """means AS (SELECT site, day, avg(value) AS value FROM series WHERE site < 4 GROUP BY ALL),
- spine AS (SELECT site, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM series WHERE site < 4 GROUP BY site),
+_CAL = """means AS (SELECT site, day, avg(value) AS value FROM series GROUP BY ALL),
+ spine AS (SELECT site, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM series GROUP BY site),
  cal AS (SELECT s.site, s.day, m.value FROM spine s LEFT JOIN means m ON s.site = m.site AND s.day = m.day),
  filled AS (SELECT site, day, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY site ORDER BY day ROWS UNBOUNDED PRECEDING), first_value(value IGNORE NULLS) OVER (PARTITION BY site ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM cal)"""
 
 
 def filled(spark, sf_dir):
-    """Daily series of four sites on a full calendar, gaps filled."""
-    s = series(spark, sf_dir).where("site < 4")
-    cal = O.daily_mean(s, {"value": F.col("value")}, keys=("site",), fill=True)
+    """Daily series of each site on a full calendar, gaps filled."""
+    cal = O.daily_mean(series(spark, sf_dir), {"value": F.col("value")}, keys=("site",), fill=True)
     return W.fill_both_ways(cal, ("site",), "day", "value")
 
 
@@ -69,6 +68,18 @@ def phenology_dates(spark, sf_dir):
     return W.phenology(f, ("site", "year"), "day", "filled")
 
 
+@query(
+    """SELECT site, year, day, round(CASE WHEN b IS NULL THEN a - slope WHEN a IS NULL THEN slope - b ELSE (a - b) / 2 END, 10) AS curve FROM (SELECT *, lag(slope) OVER w AS b, lead(slope) OVER w AS a FROM
+    (SELECT site, year, day, CASE WHEN b IS NULL THEN a - filled WHEN a IS NULL THEN filled - b ELSE (a - b) / 2 END AS slope FROM (SELECT *, lag(filled) OVER w AS b, lead(filled) OVER w AS a FROM (SELECT *, CAST(year(day) AS BIGINT) AS year FROM filled) WINDOW w AS (PARTITION BY site, year ORDER BY day)))
+     WINDOW w AS (PARTITION BY site, year ORDER BY day))""", "series", _CAL
+)
+def second_derivative(spark, sf_dir):
+    """The derivative of the derivative by site and year."""
+    f = filled(spark, sf_dir).withColumn("year", F.year("day").cast("long"))
+    slope = W.gradient(f, ("site", "year"), "day", "filled")
+    return W.gradient(slope, ("site", "year"), "day", "slope", "curve").select("site", "year", "day", r10("curve").alias("curve"))
+
+
 _BR = """seg AS (SELECT site, year, 1995 + (year - 1995) + 0.5 AS t_break, CASE WHEN n % 3 = 0 THEN 0.5 ELSE 1.0 END AS prob, m AS magnitude FROM (SELECT site, year(day) AS year, count(*) AS n, avg(value) - 0.45 AS m FROM series GROUP BY site, year(day))),
  hit AS (SELECT site, CAST(t_break AS DOUBLE) AS t_break, magnitude FROM seg WHERE t_break > 1996 AND t_break <= 2000.5 AND prob = 1)"""
 

@@ -152,11 +152,15 @@ def sam_matrix(spark, sf_dir):
     return half.unionByName(other).unionByName(same)
 
 
-@query("SELECT cls, round(avg(v) FILTER (pos = 0), 6) AS b0, round(avg(v) FILTER (pos = 1), 6) AS b1, round(avg(v) FILTER (pos = 2), 6) AS b2, round(avg(v) FILTER (pos = 3), 6) AS b3 FROM chips GROUP BY cls", "chips")
+#: Places of a chip: the bands of a profile.
+_PLACES = range(64)
+
+
+@query(f"SELECT cls, {', '.join(f'round(avg(v) FILTER (pos = {i}), 6) AS b{i}' for i in _PLACES)} FROM chips GROUP BY cls", "chips")
 def pivot_profiles(spark, sf_dir):
-    """Band means as columns."""
-    wide = chips(spark, sf_dir).where("pos < 4").groupBy("cls").pivot("pos", [0, 1, 2, 3]).agg(F.avg("v"))
-    return wide.select("cls", *(r6(str(i)).alias(f"b{i}") for i in range(4)))
+    """Means of all bands as columns."""
+    wide = chips(spark, sf_dir).groupBy("cls").pivot("pos", list(_PLACES)).agg(F.avg("v"))
+    return wide.select("cls", *(r6(str(i)).alias(f"b{i}") for i in _PLACES))
 
 
 @query(

@@ -166,18 +166,18 @@ def gcc(spark, sf_dir):
 
 
 @query(
-    """SELECT scene, part, round((nir - red) / nullif(nir + red, 0), 6) AS ndvi, round(2.5 * (nir - red) / nullif(nir + 6 * red - 7.5 * blue + 1, 0), 4) AS evi,
+    """SELECT scene, part, round((nir - red) / nullif(nir + red, 0), 6) AS ndvi, CASE WHEN abs(nir + 6 * red - 7.5 * blue + 1) > 1e-6 THEN round(2.5 * (nir - red) / (nir + 6 * red - 7.5 * blue + 1), 4) END AS evi,
     round((nir - green) / nullif(nir + green, 0), 6) AS gndvi, round((2 * green - blue - red) / nullif(2 * green + blue + red, 0), 6) AS gli,
-    round(green / nullif(red + green + blue, 0), 6) AS gcc, round((blue - nir) / nullif(blue + nir - 2 * green, 0), 4) AS lai FROM scenes WHERE abs(nir + 6 * red - 7.5 * blue + 1) > 1e-6 AND abs(blue + nir - 2 * green) > 1e-6""",
+    round(green / nullif(red + green + blue, 0), 6) AS gcc, CASE WHEN abs(blue + nir - 2 * green) > 1e-6 THEN round((blue - nir) / (blue + nir - 2 * green), 4) END AS lai FROM scenes""",
     "scenes",
 )
 def veg_indices(spark, sf_dir):
-    """All indices of the registry (rows with nearly zero denominators left out of the comparison)."""
-    s = scenes(spark, sf_dir)
+    """All indices of the registry; one whose denominator nearly vanishes is NULL."""
     b, g, r, n = (F.col(x) for x in BANDS)
-    s = s.where((F.abs(n + 6 * r - 7.5 * b + 1) > 1e-6) & (F.abs(b + n - 2 * g) > 1e-6))
-    places = {"evi": 4, "lai": 4}
-    return s.select("scene", "part", *(F.round(B.index(name, b, g, r, n), places.get(name, 6)).alias(name) for name in B.INDICES))
+    near_zero = {"evi": n + 6 * r - 7.5 * b + 1, "lai": b + n - 2 * g}
+    column = lambda name: F.round(B.index(name, b, g, r, n), 4 if name in near_zero else 6)
+    safe = lambda name: F.when(F.abs(near_zero[name]) > 1e-6, column(name)) if name in near_zero else column(name)
+    return scenes(spark, sf_dir).select("scene", "part", *(safe(name).alias(name) for name in B.INDICES))
 
 
 @query(
@@ -196,6 +196,15 @@ def log_transform(spark, sf_dir):
     return series(spark, sf_dir).where(v > 0).select("obs", r6(F.ln(v)).alias("ln_value"), r6(F.log1p(v)).alias("ln1p_value"), r6(v * 1000 / 1000, 10).alias("unit"), (v >= 0.5).cast("long").alias("high"))
 
 
+@query("SELECT scene, part, round((nir - green) / nullif(nir + green, 0), 6) AS a, round(2.5 * (nir - 0.1::DOUBLE) + pow(green, 2), 10) AS b FROM scenes", "scenes")
+def band_expression(spark, sf_dir):
+    """Bands computed from expressions given as text."""
+    s = scenes(spark, sf_dir)
+    first = B.expression("(near - g) / (near + g)", near=F.col("nir"), g=F.col("green"))
+    second = B.expression("2.5 * (near - floor_) + g ** 2", near=F.col("nir"), g=F.col("green"), floor_=F.lit(0.1))
+    return s.select("scene", "part", r6(first).alias("a"), r6(second, 10).alias("b"))
+
+
 @query("SELECT page_id, list_extract(string_split(url, '/'), -1) AS last_part, CASE WHEN len(string_split(url, '/')) >= 3 THEN list_extract(string_split(url, '/'), -3) END AS camera_group FROM pages")
 def path_parts(spark, sf_dir):
     """Parts of a path counted from its end."""

@@ -58,12 +58,13 @@ def condition_score(spark, sf_dir):
     return dev.select(*PIXEL, "day", F.round(B.condition_score(F.col("value"), F.col("predicted"), F.col("rmse")), 5).alias("score"))
 
 
-@query("SELECT prow, pcol, day, round((value - predicted) / nullif(value - m, 0), 4) AS metric FROM (SELECT *, avg(value) OVER (PARTITION BY prow, pcol) AS m FROM dev) WHERE abs(value - m) > 1e-3", "scenes", _DEV)
+@query("SELECT prow, pcol, day, CASE WHEN abs(value - m) > 1e-3 THEN round((value - predicted) / (value - m), 4) END AS metric FROM (SELECT *, avg(value) OVER (PARTITION BY prow, pcol) AS m FROM dev)", "scenes", _DEV)
 def test_metric(spark, sf_dir):
-    """Residual over the deviation from the mean (rows with nearly zero denominators left out of the comparison)."""
+    """Residual over the deviation from the mean; NULL where that is nearly zero."""
     dev = O.deviations(clear_gcc(spark, sf_dir), "gcc", PIXEL, BASE_YEAR).withColumn("m", F.avg("value").over(Window.partitionBy(*PIXEL)))
     v = F.col("value")
-    return dev.where(F.abs(v - F.col("m")) > 1e-3).select(*PIXEL, "day", F.round(B.ratio(v - F.col("predicted"), v - F.col("m")), 4).alias("metric"))
+    metric = F.when(F.abs(v - F.col("m")) > 1e-3, B.ratio(v - F.col("predicted"), v - F.col("m")))
+    return dev.select(*PIXEL, "day", F.round(metric, 4).alias("metric"))
 
 
 test_metric.__test__ = False
@@ -98,14 +99,14 @@ def defoliation_extent(spark, sf_dir):
 
 
 @query(
-    "SELECT s.day, round(avg(o.value), 6) AS value, count(o.value) AS n FROM (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM one) s LEFT JOIN one o ON o.day = s.day GROUP BY s.day", "series", "one AS (SELECT * FROM series WHERE site = 3)"
+    "SELECT s.site, s.day, round(avg(o.value), 6) AS value, count(o.value) AS n FROM (SELECT site, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM series GROUP BY site) s LEFT JOIN series o ON o.site = s.site AND o.day = s.day GROUP BY s.site, s.day", "series"
 )
 def daily_mean_gapfill(spark, sf_dir):
-    """Daily means on a full calendar; days without rows stay, with NULL."""
-    one = series(spark, sf_dir).where("site = 3")
-    means = one.groupBy("day").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
-    filled = O.day_spine(one).join(means, "day", "left")
-    return filled.select("day", r6("value").alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
+    """Daily means of each site on a full calendar; days without rows stay, with NULL."""
+    every = series(spark, sf_dir)
+    means = every.groupBy("site", "day").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
+    filled = O.day_spine(every, keys=("site",)).join(means, ["site", "day"], "left")
+    return filled.select("site", "day", r6("value").alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT day, round(avg(green_ratio), 6) AS green_ratio, round(avg(plot), 6) AS plot, count(*) AS n FROM camera GROUP BY day", "camera")
