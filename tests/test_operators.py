@@ -160,16 +160,48 @@ def test_resampling_by_resolution(spark):
     every = raster.sweep(df, ("image",), 1.0, (2, 5), (*raster.AGGREGATES, "mode", *raster.KERNELS))
     counts = {(r.resolution, r.method): r["count"] for r in every.groupBy("resolution", "method").count().collect()}
     assert len(counts) == 28 and set(counts.values()) == {25, 4}
-    for bad in ({"method": "gauss"}, {"method": "max", "projected": False}, {"method": "cubic"}):
+    for bad in ({"method": "gauss"}, {"method": "max", "projected": False}):
         with pytest.raises(ValueError):
             raster.resample_to(df, ("image",), 1.0, 2.5, **bad)
+    with pytest.raises(ValueError):
+        raster.resample_to(df, ("image",), 1.0, 0.5, "max")
+
+
+@pytest.mark.parametrize("scale", [2, 2.5, 5, 0.5])
+def test_kernels_are_widened_on_the_way_down(spark, scale):
+    rng = np.random.default_rng(7)
+    grid = rng.normal(size=(11, 13))
+    grid[3, 4] = grid[8, 8:12] = np.nan
+    rows = [[None if np.isnan(v) else v for v in r] for r in grid]
+    sinc = lambda x: np.sinc(x) * np.sinc(x / 3)
+    kernels = {
+        "bilinear": (1, lambda x: 1 - x), "lanczos": (3, sinc),
+        "cubic": (2, lambda x: np.where(x <= 1, 1.5 * x**3 - 2.5 * x**2 + 1, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2)),
+    }
+    for method, (reach, f) in kernels.items():
+        got = {(r.brow, r.bcol): r.v for r in raster.resample_kernel(chip(spark, rows), ("image",), scale, method).collect()}
+        assert len(got) == int(11 / scale) * int(13 / scale)
+        for (a, b), v in got.items():
+            top = bottom = 0.0
+            for i in range(11):
+                for j in range(13):
+                    y, x = (abs((k + 0.5) * scale - 0.5 - p) / max(1, scale) for k, p in ((a, i), (b, j)))
+                    if y < reach and x < reach and not np.isnan(grid[i, j]):
+                        w = float(f(np.float64(y)) * f(np.float64(x)))
+                        top, bottom = top + w * grid[i, j], bottom + w
+            assert abs(v - top / bottom) < 1e-7
+    near = {(r.brow, r.bcol): r.v for r in raster.resample_kernel(chip(spark, rows), ("image",), scale, "nearest").collect()}
+    for (a, b), v in near.items():
+        want = grid[int((a + 0.5) * scale), int((b + 0.5) * scale)]
+        assert v == want or (v is None and np.isnan(want))
 
 
 def test_texture_of_constant_and_known_images(spark):
     flat = raster.glcm(raster.grey_levels(chip(spark, np.ones((8, 8))), ("image",)), ("image",)).first()
     assert (flat.contrast, flat.dissimilarity, flat.homogeneity, flat.energy, flat.correlation, flat.asm) == (0, 0, 1, 1, None, 1)
     board = np.indices((8, 8)).sum(0) % 2
-    b = raster.glcm(raster.grey_levels(chip(spark, board), ("image",)), ("image",)).first()
+    assert raster.glcm(raster.grey_levels(chip(spark, board), ("image",)), ("image",)).first().contrast is None  # 32 pixels above zero
+    b = raster.glcm(raster.grey_levels(chip(spark, board), ("image",)), ("image",), least=31).first()
     assert b.contrast == 255**2 and abs(b.correlation + 1) < 1e-9 and b.asm == 0.5
     rng = np.random.default_rng(0)
     grid = rng.normal(size=(6, 5))
@@ -190,17 +222,52 @@ def test_texture_of_constant_and_known_images(spark):
 def test_gap_filling(spark):
     got = {(r.prow, r.pcol): r.v for r in raster.fill_nearest(chip(spark, [[1, None, 3], [None, None, 9], [7, 8, 9]]), ("image",)).collect()}
     assert got[0, 1] == 1.0 and got[1, 0] == 1.0 and got[1, 1] == 9.0
+    rng = np.random.default_rng(9)
+    grid = np.where(rng.random((19, 14)) < 0.12, rng.normal(size=(19, 14)), np.nan)
+    as_rows = lambda g: [[None if np.isnan(v) else v for v in r] for r in g]
+    known = sorted((i, j) for i, j in zip(*np.nonzero(~np.isnan(grid))))
+    got = {(r.prow, r.pcol): r.v for r in raster.fill_nearest(chip(spark, as_rows(grid)), ("image",)).collect()}
+    for i in range(19):
+        for j in range(14):
+            a, b = min(known, key=lambda k: ((k[0] - i) ** 2 + (k[1] - j) ** 2, k))
+            assert got[i, j] == grid[a, b]
+    assert all(r.v is None for r in raster.fill_nearest(chip(spark, [[None, None]]), ("image",)).collect())
+    assert raster.fill_nearest(chip(spark, [[None]]).limit(0), ("image",)).collect() == []
     plane = np.add.outer(np.arange(6.0), 2 * np.arange(6.0))
     holed = plane.copy()
     holed[2, 2:4] = holed[4, 1] = np.nan
+    back = lambda df: np.array([r.v for r in df.orderBy("prow", "pcol").collect()], float)
     for method in ("linear", "cubic"):
-        assert np.allclose(imagery.interpolate(holed, method), plane)
+        assert np.allclose(back(raster.fill_interpolated(chip(spark, as_rows(holed)), ("image",), method=method)), plane.ravel())
+    bent = np.add.outer(np.arange(8.0) ** 3, 2 * np.arange(8.0) ** 2)
+    holed8 = bent.copy()
+    holed8[3, 4] = np.nan
+    assert np.allclose(back(raster.fill_interpolated(chip(spark, as_rows(holed8)), ("image",), method="cubic")), bent.ravel())
     few = np.full((3, 3), np.nan)
     few[0, 0] = 5
-    assert (imagery.interpolate(few) == 5).all()
-    keep = np.zeros((6, 6), bool)
-    keep[2, 2] = True
-    assert np.isnan(imagery.interpolate(holed, keep=keep)[2, 2])
+    assert (back(raster.fill_interpolated(chip(spark, as_rows(few)), ("image",))) == 5).all()
+    kept = chip(spark, as_rows(holed)).withColumn("sea", F.expr("prow = 2 and pcol = 2"))
+    assert [(r.prow, r.pcol) for r in raster.fill_interpolated(kept, ("image",), keep="sea").where("v is null").collect()] == [(2, 2)]
+    assert [(r.prow, r.pcol) for r in raster.fill_nearest(kept, ("image",), keep="sea").where("v is null").collect()] == [(2, 2)]
+
+
+def test_samples(spark):
+    df = spark.range(20000).withColumn("v", F.col("id") * 2)
+    one = stats.draw_rows(df, ("id",), 0.05, 700).collect()
+    assert len(one) == 700 and sorted(one) == sorted(stats.draw_rows(df.repartition(5), ("id",), 0.05, 700).collect())
+    assert stats.draw_rows(df, ("id",), 0.02, 10**6).count() == 400 and stats.draw_rows(df.limit(3), ("id",), 0.1, 5).count() == 0
+    often = stats.draw_rows(spark.range(50), ("id",), 1.0, 50).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert often > 1  # with replacement
+    assert stats.choose_rows(df, ("id",), 30).distinct().count() == 30
+
+
+def test_band_expressions(spark):
+    df = spark.createDataFrame([(3.0, 1.0), (1.0, 0.0)], "x double, y double")
+    got = lambda text: [r.z for r in df.select(B.expression(text, a=F.col("x"), b=F.col("y")).alias("z")).collect()]
+    assert got("(a - b) / b") == [2.0, None] and got("-a ** 2 + max(a, 2)") == [-6.0, 1.0] and got("a > b") == [True, True]
+    for bad in ("c + 1", "a.real", "__import__('os')", "a if b else 1", "(a", "'x'", "sqrt(x=a)"):
+        with pytest.raises(ValueError):
+            B.expression(bad, a=F.col("x"), b=F.col("y"))
 
 
 def test_otsu(spark):

@@ -123,14 +123,20 @@ def _components(mask: np.ndarray) -> np.ndarray:
         labels = low
 
 
+def sobel(a: np.ndarray) -> np.ndarray:
+    """Root mean square of the two Sobel derivatives (weights sum to one), edges repeated."""
+    smooth, slope = np.array([0.25, 0.5, 0.25]), np.array([0.5, 0.0, -0.5])
+    b = np.pad(a, 1, mode="reflect") if min(a.shape) > 1 else np.pad(a, 1, mode="edge")
+    part = lambda r, c: sum(r[i] * c[j] * b[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3))
+    return np.sqrt((part(slope, smooth) ** 2 + part(smooth, slope) ** 2) / 2)
+
+
 def frame_box(gray: np.ndarray, least: int = 1000, inset: int = 100, sigma: float = 3.0) -> tuple[int, int, int, int] | None:
     """``x1, y1, x2, y2`` of a bright frame, inset; None if no large edge is found.
 
     Blur, gradient, threshold, opening, erosion, removal of small parts, bounding box.
     """
-    soft = _blur(gray.astype(float), sigma)
-    gy, gx = np.gradient(_slide(soft, 3, np.mean))
-    edge = np.hypot(gx, gy)
+    edge = sobel(_blur(gray.astype(float), sigma))
     if edge.max() - edge.min() < 1e-9:
         return None
     mask = edge > _otsu(edge)
@@ -155,70 +161,3 @@ def frames(pixels: DataFrame, image: str = "image", least: int = 1000, inset: in
 
     schema = T.StructType([pixels.schema[image], *(T.StructField(c, T.LongType()) for c in ("x1", "y1", "x2", "y2"))])
     return pixels.groupBy(image).applyInPandas(one, schema)
-
-
-def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural cubic spline."""
-    n = len(x)
-    if n < 3:
-        return np.interp(at, x, y)
-    h = np.diff(x)
-    a = np.eye(n)
-    rhs = np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    m = np.linalg.solve(a, rhs)
-    k = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
-    u, v = x[k + 1] - at, at - x[k]
-    return (m[k] * u**3 + m[k + 1] * v**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * v
-
-
-def interpolate(grid: np.ndarray, method: str = "linear", keep: np.ndarray | None = None) -> np.ndarray:
-    """NaN cells take the mean of one-dimensional interpolations along their row and column, where these enclose them.
-
-    What is left takes the nearest value; with fewer than four known cells everything does.  ``keep`` marks background that stays.
-    """
-    known = ~np.isnan(grid)
-    holes = ~known if keep is None else ~known & ~keep
-    out = grid.copy()
-    if not known.any():
-        return out
-    if known.sum() >= 4:
-        curve = _spline if method == "cubic" else lambda x, y, at: np.interp(at, x, y)
-        total, count = np.zeros(grid.shape), np.zeros(grid.shape)
-        for axis in (0, 1):
-            a, ok = (grid, known) if axis else (grid.T, known.T)
-            t, c = (total, count) if axis else (total.T, count.T)
-            for i in range(a.shape[0]):
-                x = np.flatnonzero(ok[i])
-                gaps = np.flatnonzero(~ok[i])
-                gaps = gaps[(gaps > x[0]) & (gaps < x[-1])] if len(x) > 1 else gaps[:0]
-                if len(gaps):
-                    t[i, gaps] += curve(x.astype(float), a[i, x], gaps.astype(float))
-                    c[i, gaps] += 1
-        inside = holes & (count > 0)
-        out[inside] = total[inside] / count[inside]
-    left = np.argwhere(holes & np.isnan(out))
-    places = np.argwhere(known)
-    for i in range(0, len(left), 256):
-        far = ((left[i : i + 256, None] - places) ** 2).sum(2)
-        best = places[far.argmin(1)]
-        out[tuple(left[i : i + 256].T)] = grid[tuple(best.T)]
-    return out
-
-
-def fill_interpolated(df: DataFrame, keys: tuple[str, ...], value: str = "v", method: str = "linear", keep: str | None = None) -> DataFrame:
-    """Gaps of each tile (``keys``) filled by interpolation; ``keep`` names a boolean background column."""
-    columns = [*keys, "prow", "pcol", value, *([keep] if keep else [])]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf.prow - pdf.prow.min(), pdf.pcol - pdf.pcol.min()
-        grid = np.full((int(r.max()) + 1, int(c.max()) + 1), np.nan)
-        grid[r, c] = pdf[value]
-        stay = np.ones(grid.shape, bool)  # cells without a row are no holes
-        stay[r, c] = pdf[keep] if keep else False
-        return pdf.assign(**{value: interpolate(grid, method, stay)[r, c]})
-
-    part = df.select(*columns)
-    return part.groupBy(*keys).applyInPandas(one, part.schema)

@@ -5,6 +5,11 @@ Tables have ``keys`` (the image), integer ``prow`` and ``pcol`` and a value.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,40 +70,47 @@ def _weights(method: str, x: Column) -> Column:
 REACH = {"bilinear": 1, "cubic": 2, "cubic_spline": 2, "lanczos": 3}
 
 
-def resample_kernel(df: DataFrame, keys: tuple[str, ...], scale: int, method: str, value: str = "v") -> DataFrame:
+def _spread(df: DataFrame, place: str, block: str, size: str, low: Column, high: Column) -> DataFrame:
+    """Rows with each of the blocks from ``low`` to ``high`` that the output of ``size`` has."""
+    low, high = F.greatest(low.cast("long"), F.lit(0)), F.least(high.cast("long"), F.col(size) - 1)
+    kept = df.withColumns({"__lo": low, "__hi": high}).where("__lo <= __hi")  # sequence would count down
+    return kept.withColumn(block, F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
+
+
+def resample_kernel(df: DataFrame, keys: tuple[str, ...], scale: float, method: str, value: str = "v") -> DataFrame:
     """``keys, brow, bcol, value`` at block centres, by nearest pixel or by normalised kernel weights.
 
-    Each input pixel goes to the few blocks whose kernel reaches it, so the join is an aggregation.
+    On the way to coarser pixels a kernel is widened by the scale, so that every
+    input pixel has its weight.  Weights are products of one along rows and one
+    along columns, so two aggregations do: each pixel goes to the few blocks along
+    a row whose kernel reaches it, then each such sum to the few along a column.
     """
-    size = df.groupBy(*keys).agg(F.floor((F.max("prow") + 1) / scale).alias("__h"), F.floor((F.max("pcol") + 1) / scale).alias("__w"))
+    size = df.groupBy(*keys).agg(F.floor((F.max("prow") + 1) / scale + 1e-9).alias("__h"), F.floor((F.max("pcol") + 1) / scale + 1e-9).alias("__w"))
+    sized = df.select(*keys, "prow", "pcol", value).join(size, list(keys))
     if method == "nearest":
-        mid = scale // 2
-        near = df.where((F.col("prow") % scale == mid) & (F.col("pcol") % scale == mid)).join(size, list(keys))
-        near = near.select(*keys, F.floor(F.col("prow") / scale).alias("brow"), F.floor(F.col("pcol") / scale).alias("bcol"), value, "__h", "__w")
-        return near.where("brow < __h and bcol < __w").drop("__h", "__w")
+        first = lambda p: F.ceil(F.col(p) / scale - 0.5 - 1e-9)  # noqa: E731  blocks whose centre the pixel holds
+        last = lambda p: F.ceil((F.col(p) + 1) / scale - 0.5 - 1e-9) - 1
+        near = _spread(_spread(sized, "pcol", "bcol", "__w", first("pcol"), last("pcol")), "prow", "brow", "__h", first("prow"), last("prow"))
+        return near.select(*keys, "brow", "bcol", value)
     if method not in REACH:
         raise ValueError(f"unknown kernel {method!r}")
-    reach, middle = REACH[method], (scale - 1) / 2
-    # Blocks b with |b * scale + middle - p| < reach.
-    def near_blocks(p: str) -> Column:
-        return F.sequence(F.ceil((F.col(p) - middle - reach) / scale), F.floor((F.col(p) - middle + reach) / scale))
-
-    # Away from any centre the range is empty; sequence would count down there.
-    def some(p: str) -> Column:
-        return F.ceil((F.col(p) - middle - reach) / scale) <= F.floor((F.col(p) - middle + reach) / scale)
-
-    spread = df.where(F.col(value).isNotNull() & some("prow") & some("pcol")).join(size, list(keys)).withColumn("brow", F.explode(near_blocks("prow"))).withColumn("bcol", F.explode(near_blocks("pcol")))
-    spread = spread.where("brow >= 0 and bcol >= 0 and brow < __h and bcol < __w")
-    w = _weights(method, F.col("brow") * scale + middle - F.col("prow")) * _weights(method, F.col("bcol") * scale + middle - F.col("pcol"))
-    out = spread.withColumn("__k", w).groupBy(*keys, "brow", "bcol").agg((F.sum(F.col("__k") * F.col(value)) / F.nullif(F.sum("__k"), F.lit(0.0))).alias(value))
-    return out
+    wide = max(1.0, float(scale))
+    reach = REACH[method] * wide
+    low = lambda p: F.ceil((F.col(p) + 0.5 - reach) / scale - 0.5)
+    high = lambda p: F.floor((F.col(p) + 0.5 + reach) / scale - 0.5)
+    weight = lambda p, b: _weights(method, ((F.col(b) + 0.5) * scale - 0.5 - F.col(p)) / wide)
+    along = _spread(sized.where(F.col(value).isNotNull()), "pcol", "bcol", "__w", low("pcol"), high("pcol")).withColumn("__k", weight("pcol", "bcol"))
+    along = along.groupBy(*keys, "prow", "bcol", "__h").agg(F.sum(F.col("__k") * F.col(value)).alias("__v"), F.sum("__k").alias("__d"))
+    across = _spread(along, "prow", "brow", "__h", low("prow"), high("prow")).withColumn("__k", weight("prow", "brow"))
+    total = F.sum(F.col("__k") * F.col("__v")) / F.nullif(F.sum(F.col("__k") * F.col("__d")), F.lit(0.0))
+    return across.groupBy(*keys, "brow", "bcol").agg(total.alias(value))
 
 
 def resample_to(df: DataFrame, keys: tuple[str, ...], current: float, target: float, method: str, value: str = "v", projected: bool = True) -> DataFrame:
-    """``keys, brow, bcol, value`` at a coarser resolution by any method.
+    """``keys, brow, bcol, value`` at another resolution by any method; aggregates need a coarser one.
 
     The same resolution gives the pixels themselves; a grid in degrees is an error, as are
-    unknown methods and, for kernels, targets that are no multiple of the resolution.
+    unknown methods.
     """
     if not projected:
         raise ValueError("resolutions are in metres: project the grid first")
@@ -108,9 +120,9 @@ def resample_to(df: DataFrame, keys: tuple[str, ...], current: float, target: fl
         return df.select(*keys, F.col("prow").alias("brow"), F.col("pcol").alias("bcol"), value)
     scale = target / current
     if method in KERNELS:
-        if scale != int(scale):
-            raise ValueError(f"{target} is no multiple of {current}")
-        return resample_kernel(df, keys, int(scale), method, value)
+        return resample_kernel(df, keys, scale, method, value)
+    if scale < 1:
+        raise ValueError(f"{target} is finer than {current}: {method} needs a coarser resolution")
     return resample(df, keys, scale, (method,), value).withColumnRenamed(method, value)
 
 
@@ -124,17 +136,128 @@ def sweep(df: DataFrame, keys: tuple[str, ...], current: float, targets: tuple[f
     return out
 
 
-def fill_nearest(df: DataFrame, keys: tuple[str, ...], value: str = "v", reach: int = 2, keep: str | None = None) -> DataFrame:
-    """NULL pixels take the nearest value within ``reach`` rows and columns; ties take the least row, then column.
+def _nearest_in_columns(group: np.ndarray, row: np.ndarray, hole: np.ndarray, far: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """For each hole the place of the row whose own nearest known pixel (``far`` columns off, in column ``col``) is nearest to it.
 
-    ``keep`` names a boolean column of background pixels that stay NULL.
+    Rows are sorted by ``group`` (a column of an image), then ``row``.  Steps grow
+    until no row further off can be nearer; ties take the least row, then column.
     """
-    holes = df.where(F.col(value).isNull() & (~F.col(keep) if keep else F.lit(True)))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i or j])
-    asked = holes.select(*keys, "prow", "pcol", F.explode(steps).alias("s")).select(*keys, "prow", "pcol", (F.col("prow") + F.col("s.i")).alias("nrow"), (F.col("pcol") + F.col("s.j")).alias("ncol"), F.col("s.d").alias("d"))
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col("prow").alias("nrow"), F.col("pcol").alias("ncol"), F.col(value).alias("near"))
-    best = asked.join(known, [*keys, "nrow", "ncol"]).groupBy(*keys, "prow", "pcol").agg(F.min(F.struct("d", "nrow", "ncol", "near")).alias("b")).select(*keys, "prow", "pcol", F.col("b.near").alias("__near"))
-    return df.join(best, [*keys, "prow", "pcol"], "left").withColumn(value, F.coalesce(value, "__near")).drop("__near")
+    n = len(row)
+    span = int(row.max() - row.min()) + 1 if n else 0
+    key = group * np.int64(2 * span + 1) + (row - row.min() if n else row)
+    square = np.where(far < 0, np.inf, far.astype(float) ** 2)
+    best, source = square.copy(), np.arange(n)
+    ends = np.append(np.flatnonzero(np.diff(group)), n - 1)[np.searchsorted(np.unique(group), group)] if n else row
+    starts = np.searchsorted(group, group)
+    active, step = np.flatnonzero(hole), 1
+    while active.size:
+        for sign in (-1, 1):
+            want = key[active] + sign * step
+            at = np.minimum(np.searchsorted(key, want), n - 1)
+            hit = key[at] == want
+            here, there = active[hit], at[hit]
+            d = square[there] + float(step) ** 2
+            better = (d < best[here]) | ((d == best[here]) & np.isfinite(d) & (row[there] < row[source[here]]))
+            best[here[better]], source[here[better]] = d[better], there[better]
+        step += 1
+        more = (float(step) ** 2 <= best[active]) & ((row[ends[active]] - row[active] >= step) | (row[active] - row[starts[active]] >= step))
+        active = active[more]
+    return np.where(np.isfinite(best), source, -1)
+
+
+def fill_nearest(df: DataFrame, keys: tuple[str, ...], value: str = "v", keep: str | None = None) -> DataFrame:
+    """NULL pixels take the nearest value of their image, however far; ties take the least row, then column.
+
+    Two passes of an exact distance transform: windows along rows find each pixel's
+    nearest value in its row, then columns are searched for the nearest of these, so
+    a task holds a few columns and never an image.  ``df`` has a row for every cell.
+    ``keep`` names a boolean column of background pixels that stay NULL; an image
+    without values stays as it is.
+    """
+    row = Window.partitionBy(*keys, "prow")
+    seen = F.when(F.col(value).isNotNull(), F.struct(F.col("pcol").alias("c"), F.col(value).alias("v")))
+    last = lambda by: F.last(seen, True).over(row.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    sided = df.withColumns({"__l": last(F.col("pcol")), "__r": last(F.desc("pcol"))})
+    near = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(s)["c"] - F.col("pcol")).alias("d"), F.col(s)["c"].alias("c"), F.col(s)["v"].alias("v")))
+    sided = sided.withColumn("__n", F.least(near("__l"), near("__r"))).drop("__l", "__r")
+    hole = F.col(value).isNull() & (~F.coalesce(F.col(keep), F.lit(False)) if keep else F.lit(True))
+    more = {"__hole": hole, "__d": F.coalesce(F.col("__n.d"), F.lit(-1)).cast("long"), "__c": F.coalesce(F.col("__n.c"), F.lit(-1)).cast("long"), "__v": F.col("__n.v")}
+    dealt = sided.withColumns(more).drop("__n").repartition(*keys, "pcol").sortWithinPartitions(*keys, "pcol", "prow")
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def filled(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+            group = np.concatenate(([0], np.cumsum(new))).astype(np.int64)
+            get = lambda c: table.column(c).to_numpy()
+            source = _nearest_in_columns(group, get("prow").astype(np.int64), get("__hole"), get("__d"), get("__c"))
+            own = np.where(get("__hole"), source, -1)
+            take = pa.array(np.maximum(own, 0), pa.int64(), mask=own < 0)
+            values = pa.compute.if_else(pa.array(get("__hole")), table.column("__v").combine_chunks().take(take), table.column(value).combine_chunks())
+            out = table.select(names).set_column(names.index(value), table.schema.field(value), values)
+            yield from out.combine_chunks().to_batches()
+
+        def changes(table: pa.Table) -> np.ndarray:
+            new = np.zeros(table.num_rows - 1, bool)
+            for k in (*keys, "pcol"):
+                x = table.column(k).to_numpy(zero_copy_only=False)
+                new |= x[1:] != x[:-1]
+            return new
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            new = changes(table)
+            cuts = np.flatnonzero(new)
+            if cuts.size:  # whole columns go, the last one may go on
+                yield from filled(table.slice(0, cuts[-1] + 1), new[: cuts[-1]])
+                table = table.slice(cuts[-1] + 1)
+            held = table
+        if held is not None:
+            yield from filled(held, changes(held))
+
+    return dealt.mapInArrow(run, df.schema)
+
+
+def _line_estimate(df: DataFrame, keys: tuple[str, ...], line: str, place: str, value: str, method: str, out: str) -> DataFrame:
+    """``out``: each pixel's value by interpolation between the known ones around it in its line, NULL outside of them."""
+    by = Window.partitionBy(*keys, line)
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col(place).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
+    until = lambda order, end: by.orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    ways = {"a": F.col(place), "b": F.desc(place)}
+    marked = df.withColumns({f"__{w}2": F.last(point, True).over(until(o, -1)) for w, o in ways.items()})
+    pair = lambda w: F.when(point.isNotNull(), F.struct(point.alias("p"), F.col(f"__{w}2").alias("q")))
+    marked = marked.withColumns({f"__{w}": F.last(pair(w), True).over(until(o, 0)) for w, o in ways.items()})
+    points = [F.col("__a.p"), F.col("__b.p")] + ([F.col("__a.q"), F.col("__b.q")] if method == "cubic" else [])
+    used = F.filter(F.array(*points), lambda p: p.isNotNull())
+    at = F.col(place).cast("double")
+    part = lambda p: F.aggregate(used, F.lit(1.0), lambda s, q: F.when(q["x"] == p["x"], s).otherwise(s * (at - q["x"]) / F.nullif(p["x"] - q["x"], F.lit(0.0))))
+    estimate = F.aggregate(used, F.lit(0.0), lambda s, p: s + p["y"] * part(p))
+    inside = F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.col(value).isNull()
+    return marked.withColumn(out, F.when(inside, estimate)).drop("__a", "__b", "__a2", "__b2")
+
+
+def fill_interpolated(df: DataFrame, keys: tuple[str, ...], value: str = "v", method: str = "linear", keep: str | None = None) -> DataFrame:
+    """NULL pixels take the mean of interpolations along their row and their column, where known pixels enclose them there.
+
+    ``linear`` goes by the next known pixel on either side, ``cubic`` by the next two
+    (the polynomial through those there are).  What is left takes the nearest value,
+    as does everything in an image of fewer than four known pixels.  ``keep`` names
+    a boolean column of background pixels that stay NULL.
+    """
+    if method not in ("linear", "cubic"):
+        raise ValueError(f"unknown method {method!r}")
+    known = df.groupBy(*keys).agg(F.count(value).alias("__known"))
+    both = _line_estimate(df, keys, "prow", "pcol", value, method, "__e1")
+    both = _line_estimate(both, keys, "pcol", "prow", value, method, "__e2").join(known, list(keys))
+    mean = F.coalesce((F.col("__e1") + F.col("__e2")) / 2, "__e1", "__e2")
+    stays = F.coalesce(F.col(keep), F.lit(False)) if keep else F.lit(False)
+    both = both.withColumn("__e", F.when((F.col("__known") >= 4) & ~stays, mean)).drop("__e1", "__e2", "__known")
+    out = fill_nearest(both, keys, value, keep)
+    return out.select(*(F.coalesce("__e", c).cast(df.schema[c].dataType).alias(c) if c == value else c for c in df.columns))
 
 
 def moran(df: DataFrame, keys: tuple[str, ...], value: str = "v") -> DataFrame:
@@ -155,22 +278,23 @@ def moran(df: DataFrame, keys: tuple[str, ...], value: str = "v") -> DataFrame:
 
 
 def grey_levels(df: DataFrame, keys: tuple[str, ...], value: str = "v", levels: int = 256) -> DataFrame:
-    """Values scaled to integer levels between an image's extremes; NULL counts as zero before scaling."""
-    filled = df.withColumn(value, F.coalesce(value, F.lit(0.0)))
-    w = Window.partitionBy(*keys)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return filled.withColumn("level", F.coalesce(F.floor((F.col(value) - low) * (levels - 1) / F.nullif(high - low, F.lit(0.0))), F.lit(0)))
+    """Values scaled to integer levels between an image's extremes; NULL pixels have level zero, as has a constant image."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("__a"), F.max(value).alias("__b"))
+    scaled = F.floor((F.col(value) - F.col("__a")) / F.nullif(F.col("__b") - F.col("__a"), F.lit(0.0)) * (levels - 1))
+    return df.join(ends, list(keys)).withColumn("level", F.coalesce(scaled, F.lit(0))).drop("__a", "__b")
 
 
-def glcm(df: DataFrame, keys: tuple[str, ...], level: str = "level") -> DataFrame:
+def glcm(df: DataFrame, keys: tuple[str, ...], level: str = "level", least: int = 100) -> DataFrame:
     """Texture of right-hand neighbour pairs, counted both ways: the six properties of the co-occurrence matrix.
 
-    A constant image has contrast and dissimilarity 0, homogeneity, energy and ASM 1 and no correlation.
+    An image with ``least`` or fewer pixels above level zero has none (NULL).  A
+    constant image has contrast and dissimilarity 0, homogeneity, energy and ASM 1
+    and no correlation.
     """
     w = Window.partitionBy(*keys, "prow").orderBy("pcol")
     pairs = df.withColumn("j", F.lead(level).over(w)).where("j is not null").select(*keys, F.col(level).alias("i"), "j")
-    both = pairs.unionByName(pairs.select(*keys, F.col("j").alias("i"), F.col("i").alias("j")))
-    cells = both.groupBy(*keys, "i", "j").agg(F.count("*").alias("n"))
+    both = pairs.select(*keys, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("x"))
+    cells = both.groupBy(*keys, "x.i", "x.j").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*keys))
     p = cells.withColumn("p", F.col("n") / total)
     d = F.col("i") - F.col("j")
@@ -180,7 +304,11 @@ def glcm(df: DataFrame, keys: tuple[str, ...], level: str = "level") -> DataFram
     )
     var = F.col("__ii") - F.col("__m") * F.col("__m")
     corr = (F.col("__ij") - F.col("__m") * F.col("__m")) / F.when(F.abs(var) > 1e-9, var)
-    return out.withColumn("energy", F.sqrt("asm")).withColumn("correlation", corr).drop("__m", "__ii", "__ij")
+    out = out.withColumn("energy", F.sqrt("asm")).withColumn("correlation", corr).drop("__m", "__ii", "__ij")
+    above = df.groupBy(*keys).agg(F.count_if(F.col(level) > 0).alias("__n"))
+    good = (F.col("__n") == 0) | (F.col("__n") > least)  # none above zero: constant
+    names = ("contrast", "dissimilarity", "homogeneity", "asm", "energy", "correlation")
+    return above.join(out, list(keys), "left").select(*keys, *(F.when(good, F.col(c)).alias(c) for c in names))
 
 
 def otsu(df: DataFrame, keys: tuple[str, ...], value: str = "gcc", bins: int = 256, floor: float = 0.2) -> DataFrame:

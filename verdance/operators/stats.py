@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,8 +105,10 @@ def p_value(r: float | None, n: int | None) -> float | None:
     return _beta((n - 2) / 2, 0.5, 1 - r * r)
 
 
-#: One row per group comes here, so a row-wise function is enough.
-p_value_udf = F.udf(lambda r, n: p_value(r, n), T.DoubleType())
+@F.pandas_udf(T.DoubleType())
+def p_values(r: pd.Series, n: pd.Series) -> pd.Series:
+    """:func:`p_value` of columns."""
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else p_value(float(a), int(b)) for a, b in zip(r, n)], dtype="float64")
 
 
 def pearson(df: DataFrame, keys: tuple[str, ...], x: str, y: str) -> DataFrame:
@@ -116,3 +119,30 @@ def pearson(df: DataFrame, keys: tuple[str, ...], x: str, y: str) -> DataFrame:
 def variation(x: Column | str) -> Column:
     """Population deviation over mean, NULL if the mean is zero."""
     return ratio(F.stddev_pop(x), F.avg(x))
+
+
+def choose_rows(df: DataFrame, by: tuple[str, ...], rows: int, seed: int = 42) -> DataFrame:
+    """A uniform sample of ``rows`` rows at most without replacement: those of least hash of ``by``, whatever the partitions."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *by)), *by).limit(rows)
+
+
+def draw_rows(df: DataFrame, by: tuple[str, ...], share: float, most: int, seed: int = 42) -> DataFrame:
+    """``min(int(share * n), most)`` draws with replacement of the rows that ``by`` names, numbered by ``draw`` within a row.
+
+    Each row gets a Poisson number of copies from a hash, a few more in all than
+    asked for; the draws of least hash stay, so they do not depend on partitions.
+    """
+    n = df.count()
+    wanted = min(int(share * n), most)
+    if wanted == 0:
+        return df.withColumn("draw", F.lit(1).cast("long")).limit(0)
+    rate = (wanted + 5 * math.sqrt(wanted) + 10) / n
+    below, term, total = [], math.exp(-rate), 0.0
+    for k in range(30):
+        total += term
+        below.append(total)
+        term *= rate / (k + 1)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *by)), 1, 8), 16, 10).cast("double") / 4294967296.0
+    copies = sum((u >= F.lit(b)).cast("long") for b in below)
+    drawn = df.withColumn("__n", copies).where("__n > 0").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
+    return choose_rows(drawn, (*by, "draw"), wanted, seed)

@@ -210,12 +210,20 @@ def pearson_by_group(spark, sf_dir):
     return S.pearson(c, ("species",), "green_ratio", "x").select("species", r6("r").alias("r"), "n")
 
 
-@query()
+#: Student's distribution by its finite series: angle theta, coefficients of even or odd powers of its cosine by the gamma function.
+_STUDENT = """
+ fit AS (SELECT species, imgroup, count(*) AS n, corr(green_ratio, x) AS r FROM (SELECT species, imgroup, green_ratio, plot * 1.0 + green_ratio AS x FROM camera) GROUP BY ALL),
+ ang AS (SELECT *, n - 2 AS df, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt((n - 2)::DOUBLE)) AS th FROM fit WHERE n > 2 AND abs(r) < 1),
+ within AS (SELECT *, CASE WHEN df % 2 = 0 THEN sin(th) * (1 + coalesce(list_sum(list_transform(range(1, df // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi()) + 2 * k * ln(cos(th))))), 0))
+   ELSE 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(1, (df + 1) // 2), lambda k: exp(lgamma(k::DOUBLE) - lgamma(k + 0.5) + 0.5 * ln(pi()) - ln(2) + (2 * k - 1) * ln(cos(th))))), 0)) END AS inside FROM ang)"""
+
+
+@query("SELECT species, imgroup, n, round(r, 6) AS r, round(1 - inside, 6) AS p FROM within", "camera", _STUDENT.lstrip())
 def pearson_p_value(spark, sf_dir):
     """Correlation by group with its two-sided probability."""
     c = camera(spark, sf_dir).withColumn("x", F.col("plot") + F.col("green_ratio"))
-    out = S.pearson(c, ("species",), "green_ratio", "x")
-    return out.withColumn("p", S.p_value_udf("r", "n"))
+    out = S.pearson(c, ("species", "imgroup"), "green_ratio", "x")
+    return out.withColumn("p", S.p_values("r", "n")).where("n > 2 and abs(r) < 1").select("species", "imgroup", "n", r6("r").alias("r"), r6("p").alias("p"))
 
 
 @query(

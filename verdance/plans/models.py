@@ -8,10 +8,11 @@ from ..functions import bands as B
 from ..operators import cluster as C
 from ..operators import harmonic as H
 from ..operators import imagery as I
+from ..operators import stats as S
 from ..operators import temporal as O
 from ..sources.adapters import camera, chips, series
 from ..streaming.daily import run_batchwise
-from .registry import query, r6
+from .registry import query, r6, r10
 from .scans import rgb
 
 
@@ -67,23 +68,6 @@ def kmeans_threshold(spark, sf_dir):
     return C.kmeans_threshold(rgb(spark, sf_dir))
 
 
-@query()
-def gapfill_linear(spark, sf_dir):
-    """Holes filled by linear interpolation."""
-    return _filled(spark, sf_dir, "linear")
-
-
-@query()
-def gapfill_cubic(spark, sf_dir):
-    """Holes filled by cubic splines."""
-    return _filled(spark, sf_dir, "cubic")
-
-
-def _filled(spark, sf_dir, method):
-    c = chips(spark, sf_dir).select("image", "prow", "pcol", F.when((F.col("pos") * 7 + F.col("image")) % 5 > 0, F.col("v")).alias("v"))
-    return I.fill_interpolated(c, ("image",), method=method)
-
-
 @query()
 def frame_detection(spark, sf_dir):
     """Bounding box of the strongest edges of each image (limits scaled to the chips' size)."""
@@ -103,7 +87,20 @@ def top_images(spark, sf_dir):
     return top.select("image", r6("green_ratio").alias("green_ratio"))
 
 
-@query()
+_DRAWN = """sized AS (SELECT count(*) AS n FROM chips), rate AS (SELECT n, least(CAST(floor(n * 0.1::DOUBLE) AS BIGINT), 10000) AS m FROM sized),
+ lam AS (SELECT m, (m + 5 * sqrt(m::DOUBLE) + 10) / n AS l FROM rate),
+ hit AS (SELECT image, pos, v, m, len(list_filter(range(0, 30), lambda k: CAST('0x' || substr(md5('42:' || image || ':' || pos), 1, 8) AS UBIGINT) / 4294967296.0::DOUBLE >= list_sum(list_transform(range(0, k + 1), lambda i: exp(-l) * pow(l, i) / CAST(factorial(i::INT) AS DOUBLE))))) AS copies FROM chips, lam),
+ drawn AS (SELECT image, pos, v, m, unnest(range(1, copies + 1)) AS draw FROM hit)"""
+
+
+@query("SELECT image, pos, draw, round(v, 10) AS v FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || image || ':' || pos || ':' || draw), image, pos, draw) AS r FROM drawn) WHERE r <= m", "chips", _DRAWN)
 def sample_pixels(spark, sf_dir):
-    """A seeded sample of pixels with replacement, then a cap: a sampling operator."""
-    return chips(spark, sf_dir).sample(True, 0.1, 42).limit(10000)
+    """A seeded sample of pixels with replacement, a share of them up to a cap: a sampling operator."""
+    out = S.draw_rows(chips(spark, sf_dir), ("image", "pos"), 0.1, 10000, 42)
+    return out.select("image", "pos", "draw", r10("v").alias("v"))
+
+
+@query("SELECT image, green_ratio FROM (SELECT image, round(green_ratio, 10) AS green_ratio, row_number() OVER (ORDER BY md5('7:' || image), image) AS r FROM camera) WHERE r <= 1000", "camera")
+def sample_rows(spark, sf_dir):
+    """A seeded uniform sample of a thousand rows at most: a sampling operator."""
+    return S.choose_rows(camera(spark, sf_dir), ("image",), 1000, 7).select("image", r10("green_ratio").alias("green_ratio"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bands as B
 from ..operators import joins as J
 from ..operators import raster as R
-from ..sources.adapters import chips, spectra
+from ..sources.adapters import chips, mosaics, spectra
 from .groups import _PX, green_pixels
 from .registry import query, r6, r10
 
@@ -57,61 +57,115 @@ def resample_nearest(spark, sf_dir):
     return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "nearest").select(*BY, r10("v").alias("v"))
 
 
-@query("SELECT image, prow // 2 AS brow, pcol // 2 AS bcol, round(avg(v), 10) AS v FROM chips GROUP BY ALL", "chips")
-def resample_bilinear(spark, sf_dir):
-    """Bilinear weights at block centres (for a scale of two, the mean of the four pixels)."""
-    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "bilinear").select(*BY, r10("v").alias("v"))
+def _kernel_sql(weight: str, reach: int) -> str:
+    """Weights of a kernel widened to the scale of two: ``$`` is the distance from a block's centre in blocks."""
+    place = lambda b, p: f"(abs({b} * 2 + 0.5::DOUBLE - c.{p}) / 2)"
+    return f"""SELECT image, b.brow, b.bcol, round(sum(wr * wc * v) / nullif(sum(wr * wc), 0), 8) AS v FROM (SELECT c.image, r.b AS brow, q.b AS bcol, c.v, {weight.replace('$', place('r.b', 'prow'))} AS wr, {weight.replace('$', place('q.b', 'pcol'))} AS wc
+     FROM chips c JOIN (SELECT unnest(range(0, 4)) AS b) r ON {place('r.b', 'prow')} < {reach} JOIN (SELECT unnest(range(0, 4)) AS b) q ON {place('q.b', 'pcol')} < {reach}) b GROUP BY ALL"""
 
 
-def _kernel_sql(weight: str, reach: int) -> str:
-    return f"""SELECT image, b.brow, b.bcol, round(sum(wr * wc * v) / nullif(sum(wr * wc), 0), 8) AS v FROM (SELECT c.image, r.b AS brow, q.b AS bcol, c.v, {weight.replace('$', 'abs(r.b * 2 + 0.5::DOUBLE - c.prow)')} AS wr, {weight.replace('$', 'abs(q.b * 2 + 0.5::DOUBLE - c.pcol)')} AS wc
-     FROM chips c JOIN (SELECT unnest(range(0, 4)) AS b) r ON abs(r.b * 2 + 0.5 - c.prow) < {reach} JOIN (SELECT unnest(range(0, 4)) AS b) q ON abs(q.b * 2 + 0.5 - c.pcol) < {reach}) b GROUP BY ALL"""
+def _by_kernel(spark, sf_dir, method):
+    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, method).select(*BY, r6("v", 8).alias("v"))
+
+
+@query(_kernel_sql("1 - $", 1), "chips")
+def resample_bilinear(spark, sf_dir):
+    """Bilinear weights at block centres."""
+    return _by_kernel(spark, sf_dir, "bilinear")
 
 
 @query(_kernel_sql("CASE WHEN $ <= 1 THEN 1.5 * $ * $ * $ - 2.5 * $ * $ + 1 ELSE -0.5 * $ * $ * $ + 2.5 * $ * $ - 4 * $ + 2 END", 2), "chips")
 def resample_cubic(spark, sf_dir):
     """Cubic convolution at block centres."""
-    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "cubic").select(*BY, r6("v", 8).alias("v"))
+    return _by_kernel(spark, sf_dir, "cubic")
 
 
 @query(_kernel_sql("CASE WHEN $ <= 1 THEN (3 * $ * $ * $ - 6 * $ * $ + 4) / 6 ELSE (2 - $) * (2 - $) * (2 - $) / 6 END", 2), "chips")
 def resample_cubic_spline(spark, sf_dir):
     """Cubic spline weights at block centres."""
-    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "cubic_spline").select(*BY, r6("v", 8).alias("v"))
+    return _by_kernel(spark, sf_dir, "cubic_spline")
 
 
 @query(_kernel_sql("sin(pi() * $) / (pi() * $) * sin(pi() * $ / 3) / (pi() * $ / 3)", 3), "chips")
 def resample_lanczos(spark, sf_dir):
     """Lanczos weights at block centres."""
-    return R.resample_kernel(chips(spark, sf_dir), ("image",), 2, "lanczos").select(*BY, r6("v", 8).alias("v"))
+    return _by_kernel(spark, sf_dir, "lanczos")
 
 
-_HOLES = "holed AS (SELECT image, prow, pcol, CASE WHEN (pos * 7 + image) % 5 > 0 THEN v END AS v FROM chips)"
+#: Single holes, and in every third image a block of five by five.
+_HOLE = "(pos * 7 + image) % 5 > 0 AND NOT (image % 3 = 0 AND prow BETWEEN 2 AND 6 AND pcol < 5)"
+_HOLES = f"holed AS (SELECT image, prow, pcol, CASE WHEN {_HOLE} THEN v END AS v FROM chips)"
+_NEAREST = "(SELECT first(n.v ORDER BY (n.prow - h.prow) * (n.prow - h.prow) + (n.pcol - h.pcol) * (n.pcol - h.pcol), n.prow, n.pcol) FROM holed n WHERE n.image = h.image AND n.v IS NOT NULL)"
 
 
-@query(
-    """SELECT h.image, h.prow, h.pcol, round(coalesce(h.v, (SELECT first(n.v ORDER BY (n.prow - h.prow) * (n.prow - h.prow) + (n.pcol - h.pcol) * (n.pcol - h.pcol), n.prow, n.pcol) FROM holed n WHERE n.image = h.image AND n.v IS NOT NULL AND abs(n.prow - h.prow) <= 2 AND abs(n.pcol - h.pcol) <= 2)), 10) AS v FROM holed h""", "chips", _HOLES
-)
+def holed(spark, sf_dir):
+    return chips(spark, sf_dir).select("image", "prow", "pcol", F.when(F.expr(_HOLE), F.col("v")).alias("v"))
+
+
+@query(f"SELECT h.image, h.prow, h.pcol, round(coalesce(h.v, {_NEAREST}), 10) AS v FROM holed h", "chips", _HOLES)
 def gapfill_nearest(spark, sf_dir):
-    """Holes take the nearest value."""
-    c = chips(spark, sf_dir).select("image", "prow", "pcol", F.when((F.col("pos") * 7 + F.col("image")) % 5 > 0, F.col("v")).alias("v"))
-    return R.fill_nearest(c, ("image",)).select("image", "prow", "pcol", r10("v").alias("v"))
+    """Holes take the nearest value, however far."""
+    return R.fill_nearest(holed(spark, sf_dir), ("image",)).select("image", "prow", "pcol", r10("v").alias("v"))
+
+
+def _line_sql(line: str, place: str, points: int) -> str:
+    """The hole's value by the polynomial through the next known pixels on either side of its line."""
+
+    def polynomial(names: str) -> str:
+        term = lambda p: " * ".join([f"{p}.y", *(f"(spot - {q}.x) / ({p}.x - {q}.x)" for q in names.split() if q != p)])
+        return " + ".join(map(term, names.split()))
+
+    known = f"SELECT *, lag({place}) OVER k AS px, lag(v) OVER k AS py, lead({place}) OVER k AS nx, lead(v) OVER k AS ny FROM holed WHERE v IS NOT NULL WINDOW k AS (PARTITION BY image, {line} ORDER BY {place})"
+    point = lambda x, y: f"{{'x': CAST({x} AS DOUBLE), 'y': {y}}}"
+    sides = f"""SELECT h.image, h.prow, h.pcol, h.{place}::DOUBLE AS spot, h.v,
+      last_value(CASE WHEN k.v IS NOT NULL THEN {{'p': {point('k.' + place, 'k.v')}, 'q': CASE WHEN k.px IS NOT NULL THEN {point('k.px', 'k.py')} END}} END IGNORE NULLS) OVER (PARTITION BY h.image, h.{line} ORDER BY h.{place}) AS l,
+      last_value(CASE WHEN k.v IS NOT NULL THEN {{'p': {point('k.' + place, 'k.v')}, 'q': CASE WHEN k.nx IS NOT NULL THEN {point('k.nx', 'k.ny')} END}} END IGNORE NULLS) OVER (PARTITION BY h.image, h.{line} ORDER BY h.{place} DESC) AS r
+      FROM holed h LEFT JOIN ({known}) k ON h.image = k.image AND h.prow = k.prow AND h.pcol = k.pcol"""
+    named = f"SELECT image, prow, pcol, spot, l.p AS a, l.q AS c, r.p AS b, r.q AS d FROM ({sides}) WHERE v IS NULL AND l IS NOT NULL AND r IS NOT NULL"
+    if points == 2:
+        value = polynomial("a b")
+    else:
+        value = f"CASE WHEN c IS NULL AND d IS NULL THEN {polynomial('a b')} WHEN c IS NULL THEN {polynomial('a b d')} WHEN d IS NULL THEN {polynomial('a b c')} ELSE {polynomial('a b c d')} END"
+    return f"SELECT image, prow, pcol, {value} AS e FROM ({named})"
+
+
+def _interpolation_sql(points: int) -> str:
+    return f"""SELECT h.image, h.prow, h.pcol, round(coalesce(h.v, CASE WHEN (SELECT count(n.v) FROM holed n WHERE n.image = h.image) >= 4 THEN coalesce((x.e + y.e) / 2, x.e, y.e) END, {_NEAREST}), 8) AS v FROM holed h
+     LEFT JOIN ({_line_sql('prow', 'pcol', points)}) x ON h.image = x.image AND h.prow = x.prow AND h.pcol = x.pcol LEFT JOIN ({_line_sql('pcol', 'prow', points)}) y ON h.image = y.image AND h.prow = y.prow AND h.pcol = y.pcol"""
+
+
+@query(_interpolation_sql(2), "chips", _HOLES)
+def gapfill_linear(spark, sf_dir):
+    """Holes filled by linear interpolation along rows and columns."""
+    return R.fill_interpolated(holed(spark, sf_dir), ("image",), method="linear").select("image", "prow", "pcol", r6("v", 8).alias("v"))
+
+
+@query(_interpolation_sql(4), "chips", _HOLES)
+def gapfill_cubic(spark, sf_dir):
+    """Holes filled by cubics along rows and columns."""
+    return R.fill_interpolated(holed(spark, sf_dir), ("image",), method="cubic").select("image", "prow", "pcol", r6("v", 8).alias("v"))
 
 
-_LEVELS = "lv AS (SELECT image, prow, pcol, coalesce(CAST(floor((v - a) * 255 / nullif(b - a, 0)) AS BIGINT), 0) AS level FROM (SELECT *, min(v) OVER (PARTITION BY image) AS a, max(v) OVER (PARTITION BY image) AS b FROM chips))"
+_SIZES = "sized AS (SELECT 8 AS side, image, prow, pcol, v FROM chips UNION ALL SELECT 16, image, prow, pcol, v FROM mosaics)"
+_LEVELS = _SIZES + """, lv AS (SELECT side, image, prow, pcol, CASE WHEN b > a AND v IS NOT NULL THEN CAST(floor((v - a) / (b - a) * 255) AS BIGINT) ELSE 0 END AS level FROM
+  (SELECT *, min(v) OVER (PARTITION BY side, image) AS a, max(v) OVER (PARTITION BY side, image) AS b FROM sized)),
+ right_of AS (SELECT a.side, a.image, a.level AS i, b.level AS j FROM lv a JOIN lv b ON a.side = b.side AND a.image = b.image AND a.prow = b.prow AND b.pcol = a.pcol + 1),
+ enough AS (SELECT side, image, count(*) FILTER (level > 0) AS above FROM lv GROUP BY ALL)"""
+_TEXTURES = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm")
 
 
 @query(
-    """SELECT image, round(contrast, 6) AS contrast, round(dissimilarity, 6) AS dissimilarity, round(homogeneity, 6) AS homogeneity, round(sqrt(asm_), 6) AS energy, round((ij - m * m) / nullif(ii - m * m, 0), 6) AS correlation, round(asm_, 6) AS asm FROM
-    (SELECT image, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p * p) AS asm_, sum(p * i) AS m, sum(p * i * i) AS ii, sum(p * i * j) AS ij FROM
-     (SELECT image, i, j, count(*) / sum(count(*)) OVER (PARTITION BY image) AS p FROM (SELECT a.image, a.level AS i, b.level AS j FROM lv a JOIN lv b ON a.image = b.image AND a.prow = b.prow AND b.pcol = a.pcol + 1
-       UNION ALL SELECT a.image, b.level, a.level FROM lv a JOIN lv b ON a.image = b.image AND a.prow = b.prow AND b.pcol = a.pcol + 1) GROUP BY image, i, j) GROUP BY image)""",
-    "chips", _LEVELS,
+    f"""SELECT e.side, e.image, {', '.join(f'CASE WHEN above = 0 OR above > 100 THEN {c} END AS {c}' for c in _TEXTURES)} FROM enough e LEFT JOIN
+    (SELECT side, image, round(contrast, 9) AS contrast, round(dissimilarity, 9) AS dissimilarity, round(homogeneity, 9) AS homogeneity, round(sqrt(asm_), 9) AS energy, round((ij - m * m) / nullif(ii - m * m, 0), 9) AS correlation, round(asm_, 9) AS asm FROM
+    (SELECT side, image, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p * p) AS asm_, sum(p * i) AS m, sum(p * i * i) AS ii, sum(p * i * j) AS ij FROM
+     (SELECT side, image, i, j, count(*) / sum(count(*)) OVER (PARTITION BY side, image) AS p FROM (SELECT * FROM right_of UNION ALL SELECT side, image, j, i FROM right_of) GROUP BY side, image, i, j) GROUP BY side, image)) t ON e.side = t.side AND e.image = t.image""",
+    "chips mosaics", _LEVELS,
 )
 def glcm_props(spark, sf_dir):
-    """Co-occurrence texture of each chip."""
-    out = R.glcm(R.grey_levels(chips(spark, sf_dir), ("image",)), ("image",))
-    return out.select("image", *(r6(c).alias(c) for c in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm")))
+    """Co-occurrence texture of chips (too small for any) and of mosaics."""
+    sized = [df(spark, sf_dir).select(F.lit(side).alias("side"), "image", "prow", "pcol", "v") for side, df in ((8, chips), (16, mosaics))]
+    out = R.glcm(R.grey_levels(sized[0].unionByName(sized[1]), ("side", "image")), ("side", "image"))
+    return out.select("side", "image", *(r6(c, 9).alias(c) for c in _TEXTURES))
 
 
 @query(

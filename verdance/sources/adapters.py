@@ -1,7 +1,7 @@
 """Shapes of the domain built from the test tables, each with the same shape in SQL.
 
 ``scenes``: pixel observations.  ``series``: site series over years.  ``camera``:
-time-lapse rows.  ``chips``: 8 x 8 rasters.  ``spectra``: one array per vector.
+time-lapse rows.  ``chips``: 8 x 8 rasters.  ``mosaics``: 16 x 16 rasters.  ``spectra``: one array per vector.
 ``grid``: fine pixels under coarse cells.
 """
 
@@ -57,6 +57,12 @@ def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("image", "cls", F.col("pos").cast("long").alias("pos"), F.floor(F.col("pos") / 8).alias("prow"), (F.col("pos") % 8).cast("long").alias("pcol"), F.col("col").cast("double").alias("v"))
 
 
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four chips each, side by side: 16 x 16 pixels."""
+    c, quarter = chips(spark, sf_dir), F.col("image") % 4
+    return c.select(F.floor(F.col("image") / 4).alias("image"), (F.floor(quarter / 2) * 8 + F.col("prow")).alias("prow"), (quarter % 2 * 8 + F.col("pcol")).alias("pcol"), "v")
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.col("label").cast("long").alias("cls"), F.col("embedding").cast("array<double>").alias("bands"))
 
@@ -78,6 +84,8 @@ SQL = {
         value / 500 AS green_ratio, event_type AS species, user_id AS plot FROM events)""",
     "chips": """chips AS (SELECT image, cls, pos, pos // 8 AS prow, pos % 8 AS pcol, CAST(embedding[pos + 1] AS DOUBLE) AS v FROM
         (SELECT vec_id AS image, CAST(label AS BIGINT) AS cls, embedding, unnest(range(0, len(embedding))) AS pos FROM embeddings))""",
+    "mosaics": """mosaics AS (SELECT vec_id // 4 AS image, (vec_id % 4) // 2 * 8 + pos // 8 AS prow, vec_id % 2 * 8 + pos % 8 AS pcol, CAST(embedding[pos + 1] AS DOUBLE) AS v FROM
+        (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS pos FROM embeddings))""",
     "spectra": """spectra AS (SELECT vec_id AS image, CAST(label AS BIGINT) AS cls, CAST(embedding AS DOUBLE[]) AS bands FROM embeddings)""",
     "grid": """grid AS (SELECT l_partkey AS x, l_suppkey AS y, l_partkey // 10 AS cx, l_suppkey // 10 AS cy, l_extendedprice / 1e5 AS v, l_quantity AS dn FROM lineitem)""",
 }
