@@ -301,8 +301,16 @@ def test_harmonic_fit_recovers_coefficients(spark):
     c = np.array([3.0, -0.001, 0.3, -0.2, 0.1, 0.05, -0.02, 0.01])
     df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(t, harmonic.predict(t, c))], "k int, t double, value double")
     got = harmonic.harmonic_fit(df, ("k",)).first()
-    assert got.n == 200 and got.rmse < 1e-8 and np.allclose(got.coefs[2:], c[2:], atol=1e-6)
+    assert got.n == 200 and got.rmse < 1e-6 and np.allclose(got.coefs[2:], c[2:], atol=1e-6)
     assert harmonic.harmonic_fit(df.limit(5), ("k",)).first().coefs is None
+    noisy = df.withColumn("value", F.col("value") + 0.1 * F.rand(3)).unionByName(df.selectExpr("2 as k", "t", "value")).unionByName(df.limit(1).selectExpr("3 as k", "t", "cast(null as double) as value")).cache()
+    for penalty in (0.0, 0.002):
+        rows = {r.k: r for r in harmonic.harmonic_fit(noisy, ("k",), penalty=penalty).collect()}
+        assert rows[3].n == 0 and rows[3].coefs is None and rows[3].rmse is None
+        for k in (1, 2):
+            part = noisy.where(F.col("k") == k).toPandas()
+            x, y = part.t.to_numpy(), part.value.to_numpy()
+            assert np.abs(harmonic.predict(x, np.array(rows[k].coefs)) - harmonic.predict(x, harmonic.fit(x, y, penalty))).max() < 1e-5
     lasso = harmonic.fit(t, harmonic.predict(t, c), 0.002)
     assert np.abs(harmonic.predict(t, lasso) - harmonic.predict(t, c)).max() < 0.05
 
@@ -339,6 +347,18 @@ def test_clusters():
     x = np.concatenate((a, b))
     for labels in (cluster.kmeans(x)[0], cluster.gaussian_mixture(x)[0], cluster.dbscan(x), cluster.spectral(x), cluster.spectral(x, samples=50)):
         assert len(set(labels[:60])) == 1 and len(set(labels[60:])) == 1 and labels[0] != labels[-1]
+    many = np.concatenate((rng.normal(0, 0.3, (1200, 3)), rng.normal(4, 0.3, (900, 3))))
+    apart = cluster.spectral(many, direct=100)  # by multiplication
+    assert len(set(apart[:1200])) == 1 and len(set(apart[1200:])) == 1 and apart[0] != apart[-1]
+    loose = rng.normal(0, 1, (400, 4))
+    near = np.square(loose[:, None] - loose).sum(2) <= 0.6**2
+    core = near.sum(1) >= 6
+    names = np.arange(400)
+    for _ in range(400):
+        names = np.where(core, np.where(near & core, names, 400).min(1).clip(max=names), names)
+    want = [names[i] if core[i] else (names[np.flatnonzero(near[i] & core)[0]] if (near[i] & core).any() else -1) for i in range(400)]
+    got = cluster.dbscan(loose, 0.6, 6)
+    assert len({(a, b) for a, b in zip(got.tolist(), want)}) == len(set(want)) == len(set(got.tolist()))
     noise = cluster.dbscan(np.concatenate((a, [[50.0, 50, 50]])))
     assert noise[-1] == -1 and (noise[:-1] == 0).all()
 
@@ -357,6 +377,19 @@ def test_vegetation_classes(spark, method):
     assert m.green_mean == m.green_norm
 
 
+def test_threshold_of_two_classes_is_the_best_split(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for image in range(6):
+        g = rng.integers(1, 200, rng.integers(1, 30)).astype(float)
+        rows += [(image, 50.0, float(v), 30.0) for v in g]
+        x = np.sort(g / (80 + g + 1e-10))
+        cost, best = min((x[:k].var() * k + x[k:].var() * (len(x) - k), k) for k in range(1, len(x))) if len(x) > 1 else (0, 0)
+        want[image] = x[0] if not best else x[:best].mean() + 0.6 * (x[best:].mean() - x[:best].mean())
+    got = {r.image: r.threshold for r in cluster.kmeans_threshold(spark.createDataFrame(rows, "image int, r double, g double, b double")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def exif(text, tag=0x9003):
     body = struct.pack("<HHHII", 1, tag, 2, len(text) + 1, 26) + struct.pack("<I", 0)
     tiff = b"II*\0" + struct.pack("<I", 8) + body + text.encode() + b"\0"

@@ -11,7 +11,7 @@ from verdance.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 #: Queries that may be empty on the smallest tables.
-MAY_BE_EMPTY = {"ccdc_break_stats", "frame_detection"}
+MAY_BE_EMPTY = {"frame_detection"}
 
 
 @pytest.fixture(scope="module")

@@ -1,8 +1,10 @@
 """Unsupervised pixel classes, one image at a time.
 
-An image is one group of pixels, bounded by its own size.  The two classes of a
+An image is one group of pixels, bounded by its own size; beside it a task holds
+blocks only (distances of some hundred pixels at a time).  The two classes of a
 method are named by brightness or hue, so results don't depend on the order in
-which a method finds them.
+which a method finds them.  One-dimensional two-means is exact and runs in the
+engine.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -35,22 +38,29 @@ def hsv(rgb: np.ndarray) -> np.ndarray:
     return np.column_stack((np.where(top == low, 0, hue) / 2, np.where(top > 0, 255 * (top - low) / np.maximum(top, 1e-12), 0), top))
 
 
-def kmeans(x: np.ndarray, k: int = 2, seed: int = 42, tries: int = 10, rounds: int = 100, eps: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and centres of the best of several seeded runs."""
+def kmeans(x: np.ndarray, k: int = 2, seed: int = 42, tries: int = 10, rounds: int = 100, eps: float = 0.2, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centres of the best of several seeded runs, as many side by side as ``cells`` distances allow."""
     rng = np.random.default_rng(seed)
-    best = (np.inf, np.zeros(len(x), int), x[:1].repeat(k, 0).astype(float))
-    for _ in range(tries):
-        centres = x[rng.choice(len(x), k, replace=len(x) < k)].astype(float)
+    starts = np.array([x[rng.choice(len(x), k, replace=len(x) < k)] for _ in range(tries)], float)
+    best = (np.inf, np.zeros(len(x), int), starts[0])
+    at_once = max(1, min(tries, cells // max(1, len(x) * k)))
+    square = np.square(x).sum(1)
+    far_of = lambda c: square[:, None] - 2 * x @ c.reshape(-1, x.shape[1]).T + np.square(c).sum(2).ravel()
+    for i in range(0, tries, at_once):
+        centres = starts[i : i + at_once]
         for _ in range(rounds):
-            labels = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
-            moved = np.array([x[labels == j].mean(0) if (labels == j).any() else centres[j] for j in range(k)])
+            labels = far_of(centres).reshape(len(x), -1, k).argmin(2)
+            member = np.stack([labels == j for j in range(k)], 2).reshape(len(x), -1).astype(float)
+            count = member.sum(0)
+            moved = np.where(count[:, None] > 0, member.T @ x / np.maximum(count, 1)[:, None], centres.reshape(-1, x.shape[1])).reshape(centres.shape)
             shift, centres = np.abs(moved - centres).max(), moved
             if shift <= eps * 1e-3:
                 break
-        far = ((x[:, None] - centres) ** 2).sum(2)
-        cost = far.min(1).sum()
-        if cost < best[0] - 1e-9:
-            best = (cost, far.argmin(1), centres)
+        far = far_of(centres).reshape(len(x), -1, k)
+        costs = far.min(2).sum(0)
+        for j in np.flatnonzero(costs < best[0] - 1e-9):
+            if costs[j] < best[0] - 1e-9:
+                best = (costs[j], far[:, j].argmin(1), centres[j])
     return best[1], best[2]
 
 
@@ -77,51 +87,97 @@ def gaussian_mixture(x: np.ndarray, k: int = 2, seed: int = 42, rounds: int = 10
     return member.argmax(1), means
 
 
+def _join(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Merge the classes of ``left[i]`` and ``right[i]``; a label is the least index of its class."""
+    while left.size:
+        a, b = labels[left], labels[right]
+        apart = a != b
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        if not left.size:
+            return
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := labels[labels], labels):
+            labels[:] = up
+
+
 def dbscan(x: np.ndarray, eps: float = 0.5, least: int = 10, block: int = 512) -> np.ndarray:
-    """Density clusters, -1 for noise; a border point goes to the cluster of its least core neighbour."""
+    """Density clusters, -1 for noise; a border point goes to the cluster of its least core neighbour.
+
+    Points are looked for in their own cell of width ``eps`` and the cells around it only.
+    """
     n = len(x)
-    labels = np.arange(n)
+    if not n:
+        return np.zeros(0, int)
+    cells, of = np.unique(np.floor((x - x.min(0)) / eps).astype(np.int64), axis=0, return_inverse=True)
+    of = of.ravel()
+    members = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1])
+
+    def parts():
+        """Blocks of a cell's points with all that may be near, ascending, and whether they are."""
+        for c, rows in enumerate(members):
+            around = np.flatnonzero((np.abs(cells - cells[c]) <= 1).all(1))
+            other = np.sort(np.concatenate([members[i] for i in around]))
+            for i in range(0, len(rows), block):
+                part = rows[i : i + block]
+                yield part, other, np.square(x[part, None] - x[other]).sum(2) <= eps * eps
+
     core = np.zeros(n, bool)
-    near = lambda i: ((x[i : i + block, None] - x) ** 2).sum(2) <= eps * eps
-    for i in range(0, n, block):
-        core[i : i + block] = near(i).sum(1) >= least
-    changed = True
-    while changed:  # least label through core neighbours
-        before = labels.copy()
-        for i in range(0, n, block):
-            hit = near(i) & core
-            low = np.where(hit, labels, n).min(1)
-            rows = slice(i, i + block)
-            labels[rows] = np.where(core[rows], np.minimum(labels[rows], low), labels[rows])
-        labels[core] = labels[labels[core]]
-        changed = not np.array_equal(before, labels)
-    out = np.where(core, labels, -1)
-    for i in range(0, n, block):
-        hit = near(i) & core
-        rows = np.arange(i, min(n, i + block))
-        border = ~core[rows] & hit.any(1)
-        out[rows[border]] = labels[hit[border].argmax(1)]
-    names = np.unique(out[out >= 0])
-    return np.where(out < 0, -1, np.searchsorted(names, out))
-
-
-def spectral(x: np.ndarray, k: int = 2, gamma: float = 1.0, seed: int = 42, samples: int = 2000, neighbours: int = 5) -> np.ndarray:
-    """Clusters of the normalised affinity's leading vectors; beyond ``samples`` rows the rest take their neighbours' label."""
+    for rows, _, near in parts():
+        core[rows] = near.sum(1) >= least
+    labels, border = np.arange(n), np.full(n, -1)
+    for rows, other, near in parts():
+        near = near & core[other]
+        u, v = np.nonzero(near & core[rows][:, None])
+        _join(labels, rows[u], other[v])
+        edge = ~core[rows] & near.any(1)
+        border[rows[edge]] = other[near[edge].argmax(1)]
+    out = np.where(core, labels, np.where(border >= 0, labels[border], -1))
+    return np.where(out < 0, -1, np.searchsorted(np.unique(out[out >= 0]), out))
+
+
+def _leading(multiply: Callable[[np.ndarray], np.ndarray], n: int, k: int, seed: int, width: int = 6, steps: int = 14) -> np.ndarray:
+    """The ``k`` leading eigenvectors of a symmetric operator, from a block Krylov space."""
+    basis = [np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(width, n))))[0]]
+    for _ in range(min(steps, n // width)):
+        new = multiply(basis[-1])
+        for _ in range(2):
+            for b in basis:
+                new = new - b @ (b.T @ new)
+        q, r = np.linalg.qr(new)
+        q = q[:, np.abs(np.diag(r)) > 1e-10]
+        if not q.shape[1]:
+            break
+        basis.append(q)
+    whole = np.concatenate(basis, 1)
+    _, inner = np.linalg.eigh(whole.T @ multiply(whole))
+    return whole @ inner[:, -k:]
+
+
+def spectral(x: np.ndarray, k: int = 2, gamma: float = 1.0, seed: int = 42, samples: int = 10000, neighbours: int = 5, direct: int = 1500, block: int = 512) -> np.ndarray:
+    """Clusters of the normalised affinity's leading vectors; beyond ``samples`` rows the rest take their neighbours' label.
+
+    Up to ``direct`` rows the matrix is decomposed as a whole; beyond, it is multiplied a block of rows at a time.
+    """
     rng = np.random.default_rng(seed)
     chosen = np.sort(rng.choice(len(x), samples, replace=False)) if len(x) > samples else np.arange(len(x))
     s = x[chosen]
-    near = np.exp(-gamma * ((s[:, None] - s) ** 2).sum(2))
-    scale = 1 / np.sqrt(near.sum(1))
-    _, vectors = np.linalg.eigh(near * scale[:, None] * scale)
-    lead = vectors[:, -k:] * scale[:, None]
+    square = np.square(s).sum(1)
+    near = lambda i: np.exp(-gamma * np.maximum(0, square[i : i + block, None] - 2 * s[i : i + block] @ s.T + square))
+    rows = range(0, len(s), block)
+    scale = 1 / np.sqrt(np.concatenate([near(i).sum(1) for i in rows]))
+    if len(s) <= direct:
+        lead = np.linalg.eigh(np.concatenate([near(i) for i in rows]) * scale[:, None] * scale)[1][:, -k:]
+    else:
+        lead = _leading(lambda v: np.concatenate([near(i) @ (scale[:, None] * v) for i in rows]) * scale[:, None], len(s), k, seed)
+    lead = lead * scale[:, None]
     lead = lead / np.maximum(1e-12, np.abs(lead).max(0))
     labels, _ = kmeans(lead, k, seed, eps=1e-3)
     if len(chosen) == len(x):
         return labels
     out = np.empty(len(x), int)
-    for i in range(0, len(x), 512):
-        order = ((x[i : i + 512, None] - s) ** 2).sum(2).argsort(1, kind="stable")[:, :neighbours]
-        out[i : i + 512] = [np.bincount(v, minlength=k).argmax() for v in labels[order]]
+    for i in range(0, len(x), block):
+        order = ((x[i : i + block, None] - s) ** 2).sum(2).argsort(1, kind="stable")[:, :neighbours]
+        out[i : i + block] = [np.bincount(v, minlength=k).argmax() for v in labels[order]]
     return out
 
 
@@ -161,7 +217,7 @@ def _spectral_classes(rgb: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 #: method -> (classes of green pixels, green pixels it needs)
-METHODS: dict[str, tuple[Callable, int]] = {"kmeans": (_kmeans_classes, 1), "gmm": (_gmm_classes, 20), "dbscan": (_dbscan_classes, 20), "spectral": (_spectral_classes, 20)}
+METHODS: dict[str, tuple[Callable, int]] = {"kmeans": (_kmeans_classes, 1), "gmm": (_gmm_classes, 101), "dbscan": (_dbscan_classes, 101), "spectral": (_spectral_classes, 101)}
 
 
 def vegetation_classes(pixels: DataFrame, method: str = "kmeans", image: str = "image", threshold: float = 0.38, least: int | None = None) -> DataFrame:
@@ -195,12 +251,19 @@ def vegetation_classes(pixels: DataFrame, method: str = "kmeans", image: str = "
 
 
 def kmeans_threshold(pixels: DataFrame, image: str = "image", share: float = 0.6) -> DataFrame:
-    """``image, threshold``: a point between the two centres of an image's green shares."""
+    """``image, threshold``: a point between the two centres of an image's green shares.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rgb = pdf[["r", "g", "b"]].to_numpy(float)
-        _, centres = kmeans(np.sort(rgb[:, 1] / (rgb.sum(1) + 1e-10))[:, None])
-        low, high = sorted(centres.ravel())
-        return pd.DataFrame({image: [pdf[image].iloc[0]], "threshold": [float(low + share * (high - low))]})
-
-    return pixels.groupBy(image).applyInPandas(one, T.StructType([pixels.schema[image], T.StructField("threshold", T.DoubleType())]))
+    Two classes of numbers are split at one place of their order, so running sums
+    over the distinct shares give the best of all splits; the lowest on ties.
+    """
+    green = F.col("g") / (F.col("r") + F.col("g") + F.col("b") + 1e-10)
+    counted = pixels.select(image, green.alias("x")).where("x is not null").groupBy(image, "x").agg(F.count("*").alias("n"))
+    up = Window.partitionBy(image).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(image)
+    sums = counted.withColumns({"n0": F.sum("n").over(up), "s0": F.sum(F.col("n") * F.col("x")).over(up), "na": F.sum("n").over(whole), "sa": F.sum(F.col("n") * F.col("x")).over(whole)})
+    n1, s1 = F.col("na") - F.col("n0"), F.col("sa") - F.col("s0")
+    low = F.col("s0") / F.col("n0")
+    high = F.when(n1 > 0, s1 / F.nullif(n1, F.lit(0))).otherwise(low)  # of one value both centres are it
+    gain = F.round(F.col("s0") * low + s1 * high, 9)
+    best = sums.groupBy(image).agg(F.max(F.struct(gain.alias("gain"), (-F.col("x")).alias("x"), low.alias("low"), high.alias("high"))).alias("b"))
+    return best.select(image, (F.col("b.low") + share * (F.col("b.high") - F.col("b.low"))).alias("threshold"))

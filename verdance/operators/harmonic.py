@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # 0.99 quantiles of chi-squared by degrees of freedom.
@@ -136,20 +139,74 @@ def segments(
     return out
 
 
+def _from_sums(gram: np.ndarray, target: np.ndarray, square: np.ndarray, n: np.ndarray, penalty: float, rounds: int = 10000) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and root mean square errors of many series from their sums of products."""
+    if penalty <= 0:
+        coefs = (np.linalg.pinv(gram, rcond=1e-13, hermitian=True) @ target[:, :, None])[:, :, 0]
+    else:
+        mean = gram[:, 0] / n[:, None]
+        scale = np.sqrt(np.maximum(np.diagonal(gram, axis1=1, axis2=2) / n[:, None] - mean**2, 0))
+        scale = np.maximum(scale, 1e-12)
+        z = (gram / n[:, None, None] - mean[:, :, None] * mean[:, None]) / (scale[:, :, None] * scale[:, None])
+        goal = (target / n[:, None] - mean * target[:, :1] / n[:, None]) / scale
+        w = np.zeros(target.shape)
+        for _ in range(rounds):
+            before = w.copy()
+            for j in range(1, w.shape[1]):
+                r = goal[:, j] - (z[:, j, 1:] * w[:, 1:]).sum(1) + z[:, j, j] * w[:, j]
+                w[:, j] = np.sign(r) * np.maximum(np.abs(r) - penalty, 0) / np.maximum(z[:, j, j], 1e-12)
+            if np.abs(w - before).max() < 1e-9:
+                break
+        coefs = w / scale
+        coefs[:, 0] = target[:, 0] / n - (coefs[:, 1:] * mean[:, 1:]).sum(1)
+    left = square - 2 * (coefs * target).sum(1) + ((coefs[:, None] @ gram)[:, 0] * coefs).sum(1)
+    return coefs, np.sqrt(np.maximum(left, 0) / n)
+
+
 def harmonic_fit(df: DataFrame, keys: tuple[str, ...], t: str = "t", value: str = "value", penalty: float = 0.0, least: int = 12) -> DataFrame:
-    """``keys, n, coefs`` (eight) and ``rmse`` of each key's series; short series have NULL coefficients."""
+    """``keys, n, coefs`` (eight) and ``rmse`` of each key's series; short series have NULL coefficients.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        good = pdf.dropna(subset=[t, value]).sort_values([t, value])
-        row = {k: [pdf[k].iloc[0]] for k in keys} | {"n": [len(good)], "coefs": [None], "rmse": [None]}
-        if len(good) >= least:
-            x, y = good[t].to_numpy(float), good[value].to_numpy(float)
-            c = fit(x, y, penalty)
-            row |= {"coefs": [c.tolist()], "rmse": [float(np.sqrt(np.mean((y - predict(x, c)) ** 2)))]}
-        return pd.DataFrame(row)
+    Sums of products are aggregated where the rows are, so no task holds a series;
+    what is left is an 8 x 8 system for each key.  Times count from the earliest
+    whole one, which keeps the systems well conditioned.
+    """
+    good = F.col(t).isNotNull() & F.col(value).isNotNull() & ~F.isnan(t) & ~F.isnan(value)
+    first = df.where(good).agg(F.floor(F.min(t))).first()[0] or 0
+    x = F.col(t).cast("double")
+    waves = [f(F.lit(2 * np.pi * k) * x) for k in (1, 2, 3) for f in (F.cos, F.sin)]
+    terms = [F.lit(1.0), x - F.lit(float(first)), *waves]
+    y = F.col(value).cast("double")
+    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
+    total = lambda c, name: F.sum(F.when(good, c)).alias(name)
+    sums = [total(terms[i] * terms[j], f"__g{i}{j}") for i, j in pairs] + [total(a * y, f"__t{i}") for i, a in enumerate(terms)]
+    summed = df.groupBy(*keys).agg(F.count_if(good).alias("n"), total(y * y, "__s"), *sums)
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = part[list(keys)].copy()
+            out["n"] = part["n"].fillna(0).astype("int64")
+            out["coefs"], out["rmse"] = None, None
+            full = (out["n"] >= least).to_numpy()
+            if full.any():
+                rows = part[full]
+                gram = np.zeros((len(rows), 8, 8))
+                for i, j in pairs:
+                    gram[:, i, j] = gram[:, j, i] = rows[f"__g{i}{j}"]
+                target = rows[[f"__t{i}" for i in range(8)]].to_numpy(float)
+                coefs, rmse = _from_sums(gram, target, rows["__s"].to_numpy(float), rows["n"].to_numpy(float), penalty)
+                coefs[:, 0] -= coefs[:, 1] * first
+                at = np.flatnonzero(full)
+                column = np.full(len(out), None, object)
+                for i, c in zip(at, coefs):
+                    column[i] = c.tolist()
+                out["coefs"] = column
+                error = np.full(len(out), np.nan)
+                error[at] = rmse
+                out["rmse"] = pd.Series(error, out.index).astype("Float64").where(full)
+            yield out
 
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("coefs", T.ArrayType(T.DoubleType())), T.StructField("rmse", T.DoubleType())])
-    return df.select(*keys, t, value).groupBy(*keys).applyInPandas(one, schema)
+    return summed.mapInPandas(solve, schema)
 
 
 def ccdc(df: DataFrame, keys: tuple[str, ...], t: str = "t", bands: tuple[str, ...] = ("value",), screen: tuple[str, ...] = (), **parameters) -> DataFrame:

@@ -58,18 +58,26 @@ def touches_edge(x: Column, y: Column, edges: Column, half: float = 0.5) -> Colu
 def zonal(pixels: DataFrame, polygons: DataFrame, x: str, y: str, poly: str = "poly", all_touched: bool = False) -> DataFrame:
     """Pixels with the polygon that holds their centre or, with ``all_touched``, any part of them; a box test goes first.
 
-    ``polygons`` has ``poly`` and ``edges``; tiles of the boxes' grid make the join an equi-join.
+    ``polygons`` has ``poly`` and ``edges``; tiles of the boxes' grid make the join an
+    equi-join.  A tile keeps the edges that a ray from its pixels can meet, and one
+    that no edge comes near keeps only whether it lies inside.
     """
     side, more = 16.0, 0.5 if all_touched else 0.0
     xs, ys = F.transform("edges", lambda e: e["x1"]), F.transform("edges", lambda e: e["y1"])
     boxed = polygons.select(poly, "edges", (F.array_min(xs) - more).alias("__xa"), (F.array_max(xs) + more).alias("__xb"), (F.array_min(ys) - more).alias("__ya"), (F.array_max(ys) + more).alias("__yb"))
     tiled = boxed.withColumn("__tx", F.explode(F.sequence(cell(F.col("__xa"), 0, side), cell(F.col("__xb"), 0, side))))
     tiled = tiled.withColumn("__ty", F.explode(F.sequence(cell(F.col("__ya"), 0, side), cell(F.col("__yb"), 0, side))))
+    x0, y0 = F.col("__tx") * side, F.col("__ty") * side  # pixels of a tile lie from here to before x0 + side
+    met = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0 - more) & (F.least(e["y1"], e["y2"]) <= y0 + side + more) & (F.greatest(e["x1"], e["x2"]) >= x0 - more))
+    tiled = tiled.withColumn("edges", met)
+    crossed = F.exists("edges", lambda e: F.least(e["x1"], e["x2"]) <= x0 + side + more)
+    tiled = tiled.withColumn("__whole", F.when(~crossed, inside_polygon(x0 + side / 2, y0 + side / 2, F.col("edges"))))
+    tiled = tiled.where("__whole is null or __whole").withColumn("edges", F.when(F.col("__whole").isNull(), F.col("edges")))
     keyed = pixels.withColumn("__tx", cell(F.col(x), 0, side)).withColumn("__ty", cell(F.col(y), 0, side))
     inside = inside_polygon(F.col(x), F.col(y), F.col("edges"))
     if all_touched:
         inside = inside | touches_edge(F.col(x), F.col(y), F.col("edges"))
-    hit = F.col(x).between(F.col("__xa"), F.col("__xb")) & F.col(y).between(F.col("__ya"), F.col("__yb")) & inside
+    hit = F.col(x).between(F.col("__xa"), F.col("__xb")) & F.col(y).between(F.col("__ya"), F.col("__yb")) & F.coalesce(F.col("__whole"), inside)
     return keyed.join(tiled, ["__tx", "__ty"]).where(hit).select(*pixels.columns, poly)
 
 

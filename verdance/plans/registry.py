@@ -11,14 +11,14 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None, uses: str = "", more: str = ""):
+def query(sql: str | None = None, uses: str = "", more: str = "", recursive: bool = False):
     """Register a function; ``uses`` names the shapes that ``sql`` reads, ``more`` further WITH parts."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             parts = [SQL[u] for u in uses.split()] + ([more] if more else [])
-            ORACLES[f.__name__] = (f"WITH {', '.join(parts)} " if parts else "") + sql
+            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} " if parts else "") + sql
         return f
 
     return add

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bands as B
 from ..operators import temporal as O
 from ..sources.adapters import camera, scenes, series
-from .registry import query, r6
+from .registry import query, r6, r10
 
 PIXEL = ("prow", "pcol")
 BASE_YEAR = 1999
@@ -99,14 +99,14 @@ def defoliation_extent(spark, sf_dir):
 
 
 @query(
-    "SELECT s.site, s.day, round(avg(o.value), 6) AS value, count(o.value) AS n FROM (SELECT site, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM series GROUP BY site) s LEFT JOIN series o ON o.site = s.site AND o.day = s.day GROUP BY s.site, s.day", "series"
+    "SELECT s.site, s.day, round(avg(o.value), 10) AS value, count(o.value) AS n FROM (SELECT site, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM series GROUP BY site) s LEFT JOIN series o ON o.site = s.site AND o.day = s.day GROUP BY s.site, s.day", "series"
 )
 def daily_mean_gapfill(spark, sf_dir):
     """Daily means of each site on a full calendar; days without rows stay, with NULL."""
     every = series(spark, sf_dir)
     means = every.groupBy("site", "day").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
     filled = O.day_spine(every, keys=("site",)).join(means, ["site", "day"], "left")
-    return filled.select("site", "day", r6("value").alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
+    return filled.select("site", "day", r10("value").alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT day, round(avg(green_ratio), 6) AS green_ratio, round(avg(plot), 6) AS plot, count(*) AS n FROM camera GROUP BY day", "camera")

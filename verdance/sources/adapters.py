@@ -1,15 +1,20 @@
 """Shapes of the domain built from the test tables, each with the same shape in SQL.
 
 ``scenes``: pixel observations.  ``series``: site series over years.  ``camera``:
-time-lapse rows.  ``chips``: 8 x 8 rasters.  ``mosaics``: 16 x 16 rasters.  ``spectra``: one array per vector.
+time-lapse rows.  ``chips``: 8 x 8 rasters.  ``mosaics``: 16 x 16 rasters.
+``meadows``: colour images of two kinds of plants.  ``broken_series``: with breaks on known days.  ``spectra``: one array per vector.
 ``grid``: fine pixels under coarse cells.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bands import fractional_year
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +68,24 @@ def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.floor(F.col("image") / 4).alias("image"), (F.floor(quarter / 2) * 8 + F.col("prow")).alias("prow"), (quarter % 2 * 8 + F.col("pcol")).alias("pcol"), "v")
 
 
+def meadows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 x 16 colour images: bare rows on top, then dark green on the left and light green on the right."""
+    m = mosaics(spark, sf_dir)
+    more = F.floor(F.abs("v") * 40) % 3
+    kind = F.when(F.col("prow") < F.col("image") % 4, 0).when(F.col("pcol") < 5 + F.col("image") % 6, 1).otherwise(2)
+    pick = lambda bare, dark, light: F.when(kind == 0, bare).when(kind == 1, dark).otherwise(light).cast("double")
+    return m.select("image", "prow", "pcol", pick(90, 30, 80).alias("r"), (pick(90, 70, 190) + F.when(kind > 0, more).otherwise(0)).alias("g"), pick(90, 30, 60).alias("b"))
+
+
+def broken_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``site, day, t, value``: seasonal daily series; three of four sites rise by 0.2 on a day of their own."""
+    daily = series(spark, sf_dir).groupBy("site", "day").agg(F.avg("value").alias("x"))
+    t = fractional_year(F.col("day"))
+    risen = (F.col("site") % 4 != 3) & (F.datediff("day", F.lit("1997-01-01").cast("date")) >= F.col("site") * 20)
+    level = 0.4 + 0.1 * F.cos(2 * math.pi * t) + F.when(risen, 0.2).otherwise(0.0) + 0.02 * (F.col("x") - 0.5)
+    return daily.select("site", "day", t.alias("t"), level.alias("value"))
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.col("label").cast("long").alias("cls"), F.col("embedding").cast("array<double>").alias("bands"))
 
@@ -86,6 +109,8 @@ SQL = {
         (SELECT vec_id AS image, CAST(label AS BIGINT) AS cls, embedding, unnest(range(0, len(embedding))) AS pos FROM embeddings))""",
     "mosaics": """mosaics AS (SELECT vec_id // 4 AS image, (vec_id % 4) // 2 * 8 + pos // 8 AS prow, vec_id % 2 * 8 + pos % 8 AS pcol, CAST(embedding[pos + 1] AS DOUBLE) AS v FROM
         (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS pos FROM embeddings))""",
+    "meadows": """meadows AS (SELECT image, prow, pcol, kind, [90, 30, 80][kind + 1] AS r, [90, 70, 190][kind + 1] + CASE WHEN kind > 0 THEN more ELSE 0 END AS g, [90, 30, 60][kind + 1] AS b FROM
+        (SELECT *, CAST(floor(abs(v) * 40) AS BIGINT) % 3 AS more, CASE WHEN prow < image % 4 THEN 0 WHEN pcol < 5 + image % 6 THEN 1 ELSE 2 END AS kind FROM mosaics))""",
     "spectra": """spectra AS (SELECT vec_id AS image, CAST(label AS BIGINT) AS cls, CAST(embedding AS DOUBLE[]) AS bands FROM embeddings)""",
     "grid": """grid AS (SELECT l_partkey AS x, l_suppkey AS y, l_partkey // 10 AS cx, l_suppkey // 10 AS cy, l_extendedprice / 1e5 AS v, l_quantity AS dn FROM lineitem)""",
 }

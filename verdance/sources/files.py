@@ -5,6 +5,9 @@ Schemas are explicit; one missing-value text (``NA``) becomes NULL; NaN becomes
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,20 @@ from pyspark.sql import types as T
 
 from ..functions.bands import no_nan
 
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``; a temporary one for local sessions only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root}/verdance"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="verdance-work-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 # Columns of the files.
 SCHEMAS = {
     "gcc_observed": "`system:time_start` string, GCC double",

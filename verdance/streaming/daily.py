@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bands import utc, utc_day
+from ..sources.files import work_folder
 
 
 def camera_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -31,8 +32,17 @@ def append_only(rows: DataFrame, path: str, checkpoint: str):
 
 
 def run_batchwise(spark: SparkSession, path: str) -> DataFrame:
-    """Run the stream through all there is now and return its result table."""
-    name = f"daily_{uuid.uuid4().hex}"
-    stream = daily_means(camera_stream(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.table(name)
+    """Run the stream through all there is now and return its result table.
+
+    Each micro-batch writes the days it changed to files; of a day the last
+    written state holds.  Nothing of the result passes through the driver.
+    """
+    folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/days/batch={number}")
+
+    rows = daily_means(camera_stream(spark, path))
+    rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.parquet(f"{folder}/days")
+    return states.groupBy("day", "imgroup").agg(F.max(F.struct("batch", "green_ratio", "n")).alias("x")).select("day", "imgroup", "x.green_ratio", "x.n")
