@@ -435,6 +435,22 @@ def test_image_folder(spark, tmp_path):
     assert files.read_bytes(spark, str(tmp_path)).count() == 2
 
 
+def test_photo_rows_with_failures(spark, tmp_path):
+    rgb = np.zeros((4, 5, 3), np.uint8)
+    rgb[..., 0], rgb[..., 1], rgb[..., 2] = 30, 90, 30
+    rgb[:2] = 80
+    (tmp_path / "a.png").write_bytes(png(rgb))
+    (tmp_path / "b.jpg").write_bytes(exif("2022:06:21 12:30:00") + b"junk")
+    got = imagery.photo_metrics(files.read_images(spark, str(tmp_path), drop_invalid=False), files.read_bytes(spark, str(tmp_path))).orderBy("filename").collect()
+    assert [(r.status, r.datetime, r.error) for r in got] == [("ok", None, None), ("failed", "2022-06-21 12:30:00", "Could not read image")]
+    assert abs(got[0].green_ratio - 0.5) < 1e-12 and abs(got[0].green_mean - 0.6) < 1e-12 and got[1].green_ratio is None
+    out = str(tmp_path / "out")
+    for _ in range(2):  # rows are appended
+        files.write_table(spark.createDataFrame(got), out, mode="append")
+    lines = [x for p in (tmp_path / "out").glob("*.csv") for x in p.read_text().splitlines()]
+    assert sum("NA,NA,NA,failed" in x for x in lines) == 2
+
+
 def test_delimited_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text("Date;Species;Plot_ID;Total_BVOC;GreenRatio\n2020-01-01;birch;P1;NA;0.5\n2020-01-02;birch;P2;nan;NA\n")
     got = files.read_table(spark, str(tmp_path / "b.csv"), "bvoc", file_name=True).orderBy("Date").collect()

@@ -57,6 +57,46 @@ def test_strips(compression, predictor):
     assert np.array_equal(R.decode_tiff(plain_tiff(a, compression, predictor)).bands, a.transpose(2, 0, 1))
 
 
+def test_windows_are_parts_of_the_whole():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(2, 70, 45)).astype(np.float32)
+    raw = R.encode_tiff(R.Raster(a, 5e5, 7.5e6, 30.0, 30.0, None), 16)
+    strips = plain_tiff(rng.integers(0, 65536, (10, 7, 3)), 8, 2)
+    whole = R.decode_tiff(strips).bands
+
+    class Counted:
+        read = 0
+
+        def __getitem__(self, part):
+            Counted.read += part.stop - part.start
+            return raw[part]
+
+    for w in ((0, 70, 0, 45), (3, 20, 17, 31), (64, 70, 40, 45), (69, 99, 0, 1), (16, 32, 16, 32)):
+        got = R.decode_tiff(raw, w)
+        assert np.array_equal(got.bands, a[:, w[0] : w[1], w[2] : w[3]]) and (got.x0, got.y0) == (5e5 + 30 * w[2], 7.5e6 - 30 * w[0])
+    for w in ((0, 5, 0, 7), (4, 9, 2, 3)):
+        assert np.array_equal(R.decode_tiff(strips, w).bands, whole[:, w[0] : w[1], w[2] : w[3]])
+    R.decode_tiff(Counted(), (0, 10, 0, 10))
+    assert Counted.read < len(raw) / 5  # one tile of fifteen in each band, and the header
+
+
+def test_big_tiff():
+    a = np.arange(12, dtype=np.uint16).reshape(3, 4)
+    entries = [(256, 3, [4]), (257, 3, [3]), (258, 3, [16]), (259, 3, [1]), (273, 16, [16]), (277, 3, [1]), (278, 3, [3]), (279, 16, [24])]
+    body = b"".join(struct.pack("<HHQ", t, k, len(v)) + struct.pack("<H" if k == 3 else "<Q", *v).ljust(8, b"\0") for t, k, v in entries)
+    raw = b"II" + struct.pack("<HHHQ", 43, 8, 0, 40) + a.tobytes() + struct.pack("<Q", len(entries)) + body + struct.pack("<Q", 0)
+    assert np.array_equal(R.decode_tiff(raw).bands[0], a)
+
+
+def test_npy_round_trip(spark, tmp_path):
+    df = spark.range(24).selectExpr("id div 12 as k", "(id % 12) div 4 as i", "id % 4 as j", "if(id = 5, null, id * 0.5D) as v")
+    for r in R.npys(df, "k", ("i", "j")).collect():
+        (tmp_path / f"{r.k}.npy").write_bytes(r.content)
+    got = R.read_npy(spark, str(tmp_path), ("i", "j"))
+    back = got.selectExpr("cast(substring(file, -5, 1) as long) as k", "i", "j", "v")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
 def test_geotiff_tables(spark, tmp_path):
     px = spark.range(600).selectExpr("id div 300 as image", "(id % 300) div 20 as prow", "id % 20 as pcol", "if(id = 7, null, id * 0.25D) as v")
     for r in R.geotiffs(px, "image", ["v"], 100.0, 200.0, 10.0, 10.0, 16).collect():
@@ -64,6 +104,8 @@ def test_geotiff_tables(spark, tmp_path):
     (tmp_path / "bad.tif").write_bytes(b"II*\0 no")
     got = R.read_geotiff(spark, str(tmp_path), {1: "v"})
     assert got.count() == 600 and got.agg(F.sum("v")).first()[0] == px.agg(F.sum("v")).first()[0]
+    part = R.read_geotiff(spark, str(tmp_path), {1: "v"}, window=(2, 9, 3, 20), size=5)
+    assert sorted(map(str, part.collect())) == sorted(map(str, got.where("prow >= 2 and prow < 9 and pcol >= 3").collect()))
     one = got.where("file like '%0.tif' and prow = 2 and pcol = 3").first()
     assert (one.x, one.y, one.v) == (135.0, 175.0, 43 * 0.25) and got.where("v is null").count() == 1
 

@@ -84,6 +84,41 @@ def capture_times(files: DataFrame, content: str = "content", path: str = "path"
     return files.select(path, content).mapInPandas(run, f"{path} string, datetime string")
 
 
+def photo_metrics(images: DataFrame, files: DataFrame | None = None, threshold: float = 0.38, image: str = "image") -> DataFrame:
+    """One row per photo: ``filename, datetime, green_ratio, green_mean, green_std, status, error``.
+
+    ``images`` come from Spark's image source with invalid ones kept: a photo that
+    can't be read is a row of NULL figures (``NA`` in delimited files) with status
+    ``failed``.  ``files`` (whole files) give the capture times.
+    """
+    fields = images.select(F.col(f"{image}.origin").alias("filename"), *(F.col(f"{image}.{c}").alias(c) for c in ("height", "width", "nChannels", "data")))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for p in part.itertuples(index=False):
+                size = p.height * p.width * p.nChannels if p.height > 0 and p.width > 0 else 0
+                if not size or p.data is None or len(p.data) != size:
+                    rows.append((p.filename, None, None, None, "failed", "Could not read image"))
+                    continue
+                a = np.frombuffer(p.data, np.uint8).reshape(p.height, p.width, p.nChannels).astype(float)
+                a = a[..., :3] if p.nChannels >= 3 else a.repeat(3, axis=2)[..., :3]
+                total = a.sum(2)
+                gcc = np.divide(a[..., 1], total, out=np.zeros_like(total), where=total > 0)
+                green = gcc[gcc > threshold]
+                rows.append((p.filename, green.size / gcc.size, green.mean() if green.size else 0.0, green.std() if green.size else 0.0, "ok", None))
+            yield pd.DataFrame(rows, columns=["filename", "green_ratio", "green_mean", "green_std", "status", "error"])
+
+    out = fields.mapInPandas(run, "filename string, green_ratio double, green_mean double, green_std double, status string, error string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  both sources name local files, each in its way
+    if files is None:
+        out = out.withColumn("datetime", F.lit(None).cast("string"))
+    else:
+        taken = capture_times(files).select(plain("path").alias("__path"), "datetime")
+        out = out.withColumn("__path", plain("filename")).join(taken, "__path", "left")
+    return out.select("filename", "datetime", "green_ratio", "green_mean", "green_std", "status", "error")
+
+
 def _blur(a: np.ndarray, sigma: float) -> np.ndarray:
     reach = int(4 * sigma + 0.5)
     k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)

@@ -96,3 +96,32 @@ def link_cloud_score(spark, sf_dir):
     s = scenes(spark, sf_dir)
     score = s.groupBy("scene").agg(F.max("red").alias("cs"))
     return s.join(score, "scene").where("cs >= 0.4").select("scene", "part", r10("green").alias("green"), r10("cs").alias("cs"))
+
+
+@query("SELECT scene, CAST(epoch_ms(ts) AS BIGINT) AS date, round(avg(red), 10) AS absorbing_index FROM scenes WHERE day >= DATE '1996-01-01' AND day < DATE '2000-01-01' AND prow = 2 AND pcol = 4 GROUP BY scene, ts", "scenes")
+def atmosphere_point(spark, sf_dir):
+    """One band of a collection at a point, per image with its time in epoch milliseconds."""
+    s = scenes(spark, sf_dir).where((F.col("day") >= "1996-01-01") & (F.col("day") < "2000-01-01") & (F.col("prow") == 2) & (F.col("pcol") == 4))
+    return s.groupBy("scene", "ts").agg(r10(F.avg("red")).alias("absorbing_index")).select("scene", B.utc_millis(F.col("ts")).alias("date"), "absorbing_index")
+
+
+@query("SELECT prow, pcol, CAST(epoch_ms(s.ts) AS BIGINT) AS date, s.scene AS scene, s.part AS part FROM (SELECT prow, pcol, arg_min({'ts': ts, 'scene': scene, 'part': part}, (ts, scene, part)) AS s FROM scenes GROUP BY prow, pcol)", "scenes")
+def first_observation(spark, sf_dir):
+    """The first image of each pixel."""
+    first = F.min(F.struct("ts", "scene", "part")).alias("s")
+    return scenes(spark, sf_dir).groupBy("prow", "pcol").agg(first).select("prow", "pcol", B.utc_millis(F.col("s.ts")).alias("date"), "s.scene", "s.part")
+
+
+@query("SELECT prow, pcol, max(low) = 0 AS masked FROM (SELECT prow, pcol, CASE WHEN green < 0.03 AND red < 0.05 THEN 1 ELSE 0 END AS low FROM scenes) GROUP BY prow, pcol", "scenes")
+def never_reached_mask(spark, sf_dir):
+    """A mask of the pixels whose greatest extent is zero."""
+    low = F.when((F.col("green") < 0.03) & (F.col("red") < 0.05), 1).otherwise(0)
+    return scenes(spark, sf_dir).groupBy("prow", "pcol").agg((F.max(low) == 0).alias("masked"))
+
+
+@query("SELECT scene, part, prow, pcol, CASE WHEN water <> 0 THEN round(green, 8) END AS green, CASE WHEN water <> 0 THEN round(nir, 8) END AS nir FROM (SELECT *, CASE WHEN (prow * 10 + pcol) % 7 = 0 THEN 0 ELSE 1 END AS water FROM scenes) WHERE day = DATE '1998-06-10'", "scenes")
+def band_preview(spark, sf_dir):
+    """Some bands of one day, water blanked."""
+    s = scenes(spark, sf_dir).where(F.col("day") == F.lit("1998-06-10").cast("date"))
+    land = (F.col("prow") * 10 + F.col("pcol")) % 7 != 0
+    return s.select("scene", "part", "prow", "pcol", *(F.when(land, r6(F.col(c), 8)).alias(c) for c in ("green", "nir")))

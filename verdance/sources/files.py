@@ -81,9 +81,9 @@ def write_table(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite
     df.write.mode(mode).csv(path, header=True, sep=sep, nullValue="NA")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Images below a folder by Spark's image source; unreadable ones are left out."""
-    return spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_NAMES).load(path)
+def read_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> DataFrame:
+    """Images below a folder by Spark's image source; unreadable ones are left out or, if asked for, kept without pixels."""
+    return spark.read.format("image").option("dropInvalid", drop_invalid).option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_NAMES).load(path)
 
 
 def read_bytes(spark: SparkSession, path: str, names: str = IMAGE_NAMES) -> DataFrame:

@@ -1,7 +1,7 @@
 """GeoTIFF, NumPy, shapefile and workbook readers and writers without further libraries.
 
-Files are read by Spark as bytes, so any store works, and decoded one at a time on
-the executors.  A raster file is one row of input; its pixels come out as rows.
+Rasters are read by windows through ``pyarrow``'s file systems; other files by Spark
+as bytes, so any store works, and decoded one at a time on the executors.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,47 +117,62 @@ def _predicted(raw: bytes, rows: int, cols: int, samples: int, dtype: np.dtype,
     return np.cumsum(a, axis=1, dtype=a.dtype) if predictor == 2 else a
 
 
-def decode_tiff(raw: bytes) -> Raster:
-    """The first image of a classic TIFF: strips or tiles, plain, LZW or deflate, all predictors, both planar layouts."""
-    order = {b"II": "<", b"MM": ">"}[raw[:2]]
-    if struct.unpack(order + "H", raw[2:4])[0] != 42:
-        raise ValueError("not a classic TIFF")
-    at = struct.unpack(order + "I", raw[4:8])[0]
+class Ranged:
+    """A file of any store that ``pyarrow`` opens, read by slices only."""
+
+    def __init__(self, uri: str):
+        filesystem, path = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+        self.file = filesystem.open_input_file(path)
+
+    def __getitem__(self, part: slice) -> bytes:
+        return self.file.read_at(part.stop - part.start, part.start)
+
+
+@dataclass
+class Layout:
+    """Where the blocks of a TIFF lie and how they are stored."""
+
+    w: int
+    h: int
+    samples: int
+    dtype: np.dtype
+    planes: int
+    tiled: bool
+    bw: int
+    bh: int
+    offsets: tuple
+    sizes: tuple
+    compression: int
+    predictor: int
+    place: tuple
+    nodata: float | None
+
+
+def tiff_layout(raw) -> Layout:
+    """The layout of the first image of a classic or big TIFF; ``raw`` is bytes or :class:`Ranged`."""
+    order = {b"II": "<", b"MM": ">"}[raw[0:2]]
+    magic = struct.unpack(order + "H", raw[2:4])[0]
+    if magic not in (42, 43):
+        raise ValueError("not a TIFF")
+    # Big TIFFs have 8-byte counts and places: sizes of the count of entries, of an entry and of its inline value.
+    many, entry_size, inline, word = (2, 12, 4, "I") if magic == 42 else (8, 20, 8, "Q")
+    start = 4 if magic == 42 else 8
+    at = struct.unpack(order + word, raw[start : start + inline])[0]
     tags: dict[int, tuple] = {}
-    for i in range(struct.unpack(order + "H", raw[at : at + 2])[0]):
-        entry = raw[at + 2 + 12 * i : at + 14 + 12 * i]
-        tag, kind, count = struct.unpack(order + "HHI", entry[:8])
+    for i in range(struct.unpack(order + {2: "H", 8: "Q"}[many], raw[at : at + many])[0]):
+        entry = raw[at + many + entry_size * i : at + many + entry_size * (i + 1)]
+        tag, kind, count = struct.unpack(order + "HH" + word, entry[: 4 + inline])
         if kind not in _TYPES:
             continue
         form = f"{order}{count}{_TYPES[kind]}"
         size = struct.calcsize(form)
-        place = struct.unpack(order + "I", entry[8:])[0]
-        tags[tag] = struct.unpack(form, entry[8 : 8 + size] if size <= 4 else raw[place : place + size])
+        place = struct.unpack(order + word, entry[4 + inline :])[0]
+        tags[tag] = struct.unpack(form, entry[4 + inline : 4 + inline + size] if size <= inline else raw[place : place + size])
     get = lambda tag, default: tags.get(tag, (default,))[0]
     w, h, samples, bits = get(WIDTH, 0), get(HEIGHT, 0), get(SAMPLES, 1), get(BITS, 8)
     dtype = np.dtype({1: f"{order}u{bits // 8}", 2: f"{order}i{bits // 8}", 3: f"{order}f{bits // 8}"}[get(FORMAT, 1)])
-    planes = samples if get(PLANAR, 1) == 2 else 1
-    inner = 1 if planes > 1 else samples
     tiled = TILES in tags
     bw, bh = (get(TILE_WIDTH, w), get(TILE_HEIGHT, h)) if tiled else (w, min(h, get(ROWS, h)))
-    across, down = -(-w // bw), -(-h // bh)
-    out = np.zeros((samples, down * bh, across * bw), dtype.newbyteorder("="))
-    offsets, sizes = (tags[TILES], tags[TILE_SIZES]) if tiled else (tags[STRIPS], tags[STRIP_SIZES])
-    for n, (place, size) in enumerate(zip(offsets, sizes)):
-        plane, block = divmod(n, across * down)
-        r, c = divmod(block, across)
-        part = raw[place : place + size]
-        compression = get(COMPRESSION, 1)
-        if compression == 5:
-            part = lzw_decode(part)
-        elif compression in (8, 32946):
-            part = zlib.decompress(part)
-        elif compression != 1:
-            raise ValueError(f"compression {compression}")
-        rows = bh if tiled else min(bh, h - r * bh)
-        a = _predicted(part, rows, bw, inner, dtype, get(PREDICTOR, 1))
-        target = slice(plane, plane + 1) if planes > 1 else slice(None)
-        out[target, r * bh : r * bh + rows, c * bw : (c + 1) * bw] = a.transpose(2, 0, 1)
     x0 = y0 = 0.0
     px = py = 1.0
     if SCALE in tags and TIE in tags:
@@ -167,7 +183,42 @@ def decode_tiff(raw: bytes) -> Raster:
         nodata = None if nodata is None else float(nodata.split(b"\0")[0])
     except ValueError:
         nodata = None
-    return Raster(out[:, :h, :w], x0, y0, px, py, nodata)
+    offsets, sizes = (tags[TILES], tags[TILE_SIZES]) if tiled else (tags[STRIPS], tags[STRIP_SIZES])
+    return Layout(w, h, samples, dtype, samples if get(PLANAR, 1) == 2 else 1, tiled, bw, bh, offsets, sizes, get(COMPRESSION, 1), get(PREDICTOR, 1), (x0, y0, px, py), nodata)
+
+
+def decode_tiff(raw, window: tuple[int, int, int, int] | None = None, layout: Layout | None = None) -> Raster:
+    """The first image of a TIFF or a window ``(row0, row1, col0, col1)`` of it, ends left out: only blocks in the window are read.
+
+    Strips or tiles, plain, LZW or deflate, all predictors, both planar layouts.
+    """
+    t = layout or tiff_layout(raw)
+    r0, r1, c0, c1 = window or (0, t.h, 0, t.w)
+    r1, c1 = min(r1, t.h), min(c1, t.w)
+    inner = 1 if t.planes > 1 else t.samples
+    across, down = -(-t.w // t.bw), -(-t.h // t.bh)
+    top, left = r0 // t.bh, c0 // t.bw
+    under, beyond = -(-max(r1, r0) // t.bh), -(-max(c1, c0) // t.bw)
+    out = np.zeros((t.samples, max(0, under - top) * t.bh, max(0, beyond - left) * t.bw), t.dtype.newbyteorder("="))
+    for plane in range(t.planes):
+        for r in range(top, under):
+            for c in range(left, beyond):
+                n = plane * across * down + r * across + c
+                part = raw[t.offsets[n] : t.offsets[n] + t.sizes[n]]
+                if t.compression == 5:
+                    part = lzw_decode(part)
+                elif t.compression in (8, 32946):
+                    part = zlib.decompress(part)
+                elif t.compression != 1:
+                    raise ValueError(f"compression {t.compression}")
+                rows = t.bh if t.tiled else min(t.bh, t.h - r * t.bh)
+                a = _predicted(part, rows, t.bw, inner, t.dtype, t.predictor)
+                target = slice(plane, plane + 1) if t.planes > 1 else slice(None)
+                y, x = (r - top) * t.bh, (c - left) * t.bw
+                out[target, y : y + rows, x : x + t.bw] = a.transpose(2, 0, 1)
+    x0, y0, px, py = t.place
+    out = out[:, r0 - top * t.bh : r1 - top * t.bh, c0 - left * t.bw : c1 - left * t.bw]
+    return Raster(out, x0 + c0 * px, y0 - r0 * py, px, py, t.nodata)
 
 
 def encode_tiff(r: Raster, tile: int = 256) -> bytes:
@@ -210,28 +261,47 @@ def encode_tiff(r: Raster, tile: int = 256) -> bytes:
     return out.ljust(head, b"\0") + struct.pack("<H", len(entries)) + body + struct.pack("<I", 0) + extra
 
 
-def read_geotiff(spark: SparkSession, path: str, bands: dict[int, str], names: str = "*.{tif,tiff,TIF,TIFF}") -> DataFrame:
-    """Rows ``file, prow, pcol, x, y`` and the named bands (numbered from 1); missing values are NULL, unreadable files have no rows."""
+_UNREADABLE = (ValueError, KeyError, IndexError, OSError, struct.error, zlib.error)
+
+
+def read_geotiff(spark: SparkSession, path: str, bands: dict[int, str], names: str = "*.{tif,tiff,TIF,TIFF}", window: tuple[int, int, int, int] | None = None, size: int = 1024) -> DataFrame:
+    """Rows ``file, prow, pcol, x, y`` and the named bands (numbered from 1); missing values are NULL, unreadable files have no rows.
+
+    Spark lists the files; tasks then read headers and, dealt by windows of ``size``
+    rows and columns, the blocks of a window each, so a file of any size is spread
+    over tasks.  ``window`` ``(row0, row1, col0, col1)`` leaves out all others.
+    """
     wanted = sorted(bands)
 
+    def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for file in part["path"]:
+                try:
+                    t = tiff_layout(Ranged(file))
+                except _UNREADABLE:
+                    continue
+                r0, r1, c0, c1 = window or (0, t.h, 0, t.w)
+                rows += [(file, r, min(r + size, r1, t.h), c, min(c + size, c1, t.w)) for r in range(r0, min(r1, t.h), size) for c in range(c0, min(c1, t.w), size)]
+            yield pd.DataFrame(rows, columns=["path", "r0", "r1", "c0", "c1"])
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for file, raw in zip(part["path"], part["content"]):
+            for p in part.itertuples(index=False):
                 try:
-                    r = decode_tiff(raw)
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error):
+                    r = decode_tiff(Ranged(p.path), (p.r0, p.r1, p.c0, p.c1))
+                except _UNREADABLE:
                     continue
-                n, h, w = r.bands.shape
-                for top in range(0, h, 1024):  # windows bound what is in memory as rows
-                    rows, cols = np.mgrid[top : min(h, top + 1024), :w]
-                    out = {"file": file, "prow": rows.ravel(), "pcol": cols.ravel(), "x": r.x0 + (cols.ravel() + 0.5) * r.px, "y": r.y0 - (rows.ravel() + 0.5) * r.py}
-                    for b in wanted:
-                        v = r.bands[b - 1, top : top + 1024].astype(float).ravel() if b <= n else np.full(rows.size, np.nan)
-                        out[bands[b]] = np.where(v == r.nodata, np.nan, v) if r.nodata is not None else v
-                    yield pd.DataFrame(out)
+                rows, cols = (a.ravel() for a in np.mgrid[p.r0 : p.r1, p.c0 : p.c1])
+                out = {"file": p.path, "prow": rows, "pcol": cols, "x": r.x0 + (cols - p.c0 + 0.5) * r.px, "y": r.y0 - (rows - p.r0 + 0.5) * r.py}
+                for b in wanted:
+                    v = r.bands[b - 1].astype(float).ravel() if b <= len(r.bands) else np.full(rows.size, np.nan)
+                    out[bands[b]] = np.where(v == r.nodata, np.nan, v) if r.nodata is not None else v
+                yield pd.DataFrame(out)
 
     schema = "file string, prow long, pcol long, x double, y double, " + ", ".join(f"`{bands[b]}` double" for b in wanted)
-    rows = read_bytes(spark, path, names).select("path", "content").mapInPandas(run, schema)
+    listed = read_bytes(spark, path, names).select("path").mapInPandas(windows, "path string, r0 long, r1 long, c0 long, c1 long")
+    rows = listed.repartition("path", "r0", "c0").mapInPandas(run, schema)
     return rows.select("file", "prow", "pcol", "x", "y", *(F.nanvl(F.col(f"`{bands[b]}`"), F.lit(None).cast("double")).alias(bands[b]) for b in wanted))
 
 
@@ -262,6 +332,19 @@ def read_npy(spark: SparkSession, path: str, axes: tuple[str, ...], value: str =
     return rows.withColumn(value, F.nanvl(value, F.lit(None).cast("double")))
 
 
+def npys(df: DataFrame, key: str, axes: tuple[str, ...], value: str = "v") -> DataFrame:
+    """``key, content``: one NumPy array file for each key of a table with an index per axis; absent cells and NULL are NaN."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.full([int(pdf[a].max()) + 1 for a in axes], np.nan)
+        grid[tuple(pdf[a] for a in axes)] = pdf[value]
+        out = io.BytesIO()
+        np.save(out, grid, allow_pickle=False)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [out.getvalue()]})
+
+    return df.select(key, *axes, value).groupBy(key).applyInPandas(one, f"`{key}` {df.schema[key].dataType.simpleString()}, content binary")
+
+
 def polygons_of(shp: bytes) -> list[list[tuple[float, float, float, float]]]:
     """Edges of each polygon record of a shapefile; records of other kinds are empty."""
     out, at = [], 100
