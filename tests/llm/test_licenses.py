@@ -74,6 +74,11 @@ def test_named_words_and_denials():
         assert name(f"Some words here. {t}") == [n]
 
 
+def test_ties_take_the_name_that_sorts_first():
+    scanner = licenses.Scanner({"b": "granted to all for free use", "a": "granted to all for free use"})
+    assert [f[0] for f in scanner.findings("It is granted to all for free use.")] == ["a"]
+
+
 def brute(text, scanner):
     """The best alignment over all windows of each template, greedily without overlaps."""
     words = licenses.words_of(text)
