@@ -292,23 +292,25 @@ def glcm(df: DataFrame, keys: tuple[str, ...], level: str = "level", least: int
     and no correlation.
     """
     w = Window.partitionBy(*keys, "prow").orderBy("pcol")
-    pairs = df.withColumn("j", F.lead(level).over(w)).where("j is not null").select(*keys, F.col(level).alias("i"), "j")
-    both = pairs.select(*keys, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("x"))
-    cells = both.groupBy(*keys, "x.i", "x.j").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    p = cells.withColumn("p", F.col("n") / total)
-    d = F.col("i") - F.col("j")
-    out = p.groupBy(*keys).agg(
-        F.sum(F.col("p") * d * d).alias("contrast"), F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"), F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"),
-        F.sum(F.col("p") * F.col("p")).alias("asm"), F.sum(F.col("p") * F.col("i")).alias("__m"), F.sum(F.col("p") * F.col("i") * F.col("i")).alias("__ii"), F.sum(F.col("p") * F.col("i") * F.col("j")).alias("__ij"),
-    )
-    var = F.col("__ii") - F.col("__m") * F.col("__m")
-    corr = (F.col("__ij") - F.col("__m") * F.col("__m")) / F.when(F.abs(var) > 1e-9, var)
-    out = out.withColumn("energy", F.sqrt("asm")).withColumn("correlation", corr).drop("__m", "__ii", "__ij")
-    above = df.groupBy(*keys).agg(F.count_if(F.col(level) > 0).alias("__n"))
+    seen = df.select(*keys, F.col(level).alias("a"), F.lead(level).over(w).alias("b"))
+    # Besides both ways of a pair, a pixel above zero counts in the cell of -1.
+    cell = lambda ok, i, j: F.when(ok, F.struct(i.cast("long").alias("i"), j.cast("long").alias("j")))
+    a, b, pair = F.col("a"), F.col("b"), F.col("b").isNotNull()
+    marked = F.array(cell(pair, a, b), cell(pair, b, a), cell(a > 0, F.lit(-1), F.lit(-1)))
+    cells = seen.select(*keys, F.explode(marked).alias("x")).where("x is not null").groupBy(*keys, "x.i", "x.j").agg(F.count("*").cast("double").alias("n"))
+    n, i, j = (F.when(F.col("i") >= 0, F.col(c)) for c in "nij")
+    d = i - j
+    total = F.sum(n)
+    mean = F.sum(n * i) / total
+    spread = F.sum(n * i * i) / total - mean * mean
+    out = cells.groupBy(*keys).agg(
+        (F.sum(n * d * d) / total).alias("contrast"), (F.sum(n * F.abs(d)) / total).alias("dissimilarity"), (F.sum(n / (1 + d * d)) / total).alias("homogeneity"),
+        (F.sum(n * n) / total / total).alias("asm"), ((F.sum(n * i * j) / total - mean * mean) / F.when(F.abs(spread) > 1e-9, spread)).alias("correlation"),
+        F.coalesce(F.sum(F.when(F.col("i") < 0, F.col("n"))), F.lit(0.0)).alias("__n"),
+    ).withColumn("energy", F.sqrt("asm"))
     good = (F.col("__n") == 0) | (F.col("__n") > least)  # none above zero: constant
     names = ("contrast", "dissimilarity", "homogeneity", "asm", "energy", "correlation")
-    return above.join(out, list(keys), "left").select(*keys, *(F.when(good, F.col(c)).alias(c) for c in names))
+    return out.select(*keys, *(F.when(good, F.col(c)).alias(c) for c in names))
 
 
 def otsu(df: DataFrame, keys: tuple[str, ...], value: str = "gcc", bins: int = 256, floor: float = 0.2) -> DataFrame:
