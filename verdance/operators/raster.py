@@ -27,15 +27,18 @@ AGGREGATES = {
 KERNELS = ("nearest", "bilinear", "cubic", "cubic_spline", "lanczos")
 
 
-def block_keys(df: DataFrame, keys: tuple[str, ...], scale: float, value: str = "v") -> DataFrame:
+def block_keys(df: DataFrame, keys: tuple[str, ...], scale: float | Column, value: str = "v") -> DataFrame:
     """Rows with the block they fall in; blocks beyond the truncated output size are dropped."""
-    size = df.groupBy(*keys).agg((F.floor((F.max("prow") + 1) / scale)).alias("__h"), (F.floor((F.max("pcol") + 1) / scale)).alias("__w"))
-    out = df.withColumn("brow", F.floor(F.col("prow") / scale)).withColumn("bcol", F.floor(F.col("pcol") / scale)).join(size, list(keys))
+    size = df.groupBy(*keys).agg((F.floor((F.max("prow") + 1) / scale + 1e-9)).alias("__h"), (F.floor((F.max("pcol") + 1) / scale + 1e-9)).alias("__w"))
+    out = df.withColumn("brow", F.floor(F.col("prow") / scale + 1e-9)).withColumn("bcol", F.floor(F.col("pcol") / scale + 1e-9)).join(size, list(keys))
     return out.where((F.col("brow") < F.col("__h")) & (F.col("bcol") < F.col("__w"))).drop("__h", "__w")
 
 
-def resample(df: DataFrame, keys: tuple[str, ...], scale: float, methods: tuple[str, ...], value: str = "v") -> DataFrame:
-    """``keys, brow, bcol`` and one column per aggregating method; unknown methods are an error."""
+def resample(df: DataFrame, keys: tuple[str, ...], scale: float | Column, methods: tuple[str, ...], value: str = "v") -> DataFrame:
+    """``keys, brow, bcol`` and one column per aggregating method; unknown methods are an error.
+
+    ``scale`` may be a column that is constant for each of ``keys``.
+    """
     unknown = [m for m in methods if m not in AGGREGATES and m != "mode"]
     if unknown:
         raise ValueError(f"unknown methods {unknown}; known: {', '.join([*AGGREGATES, 'mode', *KERNELS])}")
@@ -77,7 +80,7 @@ def _spread(df: DataFrame, place: str, block: str, size: str, low: Column, high:
     return kept.withColumn(block, F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
 
 
-def resample_kernel(df: DataFrame, keys: tuple[str, ...], scale: float, method: str, value: str = "v") -> DataFrame:
+def resample_kernel(df: DataFrame, keys: tuple[str, ...], scale: float | Column, method: str, value: str = "v") -> DataFrame:
     """``keys, brow, bcol, value`` at block centres, by nearest pixel or by normalised kernel weights.
 
     On the way to coarser pixels a kernel is widened by the scale, so that every
@@ -94,7 +97,7 @@ def resample_kernel(df: DataFrame, keys: tuple[str, ...], scale: float, method:
         return near.select(*keys, "brow", "bcol", value)
     if method not in REACH:
         raise ValueError(f"unknown kernel {method!r}")
-    wide = max(1.0, float(scale))
+    wide = F.greatest(F.lit(1.0), scale) if isinstance(scale, Column) else max(1.0, float(scale))
     reach = REACH[method] * wide
     low = lambda p: F.ceil((F.col(p) + 0.5 - reach) / scale - 0.5)
     high = lambda p: F.floor((F.col(p) + 0.5 + reach) / scale - 0.5)
@@ -127,12 +130,29 @@ def resample_to(df: DataFrame, keys: tuple[str, ...], current: float, target: fl
 
 
 def sweep(df: DataFrame, keys: tuple[str, ...], current: float, targets: tuple[float, ...], methods: tuple[str, ...], value: str = "v") -> DataFrame:
-    """All targets by all methods end to end, with ``resolution`` and ``method``."""
-    out = None
-    for target in targets:
-        for method in methods:
-            one = resample_to(df, keys, current, target, method, value).withColumns({"resolution": F.lit(float(target)), "method": F.lit(method)})
-            out = one if out is None else out.unionByName(one)
+    """``keys, resolution, method, brow, bcol, value``: all targets by all methods, as :func:`resample_to` gives them.
+
+    The target is a key of the pixels, so all targets take one aggregation for the
+    aggregating methods and one for each kernel.
+    """
+    blocks, kernels = [m for m in methods if m not in KERNELS], [m for m in methods if m in KERNELS]
+    if blocks and min(targets) < current:
+        raise ValueError(f"{min(targets)} is finer than {current}: {blocks[0]} needs a coarser resolution")
+    by, columns = (*keys, "resolution"), (*keys, "resolution", "method", "brow", "bcol", value)
+    parts = []
+    if current in targets:
+        here = df.select(*keys, F.lit(float(current)).alias("resolution"), F.col("prow").alias("brow"), F.col("pcol").alias("bcol"), value)
+        parts.append(here.withColumn("method", F.explode(F.array(*map(F.lit, methods)))))
+    others = [float(t) for t in targets if t != current]
+    if others:
+        many = df.select(*keys, "prow", "pcol", value).withColumn("resolution", F.explode(F.array(*map(F.lit, others))))
+        scale = F.col("resolution") / F.lit(float(current))
+        if blocks:
+            parts.append(resample(many, by, scale, tuple(blocks), value).unpivot([*by, "brow", "bcol"], blocks, "method", value))
+        parts += [resample_kernel(many, by, scale, k, value).withColumn("method", F.lit(k)) for k in kernels]
+    out = parts[0].select(*columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*columns))
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands as B
 from ..operators import raster as R
-from ..sources.adapters import camera, chips, scenes, series
+from ..sources.adapters import camera, chips, mosaics, scenes, series
 from .registry import query, r6, r10
 
 
@@ -72,14 +72,40 @@ def utm_project(spark, sf_dir):
     return series(spark, sf_dir).select("obs", F.round(east, 2).alias("east"), F.round(north, 2).alias("north"))
 
 
-@query("SELECT image, CAST(scale AS BIGINT) AS scale, prow // scale AS brow, pcol // scale AS bcol, round(avg(v), 10) AS average, round(max(v), 10) AS max FROM chips, (SELECT unnest([2, 3, 4]) AS scale) WHERE prow // scale < 8 // scale AND pcol // scale < 8 // scale GROUP BY ALL", "chips")
+#: Metres of the sweep's targets; its pixels are as fine as the first.
+TARGETS = (0.1, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0, 15.0, 20.0, 30.0)
+SWEEP = ("nearest", "bilinear", "cubic", "cubic_spline", "lanczos", "average", "max", "min", "med", "q1", "q3", "sum", "rms")
+
+
+def _sweep_sql() -> str:
+    aggregates = {
+        "average": "avg(v)", "max": "max(v)", "min": "min(v)", "med": "quantile_cont(v, 0.5)", "q1": "quantile_cont(v, 0.25)", "q3": "quantile_cont(v, 0.75)", "sum": "sum(v)", "rms": "sqrt(avg(v * v))",
+    }
+    kernels = {
+        "bilinear": (1, "1 - $"),
+        "cubic": (2, "CASE WHEN $ <= 1 THEN 1.5 * pow($, 3) - 2.5 * pow($, 2) + 1 ELSE -0.5 * pow($, 3) + 2.5 * pow($, 2) - 4 * $ + 2 END"),
+        "cubic_spline": (2, "CASE WHEN $ <= 1 THEN (3 * pow($, 3) - 6 * pow($, 2) + 4) / 6 ELSE pow(2 - $, 3) / 6 END"),
+        "lanczos": (3, "CASE WHEN $ = 0 THEN 1 ELSE sin(pi() * $) / (pi() * $) * sin(pi() * $ / 3) / (pi() * $ / 3) END"),
+    }
+    names = ", ".join(f"'{m}'" for m in SWEEP)
+    parts = [f"SELECT image, 0.1::DOUBLE AS resolution, unnest([{names}]) AS method, prow AS brow, pcol AS bcol, v FROM mosaics"]
+    parts += [f"SELECT image, resolution, '{m}', CAST(floor(prow / s) AS BIGINT) AS brow, CAST(floor(pcol / s) AS BIGINT) AS bcol, {f} FROM src WHERE floor(prow / s) < side AND floor(pcol / s) < side GROUP BY ALL" for m, f in aggregates.items()]
+    parts.append("SELECT image, resolution, 'nearest', r.b, q.b, v FROM src JOIN b r ON r.b < side AND floor((r.b + 0.5) * s) = prow JOIN b q ON q.b < side AND floor((q.b + 0.5) * s) = pcol")
+    for m, (reach, weight) in kernels.items():
+        away = lambda b, p: f"(abs(({b} + 0.5) * s - 0.5 - {p}) / s)"  # noqa: B023, E731
+        wr, wc = weight.replace("$", away("r.b", "prow")), weight.replace("$", away("q.b", "pcol"))
+        parts.append(f"SELECT image, resolution, '{m}', r.b AS brow, q.b AS bcol, sum(({wr}) * ({wc}) * v) / sum(({wr}) * ({wc})) FROM src JOIN b r ON r.b < side AND {away('r.b', 'prow')} < {reach} JOIN b q ON q.b < side AND {away('q.b', 'pcol')} < {reach} GROUP BY image, resolution, r.b, q.b")
+    return f"SELECT image, resolution, method, brow, bcol, round(v, 8) AS v FROM ({' UNION ALL '.join(parts)})"
+
+
+_SRC = f"src AS (SELECT image, prow, pcol, v, t AS resolution, t / 0.1::DOUBLE AS s, floor(16 / (t / 0.1::DOUBLE)) AS side FROM mosaics, (SELECT unnest([{', '.join(map(str, TARGETS[1:]))}]::DOUBLE[]) AS t)), b AS (SELECT unnest(range(0, 16)) AS b)"
+
+
+@query(_sweep_sql(), "mosaics", _SRC)
 def resample_sweep(spark, sf_dir):
-    """Several scales and methods in one table."""
-    out = None
-    for scale in (2, 3, 4):
-        one = R.resample(chips(spark, sf_dir), ("image",), scale, ("average", "max")).withColumn("scale", F.lit(scale).cast("long"))
-        out = one if out is None else out.unionByName(one)
-    return out.select("image", "scale", "brow", "bcol", r10("average").alias("average"), r10("max").alias("max"))
+    """Ten resolutions by thirteen methods in one table."""
+    out = R.sweep(mosaics(spark, sf_dir), ("image",), TARGETS[0], TARGETS, SWEEP)
+    return out.select("image", "resolution", "method", "brow", "bcol", r6("v", 8).alias("v"))
 
 
 @query("SELECT CAST(dayofyear(day) AS BIGINT) AS doy, imgroup, round(avg(green_ratio), 10) AS mean, round(avg(green_ratio) - stddev_samp(green_ratio), 8) AS low, round(avg(green_ratio) + stddev_samp(green_ratio), 8) AS high FROM camera GROUP BY 1, 2", "camera")
