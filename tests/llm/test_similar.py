@@ -99,6 +99,45 @@ def test_empty_table(spark):
     assert got_groups(spark.createDataFrame([], "doc_id long, text string")) == []
 
 
+def test_few_shingles(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in [*range(5, 46)] * 3:  # a text and one with a word more; another with so many more that 0.8 just holds
+        base = [f"v{rng.randrange(10**9)}" for _ in range(n)]
+        for more in {1, max(1, (n - 4) // 4)}:
+            rows.append((len(rows), " ".join(base + [f"v{rng.randrange(10**9)}" for _ in range(more)])))
+        rows.append((len(rows), " ".join(base)))
+    for part, sizes in ((rows, {}), (rows[:80], {"tile_rows": 16, "block": 8, "open_rows": 5})):
+        want = brute_groups(part)
+        assert len(want) < 0.7 * len(part)
+        got = got_groups(spark.createDataFrame(part, "doc_id long, text string"), **sizes)
+        assert sum(g not in want for g in got) <= 2  # a pair in a few thousand shares no bucket
+
+
+def test_sets_of_borderline_texts_match_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    rows, sets = [], []
+    for size in [8] * 200 + [20] * 25:
+        base = [rng.choice(words) for _ in range(400)]
+        mine = []
+        for _ in range(size):
+            s = rng.uniform(0.75, 0.85)
+            k = int(396 * (1 - s) / (1 + s) / 2)  # changed at either end, so that pairs lie around 0.8
+            t = [rng.choice(words) for _ in range(k)] + base[k : 400 - k] + [rng.choice(words) for _ in range(k)]
+            mine.append((len(rows) + len(mine), " ".join(t)))
+        rows += mine
+        sets.append(mine)
+    got = {r.doc_id: bytes(r.group) for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    unlike = 0
+    for mine in sets:
+        groups = {}
+        for d, _ in mine:
+            groups.setdefault(got[d], []).append(str(d))
+        unlike += sorted(sorted(g) for g in groups.values()) != brute_groups(mine)
+    assert unlike <= 2  # a pair in a thousand lies beyond the buckets or the radius
+
+
 def test_partner_behind_rejected_links_is_found(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(4000)]

@@ -4,7 +4,10 @@ For links as loose as a similarity of 0.8 a 64-bit fingerprint is too narrow and
 its radius too wide for pigeonhole bands, so this variant uses ``BITS`` bits over
 distinct five-word shingles, and deals fingerprints into buckets by banded minima
 of the same shingle hashes (a pair of similarity 0.8 shares a bucket with
-probability 0.9998 and lies within the radius with 0.999).  Inside a bucket the comparison is the tiled exact one:
+probability 0.9998 and lies within the radius with 0.998).  Majority bits of very
+few shingles differ more often, so texts of fewer than ``FEW`` shingles share
+buckets of their own with those of about their size, where no radius applies and
+the similarity alone decides.  Inside a bucket the comparison is the tiled exact one:
 exclusive-or and bit counts over tile pairs sorted by population count, skipping
 pairs whose population counts differ beyond the radius, and here also those whose
 shingle counts exclude the similarity.  Of the links in a tile pair a spanning
@@ -14,7 +17,7 @@ links all hold connects its members.  Where one is rejected, it may have displac
 a link that holds, so the tree's members are compared again: every pair within the
 radius that verified links don't connect yet, on both shingle sets.  The groups are
 thus the components of all pairs that share a bucket, lie within the radius and have
-the similarity, whatever the tile sizes.
+the similarity (with no radius among texts of few shingles), whatever the tile sizes.
 
 Defined results: null and blank texts have no shingles and are copies of each
 other; a text of fewer words than a shingle is one shingle; repeated rows are
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_arrow, utf8
+from .common import cut, hot_join, map_arrow, utf8
 from .components import roots
 from .simhash import HOT_SHARE, SEED, deal_tiles
 
@@ -45,6 +48,8 @@ BITS = 256
 #: Standard deviations that the radius lies beyond the expected distance at the similarity.
 MARGIN = 3.0
 BANDS, BAND_ROWS = 12, 3
+#: Shingles from which the radius holds.
+FEW = 32
 TILE_ROWS = 8192
 BLOCK_ROWS = 512
 #: Members of a tree with a rejected link that are compared at once with as many others, on their shingle sets.
@@ -95,6 +100,11 @@ def radius_of(similarity: float, margin: float = MARGIN, bits: int = BITS) -> in
     return math.ceil(bits * p + margin * math.sqrt(bits * p * (1 - p)))
 
 
+def near_enough(distance: np.ndarray, larger: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Pairs within the radius, and all whose larger set is so small that the other one may be of few shingles."""
+    return (distance <= radius) | (larger * similarity < FEW)
+
+
 def spanning_links(fps: np.ndarray, pops: np.ndarray, sizes: np.ndarray, sides: np.ndarray | None, radius: int, similarity: float, block: int = BLOCK_ROWS) -> list[tuple[int, int]]:
     """Index pairs that span the links of a tile pair, near ones first.
 
@@ -169,7 +179,7 @@ def true_links(fps: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, side
     for p in one.tolist():
         v = two[two > p] if sides is None else two
         v = v[labels[v] != labels[p]]
-        v = v[np.bitwise_count(fps[v] ^ fps[p]).sum(1) <= radius]
+        v = v[near_enough(np.bitwise_count(fps[v] ^ fps[p]).sum(1), np.maximum(sizes[v], sizes[p]), radius, similarity)]
         v = v[np.minimum(sizes[v], sizes[p]) >= similarity * np.maximum(sizes[v], sizes[p]) - 1e-9]
         if not v.size:
             continue
@@ -215,7 +225,10 @@ def _candidates(nodes: DataFrame, similarity: float, tile_rows: int, block: int)
     """Links ``(u, v)`` between nodes that span those within the radius, with the ``tree`` that each is part of."""
     radius = radius_of(similarity)
     words = BITS // 64
-    rows = nodes.select("node", "fp", "size", "pop", F.posexplode("keys").alias("band", "key"))
+    banded = nodes.select("node", "fp", "size", "pop", F.posexplode("keys").alias("band", "key"))
+    # Texts of few shingles meet in further bands, where population counts tell nothing.
+    few = banded.where(F.col("size") * similarity < FEW).withColumns({"pop": F.lit(0), "band": F.col("band") + BANDS})
+    rows = banded.where(F.col("size") >= FEW).unionByName(few)
     dealt = deal_tiles(rows, "node", radius, tile_rows)
     keys = ["band", "key", "a", "b"]
     ordered = dealt.select(*keys, "t", "pop", "size", "node", "fp").repartition(*keys).sortWithinPartitions(*keys, "pop", "node")
@@ -230,7 +243,8 @@ def _candidates(nodes: DataFrame, similarity: float, tile_rows: int, block: int)
             for i, j in zip(at[:-1], at[1:]):
                 if j - i > 1:
                     same = group["a"][i] == group["b"][i]
-                    found = spanning_links(fps[i:j], group["pop"][i:j], group["size"][i:j], None if same else group["t"][i:j], radius, similarity, block)
+                    reach = radius if group["band"][i] < BANDS else BITS
+                    found = spanning_links(fps[i:j], group["pop"][i:j], group["size"][i:j], None if same else group["t"][i:j], reach, similarity, block)
                     us += [i + p for p, _ in found]
                     vs += [i + q for _, q in found]
                     if found:
@@ -293,13 +307,14 @@ def _displaced(links: DataFrame, verified: DataFrame, label: DataFrame, nodes: D
     Members of a tree are dealt to chunks of about ``rows``, and a task holds two chunks of shingle sets at most.
     """
     radius = radius_of(similarity)
-    bad = links.join(verified, ["u", "v"], "left_anti").select("tree").distinct()
-    rest = links.join(bad, "tree", "left_semi")
+    held = links.join(verified.withColumn("ok", F.lit(1)), ["u", "v"], "left").groupBy("tree").agg(F.count("*").alias("n"), F.count("ok").alias("ok"))
+    bad = cut(held.where("ok < n").select("tree", "n"), "similar-bad")
+    rest = hot_join(links, bad, "tree", F.col("n") * HOT_SHARE > links.count())
     members = rest.select("tree", F.col("u").alias("node")).union(rest.select("tree", "v")).distinct()
     members = cut(members.join(label, "node", "left").select("tree", "node", F.coalesce("group", "node").alias("label")), "similar-members")
     trees = members.groupBy("tree").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    trees = trees.where("lo <> hi").select("tree", F.ceil(F.col("n") / rows).cast("int").alias("nt"))
-    still = cut(members.join(trees, "tree"), "similar-open")
+    trees = cut(trees.where("lo <> hi").select("tree", "n", F.ceil(F.col("n") / rows).cast("int").alias("nt")), "similar-trees")
+    still = cut(hot_join(members, trees, "tree", F.col("n") * HOT_SHARE > members.count()).drop("n"), "similar-open")
     if still.isEmpty():
         return verified.limit(0)
     source = texts.join(still.select("node").distinct(), "node", "left_semi")
@@ -366,6 +381,4 @@ def near_duplicates(
     if not more.isEmpty():
         label = roots(verified.union(more), "similar-components").withColumnRenamed("root", "group")
     named = nodes.select("node", "n").join(label, "node", "left").select("node", F.coalesce("group", "node").alias("group"), "n")
-    many, few = F.broadcast(named.where(hot).drop("n")), named.where(~hot).drop("n")
-    out = signed.select(*ids, "node")
-    return out.join(many, "node").unionByName(out.join(many.select("node"), "node", "left_anti").join(few, "node")).select(*ids, "node", "group")
+    return hot_join(signed.select(*ids, "node"), named, "node", hot).select(*ids, "node", "group")
