@@ -377,6 +377,21 @@ def test_vegetation_classes(spark, method):
     assert m.green_mean == m.green_norm
 
 
+def test_density_classes_of_images_without_two_clusters(spark):
+    def image(k, height, width, light):
+        at = [(i, j) for i in range(height) for j in range(width)]
+        return [(k, i, j, *((80.0, 190.0, 60.0) if light(j) else (30.0, 70.0, 30.0))) for i, j in at]
+
+    # One cluster; noise only (seven rows are half a deviation apart); 96 green pixels are too few for classes.
+    rows = image(1, 20, 20, lambda j: False) + image(2, 7, 16, lambda j: j > 5) + image(3, 6, 16, lambda j: j > 5)
+    got = {m.image: m for m in cluster.vegetation_classes(spark.createDataFrame(rows, "image int, prow long, pcol long, r double, g double, b double"), "dbscan").collect()}
+    for k in (1, 2):
+        m = got[k]
+        assert (m.class1_ratio, m.class1_mean, m.class1_std, m.class1_norm) == (m.green_ratio, m.green_mean, m.green_std, m.green_norm) and m.green_ratio == 1
+        assert m.class2_ratio == m.class2_mean == 0
+    assert got[3].green_ratio == 1 and got[3].class1_ratio == got[3].class2_ratio == 0
+
+
 def test_threshold_of_two_classes_is_the_best_split(spark):
     rng = np.random.default_rng(6)
     rows, want = [], {}

@@ -199,14 +199,15 @@ def _gmm_classes(rgb: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _dbscan_classes(rgb: np.ndarray, at: np.ndarray, spatial: float = 0.01) -> np.ndarray:
-    """The largest cluster is class 1, the second class 2; the rest is none."""
+    """The largest cluster is class 1, the second class 2, the rest none; without two clusters all pixels are class 1."""
     x = np.column_stack((lab(rgb), at * spatial))
     labels = dbscan((x - x.mean(0)) / np.maximum(x.std(0), 1e-12))
     names, counts = np.unique(labels[labels >= 0], return_counts=True)
+    if len(names) < 2:
+        return np.ones(len(x), int)
     out = np.zeros(len(x), int)
-    if len(names) >= 2:
-        for cls, j in enumerate(np.argsort(-counts, kind="stable")[:2], 1):
-            out[labels == names[j]] = cls
+    for cls, j in enumerate(np.argsort(-counts, kind="stable")[:2], 1):
+        out[labels == names[j]] = cls
     return out
 
 
