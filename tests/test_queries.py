@@ -51,6 +51,14 @@ def test_runs(spark, name):
     assert got.count() > 0 or name in MAY_BE_EMPTY
 
 
+def test_sweep_of_images_the_table_cuts_off(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < 12 AND vec_id % 4 <= vec_id // 4) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = catalogue.QUERIES["resample_sweep"](spark, str(tmp_path))
+    assert rows(got.toPandas()) == rows(con.sql(catalogue.ORACLES["resample_sweep"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 

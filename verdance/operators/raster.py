@@ -27,22 +27,33 @@ AGGREGATES = {
 KERNELS = ("nearest", "bilinear", "cubic", "cubic_spline", "lanczos")
 
 
-def block_keys(df: DataFrame, keys: tuple[str, ...], scale: float | Column, value: str = "v") -> DataFrame:
+def _sized(df: DataFrame, keys: tuple[str, ...], scale: float | Column, extent: tuple[int, int] | None) -> DataFrame:
+    """Rows with the truncated output size ``__h, __w`` of rasters of ``extent`` rows and columns.
+
+    Without it, a raster ends at the greatest row and column it has.
+    """
+    blocks = lambda n: F.floor(n / scale + 1e-9)
+    if extent is not None:
+        return df.withColumns({c: blocks(F.lit(n)) for c, n in zip(("__h", "__w"), extent)})
+    return df.join(df.groupBy(*keys).agg(blocks(F.max("prow") + 1).alias("__h"), blocks(F.max("pcol") + 1).alias("__w")), list(keys))
+
+
+def block_keys(df: DataFrame, keys: tuple[str, ...], scale: float | Column, value: str = "v", extent: tuple[int, int] | None = None) -> DataFrame:
     """Rows with the block they fall in; blocks beyond the truncated output size are dropped."""
-    size = df.groupBy(*keys).agg((F.floor((F.max("prow") + 1) / scale + 1e-9)).alias("__h"), (F.floor((F.max("pcol") + 1) / scale + 1e-9)).alias("__w"))
-    out = df.withColumn("brow", F.floor(F.col("prow") / scale + 1e-9)).withColumn("bcol", F.floor(F.col("pcol") / scale + 1e-9)).join(size, list(keys))
+    out = _sized(df.withColumn("brow", F.floor(F.col("prow") / scale + 1e-9)).withColumn("bcol", F.floor(F.col("pcol") / scale + 1e-9)), keys, scale, extent)
     return out.where((F.col("brow") < F.col("__h")) & (F.col("bcol") < F.col("__w"))).drop("__h", "__w")
 
 
-def resample(df: DataFrame, keys: tuple[str, ...], scale: float | Column, methods: tuple[str, ...], value: str = "v") -> DataFrame:
+def resample(df: DataFrame, keys: tuple[str, ...], scale: float | Column, methods: tuple[str, ...], value: str = "v", extent: tuple[int, int] | None = None) -> DataFrame:
     """``keys, brow, bcol`` and one column per aggregating method; unknown methods are an error.
 
-    ``scale`` may be a column that is constant for each of ``keys``.
+    ``scale`` may be a column that is constant for each of ``keys``.  ``extent`` has
+    the rows and columns of rasters whose last ones may be absent.
     """
     unknown = [m for m in methods if m not in AGGREGATES and m != "mode"]
     if unknown:
         raise ValueError(f"unknown methods {unknown}; known: {', '.join([*AGGREGATES, 'mode', *KERNELS])}")
-    blocks = block_keys(df, keys, scale, value)
+    blocks = block_keys(df, keys, scale, value, extent)
     by = [*keys, "brow", "bcol"]
     out = blocks.groupBy(*by).agg(*(AGGREGATES[m](value).alias(m) for m in methods if m != "mode")) if set(methods) - {"mode"} else None
     if "mode" in methods:
@@ -80,16 +91,16 @@ def _spread(df: DataFrame, place: str, block: str, size: str, low: Column, high:
     return kept.withColumn(block, F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
 
 
-def resample_kernel(df: DataFrame, keys: tuple[str, ...], scale: float | Column, method: str, value: str = "v") -> DataFrame:
+def resample_kernel(df: DataFrame, keys: tuple[str, ...], scale: float | Column, method: str, value: str = "v", extent: tuple[int, int] | None = None) -> DataFrame:
     """``keys, brow, bcol, value`` at block centres, by nearest pixel or by normalised kernel weights.
 
     On the way to coarser pixels a kernel is widened by the scale, so that every
     input pixel has its weight.  Weights are products of one along rows and one
     along columns, so two aggregations do: each pixel goes to the few blocks along
     a row whose kernel reaches it, then each such sum to the few along a column.
+    A block that no pixel's kernel reaches has no row; ``extent`` is as in :func:`resample`.
     """
-    size = df.groupBy(*keys).agg(F.floor((F.max("prow") + 1) / scale + 1e-9).alias("__h"), F.floor((F.max("pcol") + 1) / scale + 1e-9).alias("__w"))
-    sized = df.select(*keys, "prow", "pcol", value).join(size, list(keys))
+    sized = _sized(df.select(*keys, "prow", "pcol", value), keys, scale, extent)
     if method == "nearest":
         first = lambda p: F.ceil(F.col(p) / scale - 0.5 - 1e-9)  # noqa: E731  blocks whose centre the pixel holds
         last = lambda p: F.ceil((F.col(p) + 1) / scale - 0.5 - 1e-9) - 1
@@ -101,10 +112,11 @@ def resample_kernel(df: DataFrame, keys: tuple[str, ...], scale: float | Column,
     reach = REACH[method] * wide
     low = lambda p: F.ceil((F.col(p) + 0.5 - reach) / scale - 0.5)
     high = lambda p: F.floor((F.col(p) + 0.5 + reach) / scale - 0.5)
-    weight = lambda p, b: _weights(method, ((F.col(b) + 0.5) * scale - 0.5 - F.col(p)) / wide)
-    along = _spread(sized.where(F.col(value).isNotNull()), "pcol", "bcol", "__w", low("pcol"), high("pcol")).withColumn("__k", weight("pcol", "bcol"))
+    away = lambda p, b: ((F.col(b) + 0.5) * scale - 0.5 - F.col(p)) / wide
+    weighed = lambda rows, p, b: rows.where(F.abs(away(p, b)) < REACH[method]).withColumn("__k", _weights(method, away(p, b)))
+    along = weighed(_spread(sized.where(F.col(value).isNotNull()), "pcol", "bcol", "__w", low("pcol"), high("pcol")), "pcol", "bcol")
     along = along.groupBy(*keys, "prow", "bcol", "__h").agg(F.sum(F.col("__k") * F.col(value)).alias("__v"), F.sum("__k").alias("__d"))
-    across = _spread(along, "prow", "brow", "__h", low("prow"), high("prow")).withColumn("__k", weight("prow", "brow"))
+    across = weighed(_spread(along, "prow", "brow", "__h", low("prow"), high("prow")), "prow", "brow")
     total = F.sum(F.col("__k") * F.col("__v")) / F.nullif(F.sum(F.col("__k") * F.col("__d")), F.lit(0.0))
     return across.groupBy(*keys, "brow", "bcol").agg(total.alias(value))
 
@@ -129,11 +141,11 @@ def resample_to(df: DataFrame, keys: tuple[str, ...], current: float, target: fl
     return resample(df, keys, scale, (method,), value).withColumnRenamed(method, value)
 
 
-def sweep(df: DataFrame, keys: tuple[str, ...], current: float, targets: tuple[float, ...], methods: tuple[str, ...], value: str = "v") -> DataFrame:
+def sweep(df: DataFrame, keys: tuple[str, ...], current: float, targets: tuple[float, ...], methods: tuple[str, ...], value: str = "v", extent: tuple[int, int] | None = None) -> DataFrame:
     """``keys, resolution, method, brow, bcol, value``: all targets by all methods, as :func:`resample_to` gives them.
 
     The target is a key of the pixels, so all targets take one aggregation for the
-    aggregating methods and one for each kernel.
+    aggregating methods and one for each kernel.  ``extent`` is as in :func:`resample`.
     """
     blocks, kernels = [m for m in methods if m not in KERNELS], [m for m in methods if m in KERNELS]
     if blocks and min(targets) < current:
@@ -148,8 +160,8 @@ def sweep(df: DataFrame, keys: tuple[str, ...], current: float, targets: tuple[f
         many = df.select(*keys, "prow", "pcol", value).withColumn("resolution", F.explode(F.array(*map(F.lit, others))))
         scale = F.col("resolution") / F.lit(float(current))
         if blocks:
-            parts.append(resample(many, by, scale, tuple(blocks), value).unpivot([*by, "brow", "bcol"], blocks, "method", value))
-        parts += [resample_kernel(many, by, scale, k, value).withColumn("method", F.lit(k)) for k in kernels]
+            parts.append(resample(many, by, scale, tuple(blocks), value, extent).unpivot([*by, "brow", "bcol"], blocks, "method", value))
+        parts += [resample_kernel(many, by, scale, k, value, extent).withColumn("method", F.lit(k)) for k in kernels]
     out = parts[0].select(*columns)
     for part in parts[1:]:
         out = out.unionByName(part.select(*columns))
